@@ -32,7 +32,7 @@ def explicit_multiplier(folded: Column, words: Column, biggest: Column, bare_num
 def with_amplification(df: DataFrame, params: Params = Params()) -> DataFrame:
     """Needs the text forms and ``predicted_tokens``; adds flags, multiplier and verdict."""
     folded, words = F.col("_lower"), F.col("_words")
-    raw = {f"_a_{name}": phrase_flag(folded, rules) for name, rules in AMPLIFICATION_RULES.items()}
+    raw = {f"_a_{name}": phrase_flag("_lower", rules) for name, rules in AMPLIFICATION_RULES.items()}
     df = df.withColumns({
         **raw,
         "_mult": F.greatest(

@@ -34,8 +34,8 @@ LEET = "[013457@$!+]"
 FEATURES = ["encoding_score", "expansion_normalized", "obfuscation_score", "entropy_score"]
 
 
-def has_instruction_verb(norm: Column) -> Column:
-    return T.contains_any(norm, INSTRUCTION_WORDS)
+def has_instruction_verb(norm: str) -> Column:
+    return F.expr(T.contains_any(norm, INSTRUCTION_WORDS))
 
 
 def encoding_score(prompt: Column, long_run: Column) -> Column:
@@ -52,14 +52,14 @@ def encoding_score(prompt: Column, long_run: Column) -> Column:
     return F.when(long_run, F.least(score, F.lit(100.0))).otherwise(F.lit(0.0))
 
 
-def expansion_factor(norm: Column, biggest: Column) -> Column:
+def expansion_factor(norm: str, biggest: Column) -> Column:
     """Largest of the word weights and, under an instruction, the largest number / 20."""
     factor = F.lit(1.0)
     parts = [factor]
     for weight in sorted(set(EXPANSION_WEIGHTS.values())):
         if weight / 5 > 1:
             words = [w for w, x in EXPANSION_WEIGHTS.items() if x == weight]
-            parts.append(F.when(T.contains_any(norm, words), weight / 5))
+            parts.append(F.when(F.expr(T.contains_any(norm, words)), weight / 5))
     parts.append(F.when((biggest > 100) & has_instruction_verb(norm), biggest / 20))
     return F.least(F.greatest(*parts), F.lit(50.0))
 
@@ -113,7 +113,7 @@ def with_cost_signals(df: DataFrame, prompt: str = "prompt", tokens: Column | No
     p = F.col(prompt)
     df = df.withColumns({
         "encoding_score": encoding_score(p, F.col("_long_run")),
-        "expansion_factor": expansion_factor(F.col("_norm"), F.col("_biggest")),
+        "expansion_factor": expansion_factor("_norm", F.col("_biggest")),
         "obfuscation_score": obfuscation_score(p),
         "_entropy": shannon_entropy(p),
         "input_tokens": tokens if tokens is not None else input_tokens(F.col("_words")),

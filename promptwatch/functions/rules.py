@@ -7,6 +7,7 @@ match at all.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -107,8 +108,8 @@ INJECTION_RUN = r"[A-Za-z0-9+/]{30,}={0,2}"
 INJECTION_WORDS = ["ignore", "system", "prompt", "role", "jailbreak", "admin", "override", "instructions"]
 
 
-def phrase_flag(folded: Column, rules: list[Rule]) -> Column:
-    """True when any rule matches; patterns sharing a literal share one regex scan."""
+def phrase_flag(folded: str, rules: list[Rule]) -> Column:
+    """True when any rule matches the column; patterns sharing a literal share one regex scan."""
     by_literal: dict[tuple[str, ...], list[str]] = {}
     for pattern, literal in rules:
         key = (literal,) if isinstance(literal, str) else literal
@@ -117,41 +118,47 @@ def phrase_flag(folded: Column, rules: list[Rule]) -> Column:
     for literals, patterns in by_literal.items():
         cond = T.contains_any(folded, list(literals))
         if patterns != list(literals):
-            cond = cond & folded.rlike(T.text_pattern("|".join(f"(?:{p})" for p in patterns)))
+            regex = T.sql_text(T.text_pattern("|".join(f"(?:{p})" for p in patterns)))
+            cond = f"({cond} AND {folded} RLIKE {regex})"
         tests.append(cond)
-    return reduce(lambda a, b: a | b, tests)
+    return F.expr(" OR ".join(tests))
 
 
-def hidden_unicode(prompt: Column) -> Column:
-    return T.contains_any(prompt, INVISIBLE)
+def hidden_unicode(prompt: str) -> Column:
+    return F.expr(T.contains_any(prompt, INVISIBLE))
 
 
-def whitespace_stuffing(prompt: Column) -> Column:
-    return prompt.rlike(T.text_pattern(r"\s{20,}"))
+def whitespace_stuffing(prompt: str) -> Column:
+    return F.col(prompt).rlike(T.text_pattern(r"\s{20,}"))
 
 
-def html_comment(prompt: Column) -> Column:
-    return F.contains(prompt, F.lit("<!--")) & prompt.rlike(r"(?s)<!--.*?-->")
+def html_comment(prompt: str) -> Column:
+    return F.contains(F.col(prompt), F.lit("<!--")) & F.col(prompt).rlike(r"(?s)<!--.*?-->")
 
 
-def base64_injection(prompt: Column, long_run: Column) -> Column:
+def base64_injection(prompt: str, long_run: Column | None = None) -> Column:
     """One of the first five base64 runs decodes to text with an injection word."""
-    runs = F.when(long_run, F.regexp_extract_all(prompt, F.lit(INJECTION_RUN), F.lit(0)))
+    text = F.col(prompt)
+    long_run = T.has_run(text, 20) if long_run is None else long_run
+    runs = F.when(long_run, F.regexp_extract_all(text, F.lit(INJECTION_RUN), F.lit(0)))
     words = "|".join(INJECTION_WORDS)
     hits = [F.coalesce(T.decode_base64(F.get(runs, i)).rlike(words), F.lit(False)) for i in range(5)]
     return reduce(lambda a, b: a | b, hits)
 
 
-def detectors() -> dict[str, object]:
-    """The registry: flag -> function of (folded text, original text). Callers may add their own."""
-    found = {
+def detectors() -> dict[str, Callable[[str, str], Column]]:
+    """The registry: flag -> function of the column names of the folded and original text.
+
+    Callers may add their own detectors.
+    """
+    found: dict[str, Callable[[str, str], Column]] = {
         flag: (lambda folded, prompt, rules=rules: phrase_flag(folded, rules))
         for flag, rules in PHRASE_RULES.items()
     }
     found["HIDDEN_UNICODE_PAYLOAD"] = lambda folded, prompt: hidden_unicode(prompt)
     found["WHITESPACE_STUFFING"] = lambda folded, prompt: whitespace_stuffing(prompt)
     found["HTML_COMMENT_INJECTION"] = lambda folded, prompt: html_comment(prompt)
-    found["BASE64_INJECTION"] = lambda folded, prompt: base64_injection(prompt, T.has_run(prompt, 20))
+    found["BASE64_INJECTION"] = lambda folded, prompt: base64_injection(prompt)
     return found
 
 
@@ -168,7 +175,7 @@ def with_rule_flags(
     registry = dict(registry or detectors())
     if "_long_run" in df.columns:
         registry["BASE64_INJECTION"] = lambda folded, text: base64_injection(text, F.col("_long_run"))
-    raw = {f"_f_{name}": fn(F.col(folded), F.col(prompt)) for name, fn in registry.items()}
+    raw = {f"_f_{name}": fn(folded, prompt) for name, fn in registry.items()}
     df = df.withColumns(raw)
     df = df.withColumn("rule_flags", flag_array({n: F.col(f"_f_{n}") for n in registry}))
     return df.drop(*raw).withColumn("rule_score", rule_score(F.col("rule_flags")))

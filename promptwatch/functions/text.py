@@ -110,8 +110,11 @@ def decode_base64(match: Column) -> Column:
     return F.lower(F.translate(F.make_valid_utf8(raw.cast("string")), "\ufffd", ""))
 
 
-def contains_any(text: Column, needles: list[str]) -> Column:
-    cond = F.contains(text, F.lit(needles[0]))
-    for needle in needles[1:]:
-        cond = cond | F.contains(text, F.lit(needle))
-    return cond
+def sql_text(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def contains_any(column: str, needles: list[str]) -> str:
+    """SQL condition: the column holds one of the needles (long chains parse faster as text)."""
+    return "(" + " OR ".join(f"contains({column}, {sql_text(n)})" for n in needles) + ")"

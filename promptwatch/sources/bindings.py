@@ -75,7 +75,7 @@ def spread(df: DataFrame, below_bytes: int = 1 << 30) -> DataFrame:
     CPU-bound, so small inputs are dealt out first. Inputs above ``below_bytes`` have
     enough row groups and are left as the scan splits them.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if size >= below_bytes:
         return df
     return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
