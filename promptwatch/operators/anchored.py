@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from promptwatch.operators.fold import ordered_fold
 from promptwatch.operators.prefix import hot_keys, running_sum
 from promptwatch.params import SECOND_US, Params
-from promptwatch.sources.workspace import checkpoint
+from promptwatch.sources.workspace import checkpoint, materialize
 
 
 def anchored_window(
@@ -125,7 +125,7 @@ def campaign_log(
     detected: DataFrame, ts: str = "ts_us", order: str = "request_id", params: Params = Params()
 ) -> DataFrame:
     """One row per campaign and hour: the first detection opens it (``campaign_id, prompt_hash, detected_at``)."""
-    narrow = detected.filter("campaign_detected").select("campaign_id", "prompt_hash", ts, order)
+    narrow = materialize(detected.filter("campaign_detected").select("campaign_id", "prompt_hash", ts, order))
     opened = anchored_window(narrow, ["prompt_hash"], ts, params.campaign_ttl_s * SECOND_US, order, params.hot_rows)
     return opened.filter("window_index = 1").select("campaign_id", "prompt_hash", F.col(ts).alias("detected_at"))
 

@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptwatch.functions.policy import trust_tier
+from promptwatch.functions.policy import round3, trust_tier
 from promptwatch.operators.fold import ordered_fold
 from promptwatch.params import HOUR_US, SECOND_US, Params
 
@@ -161,7 +161,7 @@ def reputation_board(
 
     return df.select(
         user,
-        F.when(F.col("_alive"), F.bround("trust_score", 3)).otherwise(0.0).alias("trust_score"),
+        F.when(F.col("_alive"), round3(F.col("trust_score"), params.rounding)).otherwise(0.0).alias("trust_score"),
         F.when(listed, "blacklisted").when(~F.col("_alive"), "expired").otherwise(trust_tier(F.col("trust_score"))).alias("tier"),
         live("abuse_count", 0).alias("abuse_count"),
         live("total_requests", 0).alias("total_requests"),

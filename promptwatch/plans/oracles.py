@@ -154,7 +154,7 @@ ORACLES.update({
     "self_replication_flag": over_prompts("prompt_id, a_rep AS hit"),
     "explicit_multiplier": over_prompts("prompt_id, round(explicit, 3) AS multiplier"),
     "amplification_detect": over_prompts(
-        "prompt_id, round(round(multiplier, 2), 1) AS multiplier, "
+        "prompt_id, round(log10(multiplier), 6) AS log_multiplier, "
         "concat_ws(',', CASE WHEN a_rec THEN 'RECURSIVE_PATTERN' END, CASE WHEN a_rep THEN 'SELF_REPLICATION' END) AS flags, "
         "(a_rec OR a_rep OR multiplier > 5) AS recursive_detected, CAST(floor(amp_tokens) AS INTEGER) AS input_tokens"
     ),
@@ -406,7 +406,7 @@ REP = reputation("none")
 TIER = "CASE WHEN {t} >= 0.75 THEN 'trusted' WHEN {t} >= 0.45 THEN 'authenticated' ELSE 'anonymous' END"
 BOARD = f"""{REP}, {LARGE_CONTROL}, {CURRENT},
 states AS (SELECT * FROM rep QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY rn DESC) = 1),
-board AS (SELECT s.user_id, round(s.trust, 3) AS trust_score,
+board AS (SELECT s.user_id, floor(s.trust * 1000 + 0.5) / 1000 AS trust_score,
   CASE WHEN c.key IS NOT NULL THEN 'blacklisted' ELSE {TIER.format(t='s.trust')} END AS tier,
   s.abuses AS abuse_count, s.total AS total_requests, s.avg_cost AS avg_cost_score, s.last_seen AS last_seen_us,
   c.key IS NOT NULL AS is_blacklisted, c.reason AS blacklist_reason
@@ -619,3 +619,19 @@ ORACLES.update({
       SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(2 * precision * recall / (precision + recall), 6) AS f1,
              round(accuracy, 6) AS accuracy, support FROM m""",
 })
+
+# -- streams give what the batch gives ----------------------------------------------------------------
+
+ORACLES.update({
+    "stream_signals": f"WITH {REQUESTS}, {signals('bank', 'k')} SELECT request_id, cost_score, array_to_string(rule_flags, ',') AS rule_flags, "
+                      "(a_rec OR a_rep OR multiplier > 5) AS recursive_detected FROM requests JOIN flagged ON k = request_id % 28",
+    "stream_quota": ORACLES["quota_check"],
+    "stream_reputation": ORACLES["reputation_fold"],
+    "stream_correlation": f"WITH {SIGHTINGS}, {window_counts('sight', 'h', DAY, 'byhash')}, {window_counts('sight', 'p', DAY, 'bypattern')} "
+                          "SELECT request_id, 'exact' AS track, CAST(least(senders, 6) AS INTEGER) AS senders, CAST(least(ips, 3) AS INTEGER) AS addresses FROM byhash "
+                          "UNION ALL SELECT request_id, 'fuzzy', CAST(least(senders, 6) AS INTEGER), CAST(least(ips, 3) AS INTEGER) FROM bypattern",
+    "stream_campaign_log": f"WITH RECURSIVE {SIGHTINGS}, {anchored('sight', 'h', DAY, 'w')} SELECT 'CAMP-' || upper(substr(h, 1, 8)) AS campaign_id, "
+                           "h AS prompt_hash, window_start AS detected_at FROM w JOIN sight USING (request_id) WHERE window_index = 1",
+    "stream_metrics": "SELECT count(*) AS total_requests, count(*) FILTER (event_type NOT IN ('error', 'signup')) AS successful_requests, "
+                      "count(*) FILTER (event_type IN ('error', 'signup')) AS blocked_requests, count(*) FILTER (event_type = 'error') AS attacks_detected FROM events",
+})

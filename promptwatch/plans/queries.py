@@ -30,6 +30,8 @@ from promptwatch.sources import bindings as B
 from promptwatch.sources import control as CT
 from promptwatch.sources import requests as RQ
 from promptwatch.sources.workspace import materialize
+from promptwatch.streaming import stateful as ST
+from promptwatch.streaming.run import run_available, run_totals
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -178,7 +180,7 @@ def explicit_multiplier(spark, sf):
 @query
 def amplification_detect(spark, sf):
     return _amp(spark, sf).select(
-        "prompt_id", F.round("multiplier", 1).alias("multiplier"), csv_list(F.col("amp_flags")).alias("flags"),
+        "prompt_id", F.round(F.log10("multiplier"), 6).alias("log_multiplier"), csv_list(F.col("amp_flags")).alias("flags"),
         "recursive_detected", F.col("amp_input_tokens").alias("input_tokens"),
     )
 
@@ -501,9 +503,12 @@ def auth_check(spark, sf):
 # -- reputation ---------------------------------------------------------------------------
 
 def _outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    return as_outcomes(B.table(spark, sf, "events"))
+
+
+def as_outcomes(events: DataFrame) -> DataFrame:
     """Errors are abuses, everything else a success whose cost is ``event_id % 100``."""
-    e = B.table(spark, sf, "events")
-    return e.select(
+    return events.select(
         F.col("event_id").alias("request_id"), B.micros(F.col("ts")).alias("ts_us"),
         F.col("user_id").cast("string").alias("user_id"),
         F.when(F.col("event_type") == "error", "abuse").otherwise("success").alias("kind"),
@@ -543,7 +548,7 @@ def _board(spark: SparkSession, sf: str) -> DataFrame:
     states = reputation.latest_state(_folded(spark, sf))
     now = B.table(spark, sf, "events").agg(F.max(B.micros(F.col("ts")))).first()[0]
     banned = CT.blacklist_current(_control_from_events(spark, sf))
-    return reputation.reputation_board(states, banned, now)
+    return reputation.reputation_board(states, banned, now, params=SQL_ROUNDING)
 
 
 @query
@@ -850,3 +855,55 @@ def feature_weights(spark, sf):
 def cost_score_ml(spark, sf):
     model, features = _trained(spark, sf)
     return M.score(model, features).select("row_id", "label", "cost_score", "scoring_method")
+
+
+# -- streams: the event table as a file stream, run until everything is processed --------------
+
+def _request_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return ST.with_event_time(B.as_requests(B.event_stream(spark, sf)), "1 hour")
+
+
+@query
+def stream_signals(spark, sf):
+    out = run_available(ST.stream_signals(B.as_requests(B.event_stream(spark, sf))))
+    return out.select("request_id", "cost_score", csv_list(F.col("rule_flags")).alias("rule_flags"), "recursive_detected")
+
+
+@query
+def stream_quota(spark, sf):
+    out = run_available(ST.stream_quota(_request_stream(spark, sf).drop("prompt", "client_ip"), QUOTA))
+    return out.select("request_id", "quota_used", "quota_allowed")
+
+
+@query
+def stream_reputation(spark, sf):
+    events = ST.with_event_time(as_outcomes(B.event_stream(spark, sf)), "1 hour")
+    out = run_available(ST.stream_reputation(events, SQL_ROUNDING))
+    return out.select(
+        "request_id", F.round("trust_read", 3).alias("trust_read"), F.round("trust_score", 6).alias("trust_score"),
+        "total_requests", "abuse_count",
+    )
+
+
+@query
+def stream_correlation(spark, sf):
+    sightings = _request_stream(spark, sf).withColumns({
+        "prompt_hash": FP.prompt_hash(F.col("prompt")), "prompt_pattern": FP.prompt_pattern(F.col("prompt")),
+    })
+    out = run_available(ST.stream_correlation(sightings.drop("prompt"), DAY_WINDOW))
+    return out.select("request_id", "track", "senders", "addresses")
+
+
+@query
+def stream_campaign_log(spark, sf):
+    """Every sighting counts as a detection here: one campaign per prompt and day."""
+    sightings = _request_stream(spark, sf).withColumn("prompt_hash", FP.prompt_hash(F.col("prompt")))
+    return run_available(ST.stream_campaign_log(sightings.drop("prompt"), DAY_WINDOW))
+
+
+@query
+def stream_metrics(spark, sf):
+    kinds = B.event_stream(spark, sf).select(
+        F.when(F.col("event_type") == "error", "risk").when(F.col("event_type") == "signup", "auth").otherwise("allowed").alias("exit")
+    )
+    return run_totals(ST.stream_metrics(kinds.withColumn("blocked", F.col("exit") != "allowed")))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from promptwatch.streaming.run import file_stream
+
 # Probe prompts, one per rule and per exit of the gate.
 PROBE_PROMPTS = [
     "What is machine learning?",
@@ -85,6 +87,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table as a file stream."""
+    return file_stream(spark, sf_dir, "events", table(spark, sf_dir, "events").schema)
+
+
 def micros(ts: Column) -> Column:
     """Wall-clock microseconds since 1970, whatever the session time zone is."""
     return F.unix_micros(F.from_utc_timestamp(ts.cast("timestamp"), F.current_timezone()))
@@ -96,8 +103,11 @@ def pick(values: list, index: Column) -> Column:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The request log: ``request_id, ts_us, user_id, client_ip, prompt`` from ``events``."""
-    e = table(spark, sf_dir, "events")
-    return e.select(
+    return as_requests(table(spark, sf_dir, "events"))
+
+
+def as_requests(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("event_id").alias("request_id"),
         micros(F.col("ts")).alias("ts_us"),
         F.col("user_id").cast("string").alias("user_id"),
