@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _text_entropy(text: str) -> float:
@@ -15,7 +16,7 @@ def _text_entropy(text: str) -> float:
     return float(-(p * np.log2(p)).sum())
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(DoubleType())
 def shannon_entropy(texts: pa.Array) -> pa.Array:
     """Bits per character of each whole text; empty text is 0, NULL stays NULL.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -56,6 +58,15 @@ def category_similarity(bank: DataFrame, vec: Column) -> tuple[list[str], Column
     return categories, best(vec)
 
 
+def embed_prompts(
+    df: DataFrame, embedder: Callable[[Column], Column], key: str = "prompt_hash", prompt: str = "prompt"
+) -> DataFrame:
+    """Add ``embedding`` from a user's vectorised embedder, run once per distinct prompt."""
+    once = df.groupBy(key).agg(F.first(prompt).alias("_text"))
+    vectors = once.select(key, unit_normalize(embedder(F.col("_text"))).alias("embedding"))
+    return df.join(vectors, key, "left")
+
+
 def semantic_match(
     df: DataFrame, bank: DataFrame, vec: str = "embedding", params: Params = Params()
 ) -> DataFrame:

@@ -154,7 +154,7 @@ ORACLES.update({
     "self_replication_flag": over_prompts("prompt_id, a_rep AS hit"),
     "explicit_multiplier": over_prompts("prompt_id, round(explicit, 3) AS multiplier"),
     "amplification_detect": over_prompts(
-        "prompt_id, round(log10(multiplier), 6) AS log_multiplier, "
+        "prompt_id, round(log10(round(multiplier, 2)), 6) AS log_multiplier, "
         "concat_ws(',', CASE WHEN a_rec THEN 'RECURSIVE_PATTERN' END, CASE WHEN a_rep THEN 'SELF_REPLICATION' END) AS flags, "
         "(a_rec OR a_rep OR multiplier > 5) AS recursive_detected, CAST(floor(amp_tokens) AS INTEGER) AS input_tokens"
     ),
@@ -422,6 +422,8 @@ ORACLES.update({
                        "count(*) FILTER (is_blacklisted) AS blacklisted, round(avg(trust_score), 3) AS avg_trust FROM board",
     "user_filter": f"WITH RECURSIVE {BOARD} SELECT user_id, tier FROM board WHERE contains(lower(user_id), '1')",
     "last_seen_format": f"WITH RECURSIVE {BOARD} SELECT user_id, strftime(make_timestamp(last_seen_us), '%Y-%m-%d %H:%M') AS last_seen FROM board",
+    "src_requests": "SELECT event_id AS request_id, coalesce(nullif(CASE event_type WHEN 'click' THEN '' WHEN 'view' THEN NULL "
+                    "ELSE CAST(user_id AS VARCHAR) END, ''), 'anon_10.0.0.' || (user_id % 7)) AS user_id FROM events",
     "known_users": "SELECT DISTINCT CAST(user_id AS VARCHAR) AS user_id FROM events",
     "reputation_snapshot": f"WITH RECURSIVE {BOARD} SELECT user_id, round(trust, 6) AS trust_score, total AS total_requests, "
                            "abuses AS abuse_count, avg_cost AS avg_cost_score FROM states",
@@ -460,7 +462,7 @@ def walked_gate(source: str) -> str:
       FROM {source} s JOIN q USING (request_id) WHERE q.window_index <= 5),
     walk AS (
       SELECT user_id, 0::BIGINT AS rn, NULL::BIGINT AS request_id, 0.7::DOUBLE AS trust, NULL::BIGINT AS last_seen,
-             NULL::DOUBLE AS trust_read, '' AS exit
+             NULL::DOUBLE AS trust_read, '' AS exit, NULL::DOUBLE AS peeked
       FROM (SELECT DISTINCT user_id FROM admitted)
       UNION ALL
       SELECT user_id, rn, request_id,
@@ -470,7 +472,7 @@ def walked_gate(source: str) -> str:
                        WHEN 'allowed' THEN least(1.0::DOUBLE, seen + 0.05::DOUBLE * (1 - cost_score / 200.0::DOUBLE))
                        ELSE greatest(0.0::DOUBLE, seen - 0.2::DOUBLE) END,
              CASE exit WHEN 'allowed' THEN ts_us ELSE last_seen END,
-             CASE WHEN exit NOT IN ('risk', 'amplification') THEN seen END, exit
+             CASE WHEN exit NOT IN ('risk', 'amplification') THEN seen END, exit, seen
       FROM (SELECT *, CASE WHEN risk_block THEN 'risk' WHEN recursive_detected THEN 'amplification'
                            WHEN seen < 0.4 AND cost_score > 70 AND proof = -1 THEN 'challenge'
                            WHEN seen < 0.4 AND cost_score > 70 AND proof = 0 THEN 'proof'
@@ -488,7 +490,8 @@ GATE_INPUT = f"""{SMALL_CONTROL}, raw AS (
          CASE WHEN event_id % 11 = 0 THEN 0.7 ELSE 0.1 END::DOUBLE AS defender_risk FROM events),
 {gated('raw')}, open_raw AS (SELECT raw.* FROM raw JOIN gate USING (request_id) WHERE deny_reason IS NULL)"""
 ORACLES["request_gate"] = f"""WITH RECURSIVE {GATE_INPUT}, {walked_gate('open_raw')}
-SELECT raw.request_id, coalesce(w.exit, 'auth') AS exit, CAST(a.quota_used AS INTEGER) AS quota_used,
+SELECT raw.request_id, coalesce(w.exit, 'auth') AS exit,
+       CASE WHEN w.exit IS NULL THEN 'blocked' ELSE {TIER.format(t='w.peeked')} END AS auth_tier, CAST(a.quota_used AS INTEGER) AS quota_used,
        round(w.trust_read, 3) AS trust_read, round(w.trust, 6) AS trust_after,
        coalesce(w.exit IN ('risk', 'amplification', 'proof', 'defender') AND w.trust <= 0.05, false) AS candidate
 FROM raw LEFT JOIN walk w ON w.request_id = raw.request_id LEFT JOIN admitted a ON a.request_id = raw.request_id"""
@@ -597,6 +600,8 @@ ORACLES.update({
         "|| ' | Trust: ' || trust_score || ' | Cost: ' || cost_score AS label FROM report"),
     "history_topk": from_report("SELECT request_id, ts_us, user_id, status FROM report ORDER BY ts_us DESC, request_id DESC LIMIT 50"),
     "flatten_history": from_report("SELECT request_id, user_id, substr(prompt, 1, 200) AS prompt FROM report"),
+    "sink_request_log": from_report(
+        "SELECT CAST(make_timestamp(ts_us) AS DATE) AS date, count(*) AS n, count(*) FILTER (blocked) AS blocked FROM report GROUP BY 1"),
     "blocked_filter": from_report(
         "SELECT request_id, user_id, block_reason FROM (SELECT * FROM report ORDER BY ts_us DESC, request_id DESC LIMIT 20) "
         "WHERE blocked ORDER BY ts_us DESC, request_id DESC LIMIT 10"),

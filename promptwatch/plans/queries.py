@@ -29,7 +29,7 @@ from promptwatch.plans import training as M
 from promptwatch.sources import bindings as B
 from promptwatch.sources import control as CT
 from promptwatch.sources import requests as RQ
-from promptwatch.sources.workspace import materialize
+from promptwatch.sources.workspace import materialize, workspace_path
 from promptwatch.streaming import stateful as ST
 from promptwatch.streaming.run import run_available, run_totals
 
@@ -575,6 +575,15 @@ def last_seen_format(spark, sf):
     return _board(spark, sf).select("user_id", U.last_seen_format(F.col("last_seen_us")).alias("last_seen"))
 
 
+@query
+def src_requests(spark, sf):
+    """The user defaulting of the source: views carry no user, clicks an empty one."""
+    e = B.table(spark, sf, "events")
+    given = F.when(F.col("event_type") == "click", "").when(F.col("event_type") != "view", F.col("user_id").cast("string"))
+    ip = F.concat(F.lit("10.0.0."), (F.col("user_id") % 7).cast("string"))
+    return e.select(F.col("event_id").alias("request_id"), RQ.default_user(given, ip).alias("user_id"))
+
+
 @query
 def known_users(spark, sf):
     return RQ.known_users(B.requests(spark, sf))
@@ -703,7 +712,7 @@ def request_gate(spark, sf):
     ), B.control_log(spark))
     g = gate.request_gate(requests, GATE)
     return g.select(
-        "request_id", "exit", "quota_used", F.round("trust_read", 3).alias("trust_read"),
+        "request_id", "exit", "auth_tier", "quota_used", F.round("trust_read", 3).alias("trust_read"),
         F.round("trust_after", 6).alias("trust_after"), "candidate",
     )
 
@@ -797,6 +806,15 @@ def blocked_filter(spark, sf):
     return U.blocked_filter(report_log(spark, sf)).select("request_id", "user_id", "block_reason")
 
 
+@query
+def sink_request_log(spark, sf):
+    """Reports appended to the log by day, read back and counted."""
+    path = workspace_path(spark)
+    RQ.write_request_log(report_log(spark, sf), path)
+    log = RQ.read_request_log(spark, path)
+    return log.groupBy("date").agg(F.count("*").alias("n"), F.count_if("report.blocked").alias("blocked"))
+
+
 # -- the cost model -----------------------------------------------------------------------------
 
 def _labelled(spark: SparkSession, sf: str) -> DataFrame:

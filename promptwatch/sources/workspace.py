@@ -30,12 +30,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def workspace_path(spark: SparkSession) -> str:
+    """A new table location in the shared folder."""
+    return f"{ensure_checkpoint_dir(spark)}/promptwatch-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the checkpoint folder and read it back.
 
     Unlike :func:`checkpoint` the result is columnar, so every reader prunes columns.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/promptwatch-{uuid.uuid4().hex}"
+    path = workspace_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

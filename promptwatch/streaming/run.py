@@ -47,3 +47,11 @@ def file_stream(spark: SparkSession, folder: str, table: str, schema: object, fi
         spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
         .option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
     )
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows dropped so far because they came after the watermark had passed them."""
+    return sum(
+        operator.get("numRowsDroppedByWatermark", 0)
+        for progress in query.recentProgress for operator in progress.get("stateOperators", [])
+    )
