@@ -32,9 +32,15 @@ _VERDICT = "flagged boolean, categories map<string,boolean>, category_scores map
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
-def ext_normalize(json: Column) -> Column:
+def ext_parse(json: Column) -> Column:
+    """The raw verdict; keep it in a column of its own, it is read many times."""
+    return F.when(
+        F.ltrim(json).startswith("{"), F.from_json(json, f"{_VERDICT}, results array<struct<{_VERDICT}>>")
+    )
+
+
+def ext_normalize(parsed: Column) -> Column:
     """Verdict at top level or under ``results[0]`` -> struct; NULL when there is no verdict."""
-    parsed = F.from_json(json, f"{_VERDICT}, results array<struct<{_VERDICT}>>")
     top = {f: parsed[f] for f in ("flagged", "categories", "category_scores")}
     first = F.get(parsed["results"], 0)
     nested = first.isNotNull()
@@ -42,8 +48,7 @@ def ext_normalize(json: Column) -> Column:
     def field(name: str, default: Column) -> Column:
         return F.coalesce(F.when(nested, first[name]).otherwise(top[name]), default)
 
-    is_object = F.ltrim(json).startswith("{")
-    return F.when(is_object & parsed.isNotNull(), F.struct(
+    return F.when(parsed.isNotNull(), F.struct(
         field("flagged", F.lit(False)).alias("flagged"),
         field("categories", F.create_map().cast("map<string,boolean>")).alias("categories"),
         field("category_scores", F.create_map().cast("map<string,double>")).alias("category_scores"),
@@ -90,16 +95,19 @@ def _number(value: Column) -> Column:
     return F.when(value.rlike(_NUMBER), F.trim(value).try_cast("double"))
 
 
-def defender_parse(text: Column) -> Column:
-    """Defender reply -> ``defender_risk, confidence, reason, threats``.
-
-    A missing key takes its own default; a reply that cannot be used at all fails open.
-    """
+def defender_fields(text: Column) -> Column:
+    """The reply's fields as a map, NULL when it is no JSON object; keep it in a column of its own."""
     reply = strip(text)
     fenced = F.regexp_replace(reply, r"(?m)^```.*$", "")
     body = F.when(reply.startswith("```"), fenced).otherwise(reply)
-    fields = F.when(strip(body).startswith("{"), F.from_json(body, "map<string,string>"))
+    return F.when(strip(body).startswith("{"), F.from_json(body, "map<string,string>"))
+
+
+def defender_parse(fields: Column) -> Column:
+    """Fields of a reply -> ``defender_risk, confidence, reason, threats``.
 
+    A missing key takes its own default; a reply that cannot be used at all fails open.
+    """
     def number(key: str, default: float) -> Column:
         has = F.map_contains_key(fields, key)
         return F.when(has, _number(F.try_element_at(fields, F.lit(key)))).otherwise(F.lit(default))
@@ -131,25 +139,25 @@ def defender_band(risk: Column) -> Column:
 def with_ext_signals(df: DataFrame, json: str = "ext_json", enabled: bool = True) -> DataFrame:
     """Add ``ext_flags, ext_score, ext_categories, ext_status`` from a verdict column."""
     raw = F.col(json) if enabled else F.lit(None).cast("string")
-    df = df.withColumn("_v", ext_normalize(raw))
+    df = df.withColumn("_raw", ext_parse(raw)).withColumn("_v", ext_normalize(F.col("_raw")))
     no_map = F.create_map().cast("map<string,boolean>")
     return df.withColumns({
         "ext_status": ext_status(raw, F.col("_v"), enabled),
         "ext_categories": F.coalesce(F.col("_v.categories"), no_map),
         "ext_flags": ext_flags(F.coalesce(F.col("_v.categories"), no_map)),
         "ext_score": F.coalesce(ext_score(F.col("_v.flagged"), F.col("_v.category_scores")), F.lit(0)),
-    }).drop("_v")
+    }).drop("_v", "_raw")
 
 
 def with_defender(df: DataFrame, text: str = "defender_text") -> DataFrame:
     """Add ``defender_risk, defender_confidence, defender_reason, defender_threats``."""
-    df = df.withColumn("_d", defender_parse(F.col(text)))
+    df = df.withColumn("_fields", defender_fields(F.col(text))).withColumn("_d", defender_parse(F.col("_fields")))
     return df.withColumns({
         "defender_risk": F.col("_d.defender_risk"),
         "defender_confidence": F.col("_d.confidence"),
         "defender_reason": F.col("_d.reason"),
         "defender_threats": F.col("_d.threats"),
-    }).drop("_d")
+    }).drop("_d", "_fields")
 
 
 def join_verdicts(df: DataFrame, verdicts: DataFrame, key: str) -> DataFrame:

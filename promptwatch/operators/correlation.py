@@ -11,6 +11,8 @@ any shuffle; no task ever holds all rows of a key.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,17 +42,25 @@ def _presence_edges(df: DataFrame, key: str, member: list[str], ts: str, window_
 
 
 def distinct_in_window(
-    df: DataFrame, key: str, members: dict[str, list[str]], ts: str, window_us: int, slice_us: int | None = None
+    df: DataFrame, key: str, members: dict[str, list[str]], ts: str, window_us: int,
+    slice_us: int | None = None, events: DataFrame | None = None,
 ) -> DataFrame:
     """Add, per entry of ``members``, the number of distinct members of ``key`` in
-    ``[t - window, t]`` at each row. Rows with equal ``ts`` see each other."""
+    ``[t - window, t]`` at each row. Rows with equal ``ts`` see each other.
+
+    ``events`` are the rows that count, when they are cheaper to read than ``df`` itself.
+    """
+    events = df if events is None else events
     names = list(members)
-    rows = df.select("*", *[F.lit(None).cast("long").alias(n) for n in names], F.lit(True).alias("_row"))
-    stream = rows
-    for name in names:
-        edges = _presence_edges(df, key, members[name], ts, window_us, name)
-        stream = stream.unionByName(edges, allowMissingColumns=True)
-    counted = running_sum(stream, [key], ts, names, slice_us or max(window_us // 60, 1))
+    edges = reduce(
+        lambda a, b: a.unionByName(b, allowMissingColumns=True),
+        [_presence_edges(events, key, members[n], ts, window_us, n) for n in names],
+    )
+    empty = [F.lit(None).cast("long").alias(n) for n in names]
+    rows = df.select("*", *empty, F.lit(True).alias("_row"))
+    stream = rows.unionByName(edges, allowMissingColumns=True)
+    points = events.select(key, ts, *empty).unionByName(edges)
+    counted = running_sum(stream, [key], ts, names, slice_us or max(window_us // 60, 1), totals_of=points)
     return counted.filter("_row").drop("_row")
 
 
@@ -72,9 +82,14 @@ def campaign_exact(df: DataFrame, key: str = "prompt_hash", ts: str = "ts_us", p
     )
 
 
-def campaign_fuzzy(df: DataFrame, key: str = "prompt_pattern", ts: str = "ts_us", params: Params = Params()) -> DataFrame:
+def campaign_fuzzy(
+    df: DataFrame, key: str = "prompt_pattern", ts: str = "ts_us", params: Params = Params(),
+    events: DataFrame | None = None,
+) -> DataFrame:
     """Add ``fuzzy_count`` over the first-words fingerprint."""
-    return distinct_in_window(df, key, {"fuzzy_count": SENDER}, ts, params.correlation_window_s * SECOND_US)
+    return distinct_in_window(
+        df, key, {"fuzzy_count": SENDER}, ts, params.correlation_window_s * SECOND_US, events=events
+    )
 
 
 def correlation_check(df: DataFrame, ts: str = "ts_us", params: Params = Params()) -> DataFrame:
@@ -84,7 +99,7 @@ def correlation_check(df: DataFrame, ts: str = "ts_us", params: Params = Params(
     only where it is silent. Three addresses on one exact fingerprint are a distributed
     attack whatever the sender counts say.
     """
-    df = campaign_fuzzy(campaign_exact(df, ts=ts, params=params), ts=ts, params=params)
+    df = campaign_fuzzy(campaign_exact(df, ts=ts, params=params), ts=ts, params=params, events=df)
     exact = F.col("exact_count") >= params.campaign_threshold
     fuzzy = F.col("fuzzy_count") >= params.campaign_threshold + 1
     df = df.withColumn("distributed", F.col("ip_count") >= 3)

@@ -15,16 +15,20 @@ from pyspark.sql import functions as F
 
 
 def running_sum(
-    df: DataFrame, keys: list[str], ts: str, values: list[str], slice_us: int, order: list[str] | None = None
+    df: DataFrame, keys: list[str], ts: str, values: list[str], slice_us: int,
+    order: list[str] | None = None, totals_of: DataFrame | None = None,
 ) -> DataFrame:
     """Replace each column of ``values`` by its running total within ``keys``.
 
     Without ``order``, rows with equal ``ts`` see each other; with it, ties are broken by
-    those columns. NULL values count as zero.
+    those columns. NULL values count as zero. ``totals_of`` has the same keys, times and
+    values as ``df`` where those can be read more cheaply.
     """
     sl = "_slice"
-    df = df.withColumn(sl, F.floor(F.col(ts) / slice_us))
-    totals = df.groupBy(*keys, sl).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    position = F.floor(F.col(ts) / slice_us).alias(sl)
+    df = df.select("*", position)
+    light = df if totals_of is None else totals_of.select("*", position)
+    totals = light.groupBy(*keys, sl).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     before = Window.partitionBy(*keys).orderBy(sl).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *keys, sl, *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_o_{v}") for v in values]

@@ -258,7 +258,7 @@ def campaign_id(spark, sf):
 
 @query
 def ext_verdict_normalize(spark, sf):
-    v = B.verdicts(spark, sf).withColumn("v", V.ext_normalize(F.col("ext_json")))
+    v = B.verdicts(spark, sf).withColumn("v", V.ext_normalize(V.ext_parse(F.col("ext_json"))))
     return v.select(
         "request_id", F.col("v.flagged").alias("flagged"),
         csv_list(F.array_sort(F.map_keys("v.categories"))).alias("categories"),
@@ -289,8 +289,7 @@ def external_verdict_join(spark, sf):
 
 
 def _risk(spark: SparkSession, sf: str) -> DataFrame:
-    requests = B.requests(spark, sf).join(B.verdicts(spark, sf), "request_id")
-    return P.with_signals(requests)
+    return P.with_signals(protection_requests(spark, sf))
 
 
 @query
@@ -678,8 +677,7 @@ GATE = replace(Params(), rounding="half_up", correlation_window_s=86400)
 
 
 def protection_requests(spark: SparkSession, sf: str) -> DataFrame:
-    requests = B.requests(spark, sf).join(B.verdicts(spark, sf), "request_id")
-    return B.spread(requests)
+    return B.spread(B.judged_requests(spark, sf))
 
 
 def protection_reports(spark: SparkSession, sf: str) -> DataFrame:

@@ -130,13 +130,20 @@ def typed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One external and one defender verdict per request."""
-    e = table(spark, sf_dir, "events")
-    v = F.col("event_id") % len(PROBE_VERDICTS)
-    return e.select(
-        F.col("event_id").alias("request_id"),
+    return spread(table(spark, sf_dir, "events")).select(F.col("event_id").alias("request_id"), *_verdict_columns(F.col("event_id")))
+
+
+def _verdict_columns(event_id: Column) -> list[Column]:
+    v = event_id % len(PROBE_VERDICTS)
+    return [
         pick([a for a, _ in PROBE_VERDICTS], v).alias("ext_json"),
         pick([b for _, b in PROBE_VERDICTS], v).alias("defender_text"),
-    )
+    ]
+
+
+def judged_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that arrive with their verdicts."""
+    return requests(spark, sf_dir).select("*", *_verdict_columns(F.col("request_id")))
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,8 +152,9 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("prompt_id"),
         F.col("text").alias("prompt"),
     )
-    bank = spark.createDataFrame(
-        [(f"b{k}", p) for k, p in enumerate(PROBE_PROMPTS)], "prompt_id string, prompt string"
+    k = F.col("id")
+    bank = spark.range(len(PROBE_PROMPTS)).select(
+        F.concat(F.lit("b"), k.cast("string")).alias("prompt_id"), pick(PROBE_PROMPTS, k).alias("prompt")
     )
     turns = table(spark, sf_dir, "conversations").filter(F.col("role") == "user").select(
         F.concat_ws("_", F.lit("c"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("prompt_id"),
@@ -156,13 +164,11 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def control_log(spark: SparkSession) -> DataFrame:
-    rows = [(k, key, a, r, t, i) for i, (k, key, a, r, t, _) in enumerate(CONTROL_ACTIONS)]
-    df = spark.createDataFrame(
-        rows, "kind string, key string, action string, reason string, triggered_by string, seq int"
-    )
-    times = [c[5] for c in CONTROL_ACTIONS]
-    ts = pick(times, F.col("seq")).cast("timestamp_ntz")
-    return df.withColumn("ts_us", micros(ts))
+    seq = F.col("id")
+    names = ["kind", "key", "action", "reason", "triggered_by"]
+    columns = [pick([c[i] for c in CONTROL_ACTIONS], seq).alias(n) for i, n in enumerate(names)]
+    ts = pick([c[5] for c in CONTROL_ACTIONS], seq).cast("timestamp_ntz")
+    return spark.range(len(CONTROL_ACTIONS)).select(*columns, seq.cast("int").alias("seq"), micros(ts).alias("ts_us"))
 
 
 def typed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
