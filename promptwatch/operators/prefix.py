@@ -61,6 +61,36 @@ def previous_in_key(df: DataFrame, keys: list[str], ts: str, order: str, slice_u
     )
 
 
+def latest_mark(
+    df: DataFrame, marks: DataFrame, key: str, ts: str, rank: str, payload: list[str], out: str, slice_us: int
+) -> DataFrame:
+    """Add ``out``: the newest of ``marks`` of the same key at or before each row (an as-of join).
+
+    ``marks`` has columns ``key, ts, rank`` (breaks ties of ``ts``) and ``payload``; the
+    result is the struct ``(ts, rank, *payload)`` or NULL. Nothing is paired up: the two
+    sides are merged in time, slice by slice, so a key may be frequent on both.
+    """
+    mark = F.struct(F.col(ts).alias("ts"), F.col(rank).alias("rank"), *payload).alias("_mark")
+    marked = marks.select(key, ts, mark)
+    rows = df.select("*", F.lit(None).cast(marked.schema["_mark"].dataType).alias("_mark"), F.lit(True).alias("_row"))
+    position = F.floor(F.col(ts) / slice_us).alias("_slice")
+    ends = (
+        df.select(key, ts).unionByName(marked, allowMissingColumns=True).select("*", position)
+        .groupBy(key, "_slice").agg(F.max("_mark").alias("_last"))
+    )
+    before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(
+        F.col(key).alias("_k_key"), F.col("_slice").alias("_k_slice"), F.max("_last").over(before).alias("_earlier")
+    )
+    inside = Window.partitionBy(key, "_slice").orderBy(ts).rangeBetween(Window.unboundedPreceding, 0)
+    merged = rows.unionByName(marked, allowMissingColumns=True).select("*", position)
+    placed = merged.withColumn("_here", F.max("_mark").over(inside)).filter("_row")
+    same = F.col(key).eqNullSafe(F.col("_k_key")) & (F.col("_slice") == F.col("_k_slice"))
+    return placed.join(ends, same).withColumn(out, F.coalesce("_here", "_earlier")).drop(
+        "_mark", "_row", "_slice", "_here", "_k_key", "_k_slice", "_earlier"
+    )
+
+
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame | None:
     """Keys with more than ``hot_rows`` rows, or None when there are none.
 
