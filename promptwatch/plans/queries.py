@@ -408,10 +408,11 @@ def distributed_attack(spark, sf):
 
 
 def _sightings(spark: SparkSession, sf: str) -> DataFrame:
-    return B.requests(spark, sf).select(
+    """Fingerprints, written once because several branches read them."""
+    return materialize(B.spread(B.requests(spark, sf)).select(
         "request_id", "ts_us", "user_id", "client_ip",
         FP.prompt_hash(F.col("prompt")).alias("prompt_hash"), FP.prompt_pattern(F.col("prompt")).alias("prompt_pattern"),
-    )
+    ))
 
 
 @query
