@@ -21,9 +21,9 @@ def explicit_multiplier(folded: Column, words: Column, biggest: Column, bare_num
     """Multiplier stated in numbers: a product of two, else one large number, else 1."""
     digits = T.ascii_digits(folded)
     pattern = T.text_pattern(PRODUCT_PATTERN)
-    has_digit = digits.rlike("[0-9]")
-    first = F.when(has_digit, F.regexp_extract(digits, pattern, 1)).otherwise("")
-    second = F.regexp_extract(digits, pattern, 2)
+    possible = (F.contains(folded, F.lit("each")) | F.contains(folded, F.lit("of"))) & digits.rlike("[0-9]")
+    first = F.when(possible, F.regexp_extract(digits, pattern, 1)).otherwise("")
+    second = F.when(possible, F.regexp_extract(digits, pattern, 2)).otherwise("")
     product = first.try_cast("double") * second.try_cast("double") * 1.3 / prompt_tokens(words)
     single = F.when(biggest > 50, biggest / 10.0) if bare_numbers else F.lit(None).cast("double")
     return F.when(first != "", product).otherwise(F.coalesce(single, F.lit(1.0)))

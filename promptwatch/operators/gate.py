@@ -17,6 +17,7 @@ from promptwatch.operators.anchored import quota_check
 from promptwatch.operators.fold import ordered_fold
 from promptwatch.operators.prefix import hot_keys
 from promptwatch.params import SECOND_US, Params
+from promptwatch.sources.workspace import materialize
 
 #: ``proof`` input: no submission, a wrong one, a right one.
 NO_PROOF, BAD_PROOF, GOOD_PROOF = -1, 0, 1
@@ -99,7 +100,7 @@ def request_gate(df: DataFrame, params: Params = Params()) -> DataFrame:
         return _decided(open_rows, params).unionByName(denied)
     hot = F.broadcast(hot)  # at most rows / hot_rows users
     cold = _decided(open_rows.join(hot, "user_id", "left_anti"), params)
-    metered = quota_check(open_rows.join(hot, "user_id", "left_semi"), params=params)
+    metered = materialize(quota_check(open_rows.join(hot, "user_id", "left_semi"), params=params))
     admitted = metered.filter("quota_allowed").drop("quota_allowed").withColumnRenamed("quota_used", "admitted")
     over = _auth_exit(metered.filter("NOT quota_allowed").drop("quota_used", "quota_allowed"))
     return cold.unionByName(_fold(admitted, params)).unionByName(over).unionByName(denied)
