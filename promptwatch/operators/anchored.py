@@ -81,9 +81,10 @@ def _next_start(points: DataFrame, keys: list[str], length_us: int) -> DataFrame
     both = events.unionByName(probes).withColumn("_s", F.floor(F.col("_at") / slice_us))
     event_at = F.when(F.col("_from").isNull(), F.col("_at"))
     per_slice = both.groupBy(*keys, "_s").agg(F.min(event_at).alias("_first"))
-    later = Window.partitionBy(*keys).orderBy("_s").rowsBetween(1, Window.unboundedFollowing)
+    # frames run backwards in time: growing frames cost one step per row, shrinking ones do not
+    later = Window.partitionBy(*keys).orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)
     per_slice = per_slice.select(*keys, "_s", F.min("_first").over(later).alias("_later"))
-    inside = Window.partitionBy(*keys, "_s").orderBy("_at").rangeBetween(0, Window.unboundedFollowing)
+    inside = Window.partitionBy(*keys, "_s").orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, 0)
     located = both.withColumn("_here", F.min(event_at).over(inside)).filter(F.col("_from").isNotNull())
     return located.join(per_slice, [*keys, "_s"]).select(
         *keys, F.col("_from").alias("_t"), F.coalesce("_here", "_later").alias("_next")
