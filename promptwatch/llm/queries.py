@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from promptwatch.llm.decontaminate import contaminated
 from promptwatch.llm.language import languages
+from promptwatch.llm.pii import personal_data
 from promptwatch.llm.shared import read
 from promptwatch.llm.token_files import token_ids
+from promptwatch.llm.unigram import digests
 
 
 def tokenizer_file(name: str) -> str:
@@ -22,13 +25,28 @@ def op1_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(read(spark, sf_dir, "documents"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(read(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_languages": op1_languages,
+    "op3_personal_data": op3_personal_data,
     "op4_token_files": op4_token_files,
+    "op6_decontamination": op6_decontamination,
+    "op7_sentencepiece": op7_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {}
