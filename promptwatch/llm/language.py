@@ -16,23 +16,21 @@ empty string when rows are split into training and held-out ones. Repeated rows
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptwatch.llm.shared import chunks, strings
+from promptwatch.llm.shared import chunks, kept, strings
 
 BITS = 16
 CHUNK_CHARS = 1 << 20
 MAX_LANGUAGES = 500
 
 
-@cache
 def _letters() -> np.ndarray:
-    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+    return kept(("letters",), lambda: np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
 
 
 def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

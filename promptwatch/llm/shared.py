@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from promptwatch.sources.workspace import materialize, workspace_path
 
 __all__ = [
-    "chunks", "connected", "folder", "lower_ascii", "materialize", "mix", "posix", "read", "strings", "word_hashes",
+    "chunks", "connected", "folder", "kept", "lower_ascii", "materialize", "mix", "posix", "read", "strings", "word_hashes",
 ]
 
 
@@ -36,6 +38,20 @@ def posix(uri: str):
     return pyarrow.fs.FileSystem.from_uri(uri)
 
 
+def kept(key: tuple, make: Callable[[], object], most: int = 8) -> object:
+    """An object that a Python worker keeps between its tasks.
+
+    Functions travel to the workers by value, so the globals of this package begin anew with every task.
+    """
+    store = sys.modules.setdefault("_kept_between_tasks", types.ModuleType("_kept_between_tasks")).__dict__
+    if key not in store:
+        own = [k for k in store if isinstance(k, tuple)]
+        for old in own[: max(0, len(own) - most + 1)]:
+            del store[old]
+        store[key] = make()
+    return store[key]
+
+
 def strings(column: pa.Array) -> list[str]:
     """Texts of an Arrow column; null counts as empty."""
     return [x or "" for x in column.to_pylist()]
@@ -64,18 +80,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0x2545F4914F6CDD1D
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** n modulo 2 ** 64."""
-    have = _POWERS.get(base)
-    if have is None or len(have) <= n:
-        size = max(1 << 16, 1 << n.bit_length())
-        have = np.full(size + 1, base, np.uint64)
-        have[0] = 1
-        _POWERS[base] = have = np.multiply.accumulate(have)
-    return have
+    """base ** 0 .. base ** n modulo 2 ** 64, and some more."""
+    size = max(1 << 16, 1 << n.bit_length())
+
+    def make() -> np.ndarray:
+        factors = np.full(size + 1, base, np.uint64)
+        factors[0] = 1
+        return np.multiply.accumulate(factors)
+
+    return kept(("powers", base, size), make, most=32)
 
 
 def lower_ascii() -> np.ndarray:

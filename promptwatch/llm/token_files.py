@@ -1,12 +1,14 @@
-"""Token ids as flat binary files: unsigned 32-bit ids beside unsigned 64-bit document offsets.
+"""Token ids as flat binary files: unsigned integers beside unsigned 64-bit document offsets.
 
 Layout of a folder, for each part p in ascending order of doc_id:
 
-* ``p.ids``: the ids of its documents, little-endian unsigned 32-bit, nothing else;
+* ``p.ids``: the ids of its documents, little-endian and nothing else: unsigned 16-bit where the vocabulary and the
+  end id fit, unsigned 32-bit otherwise;
 * ``p.offsets``: documents + 1 little-endian unsigned 64-bit numbers, where each document starts among the ids of
   *all* parts (the part's base from the prefix sum is already in them) and where the part ends;
 * ``p.docs``: the doc_ids as 64-bit integers, in the same order;
-* ``parts``: a Parquet table with a row for each part: documents, rows without a doc_id (they come first), base.
+* ``parts``: a Parquet table with a row for each part: documents, rows without a doc_id (they come first), base,
+  bytes of an id.
 
 Files are first written under a name of the task's attempt and then renamed, so a repeated attempt replaces a part
 by equal bytes and a lost executor leaves nothing half-written under a final name. Reading maps the files into memory
@@ -23,7 +25,6 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from promptwatch.llm.shared import folder, materialize, posix, strings
+from promptwatch.llm.shared import folder, kept, materialize, posix, strings
 
 #: Encoded words that a worker keeps.
 CACHE_WORDS = 1 << 20
@@ -39,12 +40,11 @@ CACHE_WORDS = 1 << 20
 BLOCK = 256
 
 
-@lru_cache(maxsize=2)
 def _encoder(path: str) -> "Words":
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Words(path)
+    return kept(("tokenizer", path), lambda: Words(path))
 
 
 class Words:
@@ -58,6 +58,7 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.cache: dict[str, bytes] = {"": b""}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -72,7 +73,7 @@ class Words:
         for lo in range(0, len(plain), 8192):
             groups = [plain[i : i + 256] for i in range(lo, min(lo + 8192, len(plain)), 256)]
             for group, e in zip(groups, self.tokenizer.encode_batch_fast([" \0 ".join(g) for g in groups], add_special_tokens=False)):
-                ids = np.array(e.ids, "<u4")
+                ids = np.array(e.ids, self.kind)
                 cut = np.flatnonzero(ids == self.mark)
                 if len(cut) != len(group) - 1:  # a word holds the mark's id itself
                     for w in group:
@@ -84,10 +85,10 @@ class Words:
             self.cache[w] = self._plain(w)
 
     def _plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+        """Little-endian unsigned ids of each text, of the kind that the vocabulary needs."""
         if not self.by_word:
             return [self._plain(t) for t in texts]
         if len(self.cache) > CACHE_WORDS:
@@ -116,7 +117,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str, doc_id
         words, part = _encoder(tokenizer), TaskContext.get().partitionId()
         final = f"{root}/{part:010d}"
         trial = f"{final}.{uuid.uuid4().hex}"
-        end = np.array([end_id], "<u4").tobytes()
+        if end_id >= 1 << 16 and words.kind == "<u2":
+            raise ValueError("the end id does not fit the vocabulary's integers")
+        end = np.array([end_id], words.kind).tobytes()
+        width = len(end)
         lengths, ids, empty = [], [], 0
         with fs.open_output_stream(f"{trial}.ids") as out:
             for batch in batches:
@@ -125,7 +129,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str, doc_id
                     for b in words.encode(texts[lo : lo + BLOCK]):
                         out.write(b)
                         out.write(end)
-                        lengths.append(len(b) // 4 + 1)
+                        lengths.append(len(b) // width + 1)
                 empty += batch.column(0).null_count
                 ids.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
         if not lengths:
@@ -137,14 +141,14 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str, doc_id
         for name in ("ids", "lengths", "docs"):
             fs.move(f"{trial}.{name}", f"{final}.{name}")
         yield pa.RecordBatch.from_pylist([{
-            "part": part, "documents": len(lengths), "without_id": empty, "tokens": int(sum(lengths)),
-        }], pa.schema([("part", pa.int32()), ("documents", pa.int64()), ("without_id", pa.int64()), ("tokens", pa.int64())]))
+            "part": part, "documents": len(lengths), "without_id": empty, "tokens": int(sum(lengths)), "width": width,
+        }], pa.schema([("part", pa.int32()), ("documents", pa.int64()), ("without_id", pa.int64()), ("tokens", pa.int64()), ("width", pa.int32())]))
 
     placed = (
         docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
         .repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     )
-    written = materialize(placed.mapInArrow(encode, "part int, documents bigint, without_id bigint, tokens bigint"))
+    written = materialize(placed.mapInArrow(encode, "part int, documents bigint, without_id bigint, tokens bigint, width int"))
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     based = written.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
     based.coalesce(1).write.parquet(f"{path}/parts")
@@ -186,18 +190,20 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
 
                 with opened("ids") as ids, opened("offsets") as f, opened("docs") as g:
                     offset, docs = np.frombuffer(f.read(), "<u8").astype(np.int64), np.frombuffer(g.read(), "<i8")
+                    width = part["width"]
                     for lo in range(0, len(docs), 4096):
                         hi = min(lo + 4096, len(docs))
                         out: dict[str, list] = {k: [] for k, _ in kinds}
                         for i in range(lo, hi):
-                            ids.seek(4 * int(offset[i] - offset[0]))
-                            data = ids.read_buffer(4 * int(offset[i + 1] - offset[i]))
+                            ids.seek(width * int(offset[i] - offset[0]))
+                            data = ids.read_buffer(width * int(offset[i + 1] - offset[i]))
+                            own = np.frombuffer(data, f"<u{width}").astype("<u4")
                             out["doc_id"].append(int(docs[i]) if i >= part["without_id"] else None)
                             out["start"].append(int(offset[i]))
                             out["n_tokens"].append(int(offset[i + 1] - offset[i]))
-                            out["ids_crc32"].append(zlib.crc32(data))
+                            out["ids_crc32"].append(zlib.crc32(own))
                             if with_ids:
-                                out["ids"].append(np.frombuffer(data, "<u4").astype(np.int64))
+                                out["ids"].append(own.astype(np.int64))
                         yield pa.RecordBatch.from_pydict(out, pa.schema(kinds))
 
     table = spark.read.parquet(f"{path}/parts")

@@ -22,13 +22,14 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from promptwatch.llm.shared import chunks, kept
+
 MARK = "▁"
 LONG = 64
 CACHE_WORDS = 1 << 20
@@ -247,9 +248,9 @@ class Pieces:
         return text[1:] if text[:1] == " " else text
 
 
-@lru_cache(maxsize=2)
 def pieces(model_file: str) -> Pieces:
-    return Pieces(model_file)
+    """The vocabulary and its cache of words, which a worker keeps."""
+    return kept(("pieces", model_file), lambda: Pieces(model_file))
 
 
 RESULT = "struct<ids:array<int>,decoded:string>"
@@ -259,8 +260,6 @@ BLOCK_CHARS = 1 << 20
 
 def encode_texts(docs: DataFrame, model_file: str, text: str = "text", into: str = "pieces") -> DataFrame:
     """Append ``into``: piece ids of each text, and the text they decode to."""
-    from promptwatch.llm.shared import chunks
-
     @F.arrow_udf(RESULT)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = pieces(model_file)
@@ -281,8 +280,6 @@ def encode_texts(docs: DataFrame, model_file: str, text: str = "text", into: str
 
 def digests(docs: DataFrame, model_file: str) -> DataFrame:
     """doc_id, n_pieces, n_bytes (byte pieces), ids_crc32, decoded_sha256 and whether the text came back whole."""
-    from promptwatch.llm.shared import chunks
-
     schema = pa.struct([
         ("n_pieces", pa.int64()), ("n_bytes", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_sha256", pa.string()), ("round_trip", pa.bool_()),
     ])
