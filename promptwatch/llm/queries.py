@@ -8,10 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from promptwatch.llm.decontaminate import contaminated
 from promptwatch.llm.language import languages
+from promptwatch.llm.oracles import ORACLES
 from promptwatch.llm.pii import personal_data
+from promptwatch.llm.pivots import top_products
 from promptwatch.llm.shared import read
+from promptwatch.llm.sharding import document_shards
 from promptwatch.llm.token_files import token_ids
 from promptwatch.llm.unigram import digests
+from promptwatch.llm.warc import captures
+
+#: Bytes of text that a shard holds at most.
+SHARD_LIMIT = 1 << 20
 
 
 def tokenizer_file(name: str) -> str:
@@ -25,6 +32,10 @@ def op1_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(read(spark, sf_dir, "documents"))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_shards(read(spark, sf_dir, "documents"), SHARD_LIMIT)
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(read(spark, sf_dir, "documents"))
 
@@ -33,6 +44,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return captures(read(spark, sf_dir, "pages"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -41,12 +56,18 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_languages": op1_languages,
+    "op2_sharding": op2_sharding,
     "op3_personal_data": op3_personal_data,
     "op4_token_files": op4_token_files,
+    "op5_warc": op5_warc,
     "op6_decontamination": op6_decontamination,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_exact_top_k": op8_exact_top_k,
 }
-
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
