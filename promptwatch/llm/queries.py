@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from promptwatch.llm.decontaminate import contaminated
+from promptwatch.llm.jaccard import linked_documents
 from promptwatch.llm.language import languages
 from promptwatch.llm.oracles import ORACLES
 from promptwatch.llm.pii import personal_data
@@ -60,6 +61,10 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(read(spark, sf_dir, "embeddings"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_documents(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_languages": op1_languages,
     "op2_sharding": op2_sharding,
@@ -69,5 +74,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": op6_decontamination,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_exact_top_k": op8_exact_top_k,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 __all__ = ["ORACLES", "QUERIES"]
