@@ -63,7 +63,7 @@ class Words:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        self.by_word = steps[0].get("behavior") == "Removed" and bool(steps[0].get("invert")) and r"[^\s" in str(steps[0].get("pattern"))
+        self.by_word = steps[0].get("behavior") == "Removed" and bool(steps[0].get("invert")) and r"[^\s" in (steps[0].get("pattern") or {}).get("Regex", "")
         mark = self.tokenizer.encode("\0", add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
 
@@ -79,8 +79,9 @@ class Words:
                     for w in group:
                         self.cache[w] = self._plain(w)
                     continue
-                for w, part in zip(group, np.split(ids, cut)):
-                    self.cache[w] = part[0 if w is group[0] else 1 :].tobytes()
+                data, width = ids.tobytes(), ids.itemsize
+                for w, a, b in zip(group, [-1, *cut.tolist()], [*cut.tolist(), len(ids)]):
+                    self.cache[w] = data[width * (a + 1) : width * b]
         for w in words if self.mark is None else [w for w in words if "\0" in w]:
             self.cache[w] = self._plain(w)
 
@@ -94,7 +95,7 @@ class Words:
         if len(self.cache) > CACHE_WORDS:
             self.cache = {"": b""}
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        self._new(list({w for words in split for w in words} - self.cache.keys()))
+        self._new(list({w for words in split for w in words}.difference(self.cache)))
         get = self.cache.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
