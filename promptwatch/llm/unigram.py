@@ -231,7 +231,7 @@ class Pieces:
             self.cache = {}
         self.cache["\n"] = self.line
         split = [self._split(t) if t else [] for t in texts]
-        new = list({w for words in split for w in words} - self.cache.keys())
+        new = list({w for words in split for w in words}.difference(self.cache))
         marked = [w.replace(" ", MARK).encode("utf-8", "replace") for w in new]
         short = sorted((i for i, m in enumerate(marked) if len(m) <= LONG), key=lambda i: len(marked[i]))
         for lo in range(0, len(short), 1 << 15):
@@ -239,7 +239,7 @@ class Pieces:
             for i, ids in zip(group, self.viterbi_all([marked[i] for i in group])):
                 self.cache[new[i]] = ids
         extra = {new[i]: self.viterbi(m).astype("<i4").tobytes() for i, m in enumerate(marked) if len(m) > LONG}
-        get = lambda w: self.cache.get(w) or extra[w]
+        get = (self.cache | extra if extra else self.cache).__getitem__
         return [b"".join(map(get, words)) for words in split]
 
     def decode(self, ids: np.ndarray) -> str:
