@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from promptwatch.llm.decontaminate import contaminated
 from promptwatch.llm.jaccard import linked_documents
 from promptwatch.llm.language import languages
+from promptwatch.llm.licenses import license_notices
 from promptwatch.llm.oracles import ORACLES
 from promptwatch.llm.pii import personal_data
 from promptwatch.llm.pivots import top_products
@@ -61,6 +62,10 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(read(spark, sf_dir, "embeddings"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_notices(read(spark, sf_dir, "documents"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_documents(read(spark, sf_dir, "documents"))
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": op6_decontamination,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_exact_top_k": op8_exact_top_k,
+    "op9_licenses": op9_licenses,
     "op10_jaccard_join": op10_jaccard_join,
 }
 __all__ = ["ORACLES", "QUERIES"]
