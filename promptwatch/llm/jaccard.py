@@ -5,7 +5,7 @@ smallest doc_id stands for. For a similarity of t or more two sets of n shingles
 ``n - ceil(t n) + 1`` in any common order; the order is by hash, with shingles of crowded buckets last. So classes are
 dealt to buckets by those first shingles and no pair outside a bucket is lost.
 
-Three rounds then tie each bucket's classes of similar size to a leader, the class whose shingles most others share:
+Two rounds then tie each bucket's classes of similar size to a leader, the class whose shingles most others share:
 a group of n near copies costs n comparisons there, not n squared. A bucket whose classes are all tied together is
 done. In each other bucket the classes' bitmaps (at least four bits for each shingle) are the leaves of a signature
 tree, whose nodes hold the OR of their bitmaps, their range of sizes and the most shingles that share a bit. Pairs of
@@ -319,11 +319,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, over: int = 80, of: int = 1
     base = math.log(of / over) * (1 + 1e-9)  # sizes that can be similar are never two bands apart
     links, roots = None, None
     open_rows = rows.withColumn("comp", F.col("node"))
-    for shift, lead in ((0.0, F.col("weight")), (0.5, F.col("weight")), (0.25, F.xxhash64("node").cast("double"))):
+    for shift in (0.0, 0.5):
         band = F.floor(F.log(F.col("size").cast("double")) / base + shift)
         banded = open_rows.withColumn("band", band)
         leaders = banded.groupBy("token", "band").agg(
-            F.max_by(F.struct("node", "comp"), F.struct(lead, "copies", -F.col("node"))).alias("leader"), F.min("comp").alias("low"), F.max("comp").alias("high")
+            F.max_by(F.struct("node", "comp"), F.struct("weight", "copies", -F.col("node"))).alias("leader"), F.min("comp").alias("low"), F.max("comp").alias("high")
         ).where("low <> high").select("token", "band", "leader.*").toDF("token", "band", "a", "lead_comp")
         pairs = banded.join(leaders, ["token", "band"]).where("comp <> lead_comp").groupBy("a", F.col("node").alias("b")).agg(
             F.count("*").alias("shared"), F.max("size").alias("size")

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from promptwatch.sources.workspace import materialize, workspace_path
@@ -143,17 +143,21 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
             )
         return out.where("u <> v").distinct()
 
-    pairs = materialize(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct())
-    before = None
-    for _ in range(rounds):
-        pairs = materialize(star(star(pairs, True), False))
-        now = pairs.agg(
-            F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")
-        ).first()
-        if now == before or now[0] == now[2] and before is not None and now[0] == 0:
+    def written(pairs: DataFrame) -> tuple[DataFrame, tuple]:
+        """The pairs as a table, and their count and checksum, which the writing job brings along."""
+        seen = Observation()
+        counted = pairs.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+        table = materialize(counted)
+        return table, (seen.get["n"], seen.get["sum"])
+
+    pairs, before = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    for _ in range(rounds if before[0] else 0):
+        pairs, now = written(star(star(pairs, True), False))
+        if now == before:
             break
         before = now
     else:
-        raise RuntimeError("components did not settle; raise rounds")
+        if before[0]:
+            raise RuntimeError("components did not settle; raise rounds")
     roots = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
