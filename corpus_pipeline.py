@@ -10,7 +10,8 @@ Parquet and read again as the next one's ``docs``.
 4. ``personal_data``: e-mail addresses, IP addresses, card and phone numbers become ``[EMAIL]``, ``[IP]``, ...
 5. ``pieces``: texts as piece ids, and the text they decode to.
 
-Columns other than doc_id, text and lang are passed on untouched, whatever their names.
+``n_chars``, where a table has it, follows the text; columns other than that and doc_id, text and lang are passed on
+untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from promptwatch.llm.decontaminate import without_benchmark
 from promptwatch.llm.jaccard import one_of_each
@@ -28,6 +30,10 @@ from promptwatch.llm.shared import materialize, read
 from promptwatch.llm.unigram import encoded
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_identified(docs)
 
@@ -37,11 +43,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without_benchmark(docs, read(spark, sf_dir, "benchmark"))
+    return _counted(without_benchmark(docs, read(spark, sf_dir, "benchmark")))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without_personal_data(docs)
+    return _counted(without_personal_data(docs))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
