@@ -61,10 +61,18 @@ def char_histogram(df: DataFrame, text: str, *keys: str) -> DataFrame:
 
 
 def entropy_by_key(df: DataFrame, text: str, key: str) -> DataFrame:
-    """The same value as :func:`shannon_entropy` as two aggregations (no Python worker)."""
-    hist = char_histogram(df, text, key)
+    """The same value as :func:`shannon_entropy` as two aggregations (no Python worker).
+
+    Every key has a row: one with only empty texts has 0, one with only NULL texts has NULL.
+    """
+    nothing = F.array(F.lit(None).cast("string"))
+    chars = F.when(F.length(text) > 0, F.filter(F.split(F.col(text), ""), lambda c: c != "")).otherwise(nothing)
+    hist = df.select(key, F.col(text).isNotNull().alias("_has"), F.explode(chars).alias("ch")).groupBy(key, "ch").agg(
+        F.count("ch").alias("n"), F.bool_or("_has").alias("_has")
+    )
     n = F.sum("n")
-    return hist.groupBy(key).agg((F.log2(n) - F.sum(F.col("n") * F.log2("n")) / n).alias("entropy"))
+    bits = F.coalesce(F.log2(n) - F.sum(F.col("n") * F.log2("n")) / n, F.lit(0.0))
+    return hist.groupBy(key).agg(F.when(F.bool_or("_has"), bits).alias("entropy"))
 
 
 def entropy_score(length: Column, entropy: Column, low: float = 3.5, high: float = 4.7) -> Column:

@@ -146,6 +146,10 @@ def base64_injection(prompt: str, long_run: Column | None = None) -> Column:
     return reduce(lambda a, b: a | b, hits)
 
 
+def _base64_detector(folded: str, prompt: str) -> Column:
+    return base64_injection(prompt)
+
+
 def detectors() -> dict[str, Callable[[str, str], Column]]:
     """The registry: flag -> function of the column names of the folded and original text.
 
@@ -158,7 +162,7 @@ def detectors() -> dict[str, Callable[[str, str], Column]]:
     found["HIDDEN_UNICODE_PAYLOAD"] = lambda folded, prompt: hidden_unicode(prompt)
     found["WHITESPACE_STUFFING"] = lambda folded, prompt: whitespace_stuffing(prompt)
     found["HTML_COMMENT_INJECTION"] = lambda folded, prompt: html_comment(prompt)
-    found["BASE64_INJECTION"] = lambda folded, prompt: base64_injection(prompt)
+    found["BASE64_INJECTION"] = _base64_detector
     return found
 
 
@@ -172,8 +176,8 @@ def with_rule_flags(
     df: DataFrame, prompt: str = "prompt", folded: str = "_lower", registry: dict | None = None
 ) -> DataFrame:
     """Add ``rule_flags`` and ``rule_score`` (18 points per flag, at most 100)."""
-    registry = dict(registry or detectors())
-    if "_long_run" in df.columns:
+    registry = dict(detectors() if registry is None else registry)
+    if "_long_run" in df.columns and registry.get("BASE64_INJECTION") is _base64_detector:
         registry["BASE64_INJECTION"] = lambda folded, text: base64_injection(text, F.col("_long_run"))
     raw = {f"_f_{name}": fn(folded, prompt) for name, fn in registry.items()}
     df = df.withColumns(raw)

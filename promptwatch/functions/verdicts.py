@@ -29,14 +29,24 @@ DEFAULT_RISK, DEFAULT_CONFIDENCE, DEFAULT_REASON = 0.1, 0.5, "no reason provided
 FAIL_OPEN_REASON = "defender unavailable"
 
 _VERDICT = "flagged boolean, categories map<string,boolean>, category_scores map<string,double>"
-_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+_NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?|nan)\s*$"
+_SENTINEL = "end of reply"
+
+
+def strict_object(json: Column) -> Column:
+    """True where the whole text is one JSON object by the strict grammar.
+
+    The lenient readers take single quotes and ignore what follows a value, so the text is
+    put between two array elements: only a complete value leaves both in place.
+    """
+    framed = F.try_parse_json(F.concat(F.lit("[0,"), json, F.lit(f',"{_SENTINEL}"]')))
+    ends = F.try_variant_get(framed, "$[2]", "string") == _SENTINEL
+    return F.coalesce(ends & strip(json).startswith("{"), F.lit(False))
 
 
 def ext_parse(json: Column) -> Column:
     """The raw verdict; keep it in a column of its own, it is read many times."""
-    return F.when(
-        F.ltrim(json).startswith("{"), F.from_json(json, f"{_VERDICT}, results array<struct<{_VERDICT}>>")
-    )
+    return F.when(strict_object(json), F.from_json(json, f"{_VERDICT}, results array<struct<{_VERDICT}>>"))
 
 
 def ext_normalize(parsed: Column) -> Column:
@@ -91,29 +101,47 @@ def risk_band(score: Column, suspicious: Column) -> Column:
     return F.when(score > 80, "critical").when(suspicious, "suspicious").otherwise("clean")
 
 
-def _number(value: Column) -> Column:
-    return F.when(value.rlike(_NUMBER), F.trim(value).try_cast("double"))
+def _number(value: Column, kind: Column) -> Column:
+    """A JSON number, a string that spells one (``inf`` and ``nan`` too), or a JSON boolean as 1 or 0."""
+    truth = F.when(kind == "BOOLEAN", (value == "true").cast("double"))
+    return F.coalesce(truth, F.when(value.rlike(_NUMBER), strip(value).try_cast("double")))
 
 
 def defender_fields(text: Column) -> Column:
-    """The reply's fields as a map, NULL when it is no JSON object; keep it in a column of its own."""
+    """The reply's fields and the JSON types of three of them, NULL when it is no JSON object.
+
+    Keep it in a column of its own, it is read many times.
+    """
     reply = strip(text)
     fenced = F.regexp_replace(reply, r"(?m)^```.*$", "")
     body = F.when(reply.startswith("```"), fenced).otherwise(reply)
-    return F.when(strip(body).startswith("{"), F.from_json(body, "map<string,string>"))
 
+    def kind(key: str) -> Column:
+        return F.schema_of_variant(F.try_variant_get(F.try_parse_json(body), f"$.{key}", "variant")).alias(key)
+
+    return F.when(strict_object(body), F.struct(
+        F.from_json(body, "map<string,string>").alias("values"),
+        F.struct(*[kind(k) for k in ("defender_risk", "confidence", "threats")]).alias("kinds"),
+    ))
 
-def defender_parse(fields: Column) -> Column:
+
+def defender_parse(parsed: Column) -> Column:
     """Fields of a reply -> ``defender_risk, confidence, reason, threats``.
 
-    A missing key takes its own default; a reply that cannot be used at all fails open.
+    A missing key takes its own default; a reply that cannot be used at all (no JSON object,
+    a number that is none, threats that are no list) fails open. A string of threats is the
+    list of its characters.
     """
+    fields, kinds = parsed["values"], parsed["kinds"]
+
     def number(key: str, default: float) -> Column:
         has = F.map_contains_key(fields, key)
-        return F.when(has, _number(F.try_element_at(fields, F.lit(key)))).otherwise(F.lit(default))
+        return F.when(has, _number(F.try_element_at(fields, F.lit(key)), kinds[key])).otherwise(F.lit(default))
 
     risk, confidence = number("defender_risk", DEFAULT_RISK), number("confidence", DEFAULT_CONFIDENCE)
-    usable = fields.isNotNull() & risk.isNotNull() & confidence.isNotNull()
+    text = kinds["threats"] == "STRING"
+    listed = ~F.map_contains_key(fields, "threats") | text | kinds["threats"].startswith("ARRAY")
+    usable = parsed.isNotNull() & risk.isNotNull() & confidence.isNotNull() & listed
 
     def clamp(x: Column) -> Column:
         return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
@@ -121,8 +149,10 @@ def defender_parse(fields: Column) -> Column:
     reason = F.when(
         F.map_contains_key(fields, "reason"), F.coalesce(F.try_element_at(fields, F.lit("reason")), F.lit("None"))
     ).otherwise(F.lit(DEFAULT_REASON))
+    given = F.try_element_at(fields, F.lit("threats"))
+    characters = F.filter(F.split(given, ""), lambda c: c != "")
     threats = F.coalesce(
-        F.from_json(F.try_element_at(fields, F.lit("threats")), "array<string>"), F.array().cast("array<string>")
+        F.when(text, characters).otherwise(F.from_json(given, "array<string>")), F.array().cast("array<string>")
     )
     return F.struct(
         F.when(usable, clamp(risk)).otherwise(FAIL_OPEN_RISK).alias("defender_risk"),

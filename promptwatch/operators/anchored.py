@@ -31,7 +31,6 @@ def anchored_window(
     hot = hot_keys(df, keys, hot_rows)
     if hot is None:
         return _folded(df, keys, ts, length_us, order)
-    hot = F.broadcast(hot)  # at most rows / hot_rows keys
     cold_part = df.join(hot, keys, "left_anti")
     hot_part = df.join(hot, keys, "left_semi")
     return _folded(cold_part, keys, ts, length_us, order).unionByName(

@@ -85,42 +85,46 @@ def gate_step(state: tuple, row: tuple, params: Params) -> tuple[tuple, tuple]:
     )
 
 
-def request_gate(df: DataFrame, params: Params = Params()) -> DataFrame:
+def request_gate(df: DataFrame, params: Params = Params(), key: str = "request_id") -> DataFrame:
     """Add OUTPUTS to requests carrying INPUTS (without ``admitted``), ``deny_reason`` and the ids.
 
     ``deny_reason`` (blacklist) rows leave first; ``exit`` is one of auth, risk,
     amplification, challenge, proof, defender, allowed. Only the columns named here are
-    moved: the result is ``request_id, user_id`` and OUTPUTS plus ``deny_reason``.
+    moved: the result is ``request_id, user_id`` and OUTPUTS plus ``deny_reason``, and ``key`` where rows are told
+    apart by another column than ``request_id`` (ids may repeat).
     """
-    narrow = df.select("request_id", "user_id", *INPUTS[:-1], "deny_reason")
+    narrow = df.select(*_ids(key), *INPUTS[:-1], "deny_reason")
     open_rows = narrow.filter(F.col("deny_reason").isNull())
-    denied = _auth_exit(narrow.filter(F.col("deny_reason").isNotNull()))
+    denied = _auth_exit(narrow.filter(F.col("deny_reason").isNotNull()), key)
     hot = hot_keys(open_rows, ["user_id"], params.hot_rows)
     if hot is None:
-        return _decided(open_rows, params).unionByName(denied)
-    hot = F.broadcast(hot)  # at most rows / hot_rows users
-    cold = _decided(open_rows.join(hot, "user_id", "left_anti"), params)
+        return _decided(open_rows, params, key).unionByName(denied)
+    cold = _decided(open_rows.join(hot, "user_id", "left_anti"), params, key)
     metered = materialize(quota_check(open_rows.join(hot, "user_id", "left_semi"), params=params))
     admitted = metered.filter("quota_allowed").drop("quota_allowed").withColumnRenamed("quota_used", "admitted")
-    over = _auth_exit(metered.filter("NOT quota_allowed").drop("quota_used", "quota_allowed"))
-    return cold.unionByName(_fold(admitted, params)).unionByName(over).unionByName(denied)
+    over = _auth_exit(metered.filter("NOT quota_allowed").drop("quota_used", "quota_allowed"), key)
+    return cold.unionByName(_fold(admitted, params, key)).unionByName(over).unionByName(denied)
 
 
-def _decided(df: DataFrame, params: Params) -> DataFrame:
-    return _fold(df.withColumn("admitted", F.lit(0)), params)
+def _ids(key: str) -> list[str]:
+    return list(dict.fromkeys([key, "request_id", "user_id"]))
 
 
-def _fold(df: DataFrame, params: Params) -> DataFrame:
+def _decided(df: DataFrame, params: Params, key: str) -> DataFrame:
+    return _fold(df.withColumn("admitted", F.lit(0)), params, key)
+
+
+def _fold(df: DataFrame, params: Params, key: str) -> DataFrame:
     folded = ordered_fold(
-        df, ["user_id"], ["ts_us", "request_id"], lambda row: (None, None),
+        df, ["user_id"], list(dict.fromkeys(["ts_us", "request_id", key])), lambda row: (None, None),
         lambda s, row: gate_step(s, row, params), INPUTS, OUTPUTS,
     )
-    return folded.select("request_id", "user_id", "deny_reason", *OUTPUTS)
+    return folded.select(*_ids(key), "deny_reason", *OUTPUTS)
 
 
-def _auth_exit(df: DataFrame) -> DataFrame:
+def _auth_exit(df: DataFrame, key: str) -> DataFrame:
     fixed = {"exit": "auth", "auth_tier": "blocked", "candidate": False}
     return df.select(
-        "request_id", "user_id", "deny_reason",
+        *_ids(key), "deny_reason",
         *[F.lit(fixed.get(n)).cast(t).alias(n) for n, t in OUTPUTS.items()],
     )

@@ -116,7 +116,6 @@ def reputation_fold(
     hot = hot_keys(events, [user], params.hot_rows)
     if hot is None:
         return _folded(events, user, ts, order, params)
-    hot = F.broadcast(hot)  # at most rows / hot_rows users
     cold = _folded(events.join(hot, user, "left_anti"), user, ts, order, params)
     return cold.unionByName(chunked_fold(events.join(hot, user, "left_semi"), user, ts, order, params))
 

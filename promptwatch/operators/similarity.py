@@ -14,6 +14,8 @@ from promptwatch.params import Params
 #: The bank is curated by hand (a few phrases per category). This bound is checked, and a
 #: larger bank is refused, because it is held by every task.
 MAX_EXEMPLARS = 10_000
+#: Exemplars that are compared with an Arrow batch at once.
+BLOCK = 256
 
 
 def unit_normalize(vec: Column) -> Column:
@@ -29,7 +31,7 @@ def load_bank(bank: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     if len(rows) > MAX_EXEMPLARS:
         raise ValueError(f"the exemplar bank is limited to {MAX_EXEMPLARS} phrases")
     categories = sorted({r.category for r in rows})
-    vectors = np.array([r.embedding for r in rows], dtype=np.float64).reshape(len(rows), -1)
+    vectors = np.array([r.embedding for r in rows], dtype=np.float64).reshape(len(rows), -1 if rows else 0)
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     vectors = np.divide(vectors, norms, out=vectors, where=norms > 0)
     return categories, vectors, np.array([categories.index(r.category) for r in rows])
@@ -41,7 +43,8 @@ def category_similarity(bank: DataFrame, vec: Column) -> tuple[list[str], Column
     One matrix product per Arrow batch; no join and no shuffle.
     """
     categories, vectors, owner = load_bank(bank)
-    n, dim = len(categories), vectors.shape[1]
+    dim = vectors.shape[1]
+    blocks = [[own[i : i + BLOCK] for i in range(0, len(own), BLOCK)] for own in (vectors[owner == c] for c in range(len(categories)))]
 
     @F.arrow_udf("array<double>")
     def best(batch: pa.Array) -> pa.Array:
@@ -50,8 +53,10 @@ def category_similarity(bank: DataFrame, vec: Column) -> tuple[list[str], Column
         m = taken.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
         norm = np.linalg.norm(m, axis=1, keepdims=True)
         m = np.divide(m, norm, out=m, where=norm > 0)
-        sims = m @ vectors.T
-        top = np.stack([sims[:, owner == c].max(axis=1) for c in range(n)], axis=1)
+        top = np.full((len(m), len(blocks)), -np.inf)
+        for c, own in enumerate(blocks):  # one block of the bank at a time against the batch
+            for block in own:
+                np.maximum(top[:, c], (m @ block.T).max(axis=1, initial=-np.inf), out=top[:, c])
         rows = iter(top.tolist())
         return pa.array([next(rows) if ok else None for ok in valid], pa.list_(pa.float64()))
 
@@ -72,8 +77,14 @@ def semantic_match(
 ) -> DataFrame:
     """Add ``semantic_flags``, ``semantic_matches`` and ``max_similarity``.
 
-    A row without a vector (the embedder was not available) raises no flag.
+    A row without a vector (the embedder was not available) raises no flag; nor does any row
+    when the bank is empty.
     """
+    if bank.isEmpty():
+        return df.withColumns({
+            "semantic_matches": F.array().cast("array<struct<category:string,similarity:double>>"),
+            "semantic_flags": F.array().cast("array<string>"), "max_similarity": F.lit(0.0),
+        })
     categories, best = category_similarity(bank, F.col(vec))
     df = df.withColumn("_best", best)
     pairs = F.array(*[

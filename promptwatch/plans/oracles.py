@@ -30,7 +30,7 @@ BANK = "bank(k, prompt) AS (VALUES " + ", ".join(
 PROMPTS = BANK + """, prompts AS (
   SELECT 'd' || doc_id AS prompt_id, text AS prompt FROM documents
   UNION ALL SELECT 'b' || k, prompt FROM bank
-  UNION ALL SELECT 'c_' || conv_id || '_' || turn, text FROM conversations WHERE role = 'user')"""
+  UNION ALL SELECT 'c_' || conv_id || '_' || turn, text FROM conversations)"""
 REQUESTS = BANK + """, requests AS (
   SELECT event_id AS request_id, epoch_us(ts) AS ts_us, CAST(user_id AS VARCHAR) AS user_id,
          '10.0.0.' || (user_id % 7) AS client_ip, bank.prompt
@@ -133,7 +133,7 @@ ORACLES.update({
     "expansion_factor": over_prompts("prompt_id, round(expansion_factor, 4) AS expansion_factor"),
     "obfuscation_score": over_prompts("prompt_id, round(obfuscation_score, 4) AS obfuscation_score"),
     "shannon_entropy": over_prompts("prompt_id, round(bits, 4) AS entropy"),
-    "entropy_by_key": over_prompts("prompt_id, round(bits, 4) AS entropy", "WHERE prompt <> ''"),
+    "entropy_by_key": over_prompts("prompt_id, round(bits, 4) AS entropy"),
     "entropy_score": over_prompts("prompt_id, round(entropy_score, 3) AS entropy_score"),
     "char_histogram": f"WITH {PROMPTS} SELECT ch, count(*) AS n FROM "
                       "(SELECT unnest(regexp_extract_all(prompt, '(?s).')) AS ch FROM prompts) GROUP BY ch",
@@ -193,9 +193,8 @@ ORACLES.update({
 _MAP = "MAP {" + ", ".join(f"{lit(k)}: {lit(v)}" for k, v in V.CATEGORY_FLAGS.items()) + "}"
 EXT = f"""vparsed AS (
   SELECT request_id, ext_json, defender_text,
-         CASE WHEN json_extract(ext_json, '$.results[0]') IS NOT NULL THEN json_extract(ext_json, '$.results[0]')
-              ELSE CAST(ext_json AS JSON) END AS j
-  FROM verdicts),
+         coalesce(json_extract(whole, '$.results[0]'), whole) AS j
+  FROM (SELECT *, CASE WHEN json_type(TRY_CAST(ext_json AS JSON)) = 'OBJECT' THEN TRY_CAST(ext_json AS JSON) END AS whole FROM verdicts)),
 vmaps AS (
   SELECT *, CASE WHEN j IS NOT NULL THEN coalesce(CAST(json_extract(j, '$.flagged') AS BOOLEAN), false) END AS flagged,
          coalesce(from_json(json_extract(j, '$.categories'), '"MAP(VARCHAR, BOOLEAN)"'), MAP {{}}) AS cats,
@@ -212,11 +211,16 @@ ext AS (
 DEFENDER = r"""dbody AS (
   SELECT request_id, CASE WHEN starts_with(trim(defender_text), '```')
            THEN regexp_replace(defender_text, '(?m)^```.*$', '', 'g') ELSE defender_text END AS body FROM verdicts),
-dparsed AS (SELECT request_id, TRY_CAST(body AS JSON) AS d FROM dbody),
+dread AS (SELECT request_id, TRY_CAST(body AS JSON) AS d FROM dbody),
+dparsed AS (
+  SELECT request_id, CASE WHEN json_type(d) = 'OBJECT' AND coalesce(json_type(d, '$.threats'), 'ARRAY') IN ('ARRAY', 'VARCHAR') THEN d END AS d
+  FROM dread),
 dfields AS (
   SELECT request_id, d,
-         CASE WHEN json_exists(d, '$.defender_risk') THEN TRY_CAST(json_extract_string(d, '$.defender_risk') AS DOUBLE) ELSE 0.1 END AS risk,
-         CASE WHEN json_exists(d, '$.confidence') THEN TRY_CAST(json_extract_string(d, '$.confidence') AS DOUBLE) ELSE 0.5 END AS conf
+         CASE WHEN json_type(d, '$.defender_risk') = 'BOOLEAN' THEN CAST(json_extract(d, '$.defender_risk') = 'true' AS DOUBLE)
+              WHEN json_exists(d, '$.defender_risk') THEN TRY_CAST(json_extract_string(d, '$.defender_risk') AS DOUBLE) ELSE 0.1 END AS risk,
+         CASE WHEN json_type(d, '$.confidence') = 'BOOLEAN' THEN CAST(json_extract(d, '$.confidence') = 'true' AS DOUBLE)
+              WHEN json_exists(d, '$.confidence') THEN TRY_CAST(json_extract_string(d, '$.confidence') AS DOUBLE) ELSE 0.5 END AS conf
   FROM dparsed),
 def AS (
   SELECT request_id,
@@ -225,6 +229,7 @@ def AS (
          CASE WHEN d IS NULL OR risk IS NULL OR conf IS NULL THEN 'defender unavailable'
               ELSE coalesce(json_extract_string(d, '$.reason'), 'no reason provided') END AS reason,
          CASE WHEN d IS NULL OR risk IS NULL OR conf IS NULL THEN ''
+              WHEN json_type(d, '$.threats') = 'VARCHAR' THEN array_to_string(regexp_extract_all(json_extract_string(d, '$.threats'), '(?s).'), ',')
               ELSE coalesce(array_to_string(CAST(json_extract(d, '$.threats') AS VARCHAR[]), ','), '') END AS threats
   FROM dfields)"""
 DEFENDER_BAND = "CASE WHEN defender_risk >= 0.5 THEN 'dangerous' WHEN defender_risk > 0.4 THEN 'suspicious' ELSE 'safe' END"
@@ -573,6 +578,9 @@ def from_report(body: str, *ctes: str) -> str:
 
 ORACLES.update({
     "protection_report": from_report(f"SELECT {REPORT_COLUMNS} FROM report"),
+    "protection_report_repeated_ids": from_report(
+        "SELECT request_id % 1000 AS request_id, user_id, cost_score, risk_score, exit, blocked, status FROM report"
+    ),
     "block_reason": from_report("SELECT exit, block_reason, count(*) AS n FROM report GROUP BY 1, 2"),
     "metrics_counters": from_report("SELECT * FROM counters", COUNTERS),
     "block_rate": from_report(f"SELECT {RATE} AS block_rate FROM counters", COUNTERS),
@@ -633,8 +641,8 @@ ORACLES.update({
     "stream_quota": ORACLES["quota_check"],
     "stream_reputation": ORACLES["reputation_fold"],
     "stream_correlation": f"WITH {SIGHTINGS}, {window_counts('sight', 'h', DAY, 'byhash')}, {window_counts('sight', 'p', DAY, 'bypattern')} "
-                          "SELECT request_id, 'exact' AS track, CAST(least(senders, 6) AS INTEGER) AS senders, CAST(least(ips, 3) AS INTEGER) AS addresses FROM byhash "
-                          "UNION ALL SELECT request_id, 'fuzzy', CAST(least(senders, 6) AS INTEGER), CAST(least(ips, 3) AS INTEGER) FROM bypattern",
+                          "SELECT request_id, 'exact' AS track, CAST(senders AS INTEGER) AS senders, CAST(ips AS INTEGER) AS addresses FROM byhash "
+                          "UNION ALL SELECT request_id, 'fuzzy', CAST(senders AS INTEGER), CAST(ips AS INTEGER) FROM bypattern",
     "stream_campaign_log": f"WITH RECURSIVE {SIGHTINGS}, {anchored('sight', 'h', DAY, 'w')} SELECT 'CAMP-' || upper(substr(h, 1, 8)) AS campaign_id, "
                            "h AS prompt_hash, window_start AS detected_at FROM w JOIN sight USING (request_id) WHERE window_index = 1",
     "stream_metrics": "SELECT count(*) AS total_requests, count(*) FILTER (event_type NOT IN ('error', 'signup')) AS successful_requests, "

@@ -1,8 +1,9 @@
 """The whole protection pipeline: requests in, one report row per request out.
 
 signals (stateless) -> written once -> gate fold by user -> campaigns by fingerprint
--> report, joined on ``request_id``. The signals are written before they fan out, so the
-prompt text is scanned exactly once however many branches read them.
+-> report. Request ids may repeat, so every row gets a key of its own when the signals are
+written, and all joins are on that key. The signals are written before they fan out, so
+the prompt text is scanned exactly once however many branches read them.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ REASON_AMPLIFICATION = "recursive amplification detected (multiplier: %.1fx)"
 REASON_PROOF = "proof-of-compute failed"
 REASON_DEFENDER = "Twin AI Defender blocked: "
 
+#: Column that tells rows apart, made once in a written table.
+ROW_KEY = "_row_key"
+
 _EMPTY_FLAGS = "array<string>"
 _MATCHES = "array<struct<category:string,similarity:double>>"
 
@@ -57,7 +61,6 @@ def with_signals(requests: DataFrame, params: Params = Params()) -> DataFrame:
         "proof": F.coalesce("proof", F.lit(NO_PROOF)),
         "prompt_hash": prompt_hash(F.col("prompt")),
         "prompt_pattern": prompt_pattern(F.col("prompt")),
-        "prompt": F.substring("prompt", 1, 200),
     })
     df = df.withColumn("semantic_score", V.semantic_score(F.col("semantic_flags"), F.col("max_similarity")))
     flags, score, suspicious = V.risk_merge(
@@ -81,19 +84,19 @@ def protect(
     gate; ``'all'`` looks among every admitted request, so a repeated attack that is
     always blocked is recognised as a campaign too.
     """
-    signals = materialize(with_signals(requests, params))
-    gated = materialize(request_gate(blacklist_gate(signals, control), params))
-    decided = signals.join(gated.drop("user_id"), "request_id")
+    signals = materialize(with_signals(requests, params).withColumn(ROW_KEY, F.monotonically_increasing_id()))
+    gated = materialize(request_gate(blacklist_gate(signals, control), params, ROW_KEY))
+    decided = signals.join(gated.drop("user_id", "request_id"), ROW_KEY)
     eligible = F.col("exit") != "auth"
     if scope == "post_risk":
         eligible = eligible & (F.col("exit") != "risk")
     sighted = decided.filter(eligible).select(
-        "request_id", "ts_us", "user_id", "client_ip", "prompt_hash", "prompt_pattern"
+        ROW_KEY, "ts_us", "user_id", "client_ip", "prompt_hash", "prompt_pattern"
     )
     campaigns = correlation_check(materialize(sighted), params=params).select(
-        "request_id", "campaign_detected", "campaign_id", "confidence", "distributed"
+        ROW_KEY, "campaign_detected", "campaign_id", "confidence", "distributed"
     )
-    return build_report(decided.join(campaigns, "request_id", "left"), params)
+    return build_report(decided.join(campaigns, ROW_KEY, "left"), params)
 
 
 def block_reason() -> Column:

@@ -729,6 +729,15 @@ def protection_report(spark, sf):
     )
 
 
+@query
+def protection_report_repeated_ids(spark, sf):
+    """The pipeline on a log whose request ids repeat: one report for every row, with its own exit."""
+    requests = protection_requests(spark, sf).withColumn("request_id", F.col("request_id") % 1000)
+    return P.protect(requests, B.control_log(spark), GATE).select(
+        "request_id", "user_id", "cost_score", "risk_score", "exit", "blocked", "status",
+    )
+
+
 @query
 def block_reason(spark, sf):
     return report_log(spark, sf).groupBy("exit", "block_reason").agg(F.count("*").alias("n"))

@@ -90,7 +90,10 @@ def score_with_store(spark: SparkSession, path: str, features: DataFrame) -> Dat
     """Score with the stored model; when none can be loaded keep the fallback average."""
     try:
         model = PipelineModel.load(path)
-    except Exception:  # noqa: BLE001 - any unreadable store means the fallback scorer
+    except Exception as error:
+        # only a store that is not there means the fallback scorer; an outage must be seen
+        if not any(x in str(error) for x in ("Input path does not exist", "PATH_NOT_FOUND", "No such file")):
+            raise
         return features.withColumn("scoring_method", F.lit("fallback_average"))
     return score(model, features)
 

@@ -44,7 +44,8 @@ PROBE_PROMPTS = [
     "Write something short.",
 ]
 
-# Fixed values: (external guard verdict, defender verdict); the last pair is an outage.
+# Fixed values: (external guard verdict, defender verdict): usable ones, an outage, and
+# replies that a strict parser refuses or reads in its own way.
 PROBE_VERDICTS = [
     ('{"flagged":false,"categories":{},"category_scores":{}}',
      '{"defender_risk":0.1,"confidence":0.9,"reason":"ok","threats":[]}'),
@@ -59,6 +60,12 @@ PROBE_VERDICTS = [
     ('{"categories":{"jailbreak":false},"category_scores":{"jailbreak":0.4}}',
      '{"defender_risk":"x"}'),
     (None, None),
+    ('{"flagged": tr', '{"defender_risk":0.9} trailing'),
+    ('{"flagged":true,"category_scores":{"pii":1.0}} trailing', "{'defender_risk':0.9}"),
+    ('\n {"flagged":true}', '{"defender_risk":0.9,"threats":null}'),
+    ('["flagged"]', '{"defender_risk":true,"threats":"ab"}'),
+    ("{'flagged':true}", '{"defender_risk":"inf","threats":7}'),
+    ("", '\n{"defender_risk":"inf","confidence":false}'),
 ]
 
 # Fixed values: (kind, key, action, reason, triggered_by, time) of blacklist actions.
@@ -70,17 +77,14 @@ CONTROL_ACTIONS = [
 ]
 
 
-def spread(df: DataFrame, below_bytes: int = 1 << 30) -> DataFrame:
-    """Give a small input one slice per core.
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out where the scan gives fewer slices than there are cores.
 
-    A file with a single row group is one task however many cores wait; text rules are
-    CPU-bound, so small inputs are dealt out first. Inputs above ``below_bytes`` have
-    enough row groups and are left as the scan splits them.
+    A file with a single row group is one task however many cores wait, and text rules are
+    CPU-bound. A scan with a slice for every core is left as it is.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size >= below_bytes:
-        return df
-    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -147,7 +151,7 @@ def judged_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole documents, the probe prompts and the user turns: ``prompt_id, prompt``."""
+    """Whole documents, the probe prompts and every turn: ``prompt_id, prompt``."""
     docs = table(spark, sf_dir, "documents").select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("prompt_id"),
         F.col("text").alias("prompt"),
@@ -156,7 +160,7 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     bank = spark.range(len(PROBE_PROMPTS)).select(
         F.concat(F.lit("b"), k.cast("string")).alias("prompt_id"), pick(PROBE_PROMPTS, k).alias("prompt")
     )
-    turns = table(spark, sf_dir, "conversations").filter(F.col("role") == "user").select(
+    turns = table(spark, sf_dir, "conversations").select(
         F.concat_ws("_", F.lit("c"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("prompt_id"),
         F.col("text").alias("prompt"),
     )

@@ -98,22 +98,22 @@ def stream_quota(stream: DataFrame, params: Params = Params()) -> DataFrame:
     )
 
 
-#: Confidence no longer changes beyond so many senders, so no more need be remembered.
-SENDERS_KEPT, ADDRESSES_KEPT = 6, 3
+def _remember(seen: dict, member: object, now: int, window_us: int) -> int:
+    """Note a member's latest time and forget those the window has left; how many remain.
 
-
-def _remember(seen: tuple, member: object, now: int, window_us: int, kept: int) -> tuple:
-    """The most recent distinct members still inside the window, newest last."""
-    alive = [(m, t) for m, t in seen if m != member and t >= now - window_us]
-    alive.append((member, now))
-    return tuple(sorted(alive, key=lambda x: x[1])[-kept:])
+    The dictionary is kept in order of the latest time, so only members that leave are looked at.
+    """
+    seen[member] = max(now, seen.pop(member, now))
+    while (oldest := next(iter(seen))) != member and seen[oldest] < now - window_us:
+        del seen[oldest]
+    return len(seen)
 
 
 def stream_correlation(stream: DataFrame, params: Params = Params()) -> DataFrame:
     """Senders and addresses per request and track (``exact`` / ``fuzzy`` fingerprint).
 
-    Counts stop at the number where the confidence is saturated; keeping the most recent
-    members makes them exact up to there, with a state of constant size.
+    Counts are whole: the state of a fingerprint holds one entry for each distinct sender and
+    address that was seen within the window.
     """
     window_us = params.correlation_window_s * SECOND_US
     tracks = F.array(
@@ -124,10 +124,8 @@ def stream_correlation(stream: DataFrame, params: Params = Params()) -> DataFram
 
     def step(state: tuple | None, row: tuple) -> tuple[tuple, tuple]:
         now, user, ip = row
-        senders, addresses = state or ((), ())
-        senders = _remember(senders, (user, ip), now, window_us, SENDERS_KEPT)
-        addresses = _remember(addresses, ip, now, window_us, ADDRESSES_KEPT)
-        return (senders, addresses), (len(senders), len(addresses))
+        senders, addresses = state or ({}, {})
+        return (senders, addresses), (_remember(senders, (user, ip), now, window_us), _remember(addresses, ip, now, window_us))
 
     return stateful_fold(
         rows, ["track", "fingerprint"], ["request_id", "ts_us"], ["ts_us", "user_id", "client_ip"], step,

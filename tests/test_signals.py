@@ -130,6 +130,14 @@ def test_registry_takes_new_detectors(spark):
     df = C.with_text_forms(spark.createDataFrame([("call +1 555",)], "prompt string"))
     registry = {**R.detectors(), "PHONE": lambda folded, prompt: F.col(prompt).rlike(r"\+\d")}
     assert R.with_rule_flags(df, registry=registry).first().rule_flags == ["PHONE"]
+    assert R.with_rule_flags(df, registry={"PHONE": registry["PHONE"]}).first().rule_flags == ["PHONE"]
+    own = {**R.detectors(), "BASE64_INJECTION": lambda folded, prompt: F.lit(True)}
+    assert R.with_rule_flags(df, registry=own).first().rule_flags == ["BASE64_INJECTION"]
+
+
+def test_entropy_by_key_keeps_empty_and_null_prompts(spark):
+    df = spark.createDataFrame([("a", "aabb"), ("b", ""), ("c", None)], "k string, p string")
+    assert {r.k: r.entropy for r in E.entropy_by_key(df, "p", "k").collect()} == {"a": 1.0, "b": 0.0, "c": None}
 
 
 def test_tokenizer_hook(spark):

@@ -27,6 +27,12 @@ def ext(spark, verdict, enabled=True):
     ({"results": []}, [], 0, "ok"),
     ("not json", [], 0, "unavailable"),
     (None, [], 0, "unavailable"),
+    ('{"flagged": tr', [], 0, "unavailable"),
+    ('{"flagged":true} trailing', [], 0, "unavailable"),
+    ('{"flagged":true}{}', [], 0, "unavailable"),
+    ("{'flagged':true}", [], 0, "unavailable"),
+    ('["flagged"]', [], 0, "unavailable"),
+    ('\n {"flagged":true}\n', [], 100, "ok"),
 ])
 def test_external_verdict(spark, verdict, flags, score, status):
     r = ext(spark, verdict)
@@ -58,6 +64,13 @@ def test_merge_is_union_and_max(spark):
     ('{"defender_risk":null}', 0.1, 0.0, "defender unavailable", []),
     ("not json", 0.1, 0.0, "defender unavailable", []),
     (None, 0.1, 0.0, "defender unavailable", []),
+    ('{"defender_risk":0.9} trailing', 0.1, 0.0, "defender unavailable", []),
+    ("{'defender_risk':0.9}", 0.1, 0.0, "defender unavailable", []),
+    ('{"defender_risk":0.9,"threats":null}', 0.1, 0.0, "defender unavailable", []),
+    ('{"defender_risk":0.9,"threats":7}', 0.1, 0.0, "defender unavailable", []),
+    ('{"defender_risk":true,"threats":"ab"}', 1.0, 0.5, "no reason provided", ["a", "b"]),
+    ('{"defender_risk":"true"}', 0.1, 0.0, "defender unavailable", []),
+    ('{"defender_risk":"inf","confidence":false}', 1.0, 0.0, "no reason provided", []),
 ])
 def test_defender_reply(spark, reply, risk, confidence, reason, threats):
     r = V.with_defender(spark.createDataFrame([(reply,)], "defender_text string")).first()
