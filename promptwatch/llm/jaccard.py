@@ -3,7 +3,10 @@
 A document's set holds the hashes of its distinct word shingles. Documents with equal sets form a class, which its
 smallest doc_id stands for. For a similarity of t or more two sets of n shingles share one of their first
 ``n - ceil(t n) + 1`` in any common order; the order is by hash, with shingles of crowded buckets last. So classes are
-dealt to buckets by those first shingles and no pair outside a bucket is lost.
+dealt to buckets by those first shingles and no pair outside a bucket is lost. The first pass notes about twice as
+many shingles as that, which leaves room for crowded ones to go. A class in which too many are crowded (a member of a
+large group of near copies, mostly) keeps its plain order; it meets all others in buckets of that order, in which only
+pairs with such a class are looked at. Buckets are numbered by half a hash; what meets by accident is compared in vain.
 
 Two rounds then tie each bucket's classes of similar size to a leader, the class whose shingles most others share:
 a group of n near copies costs n comparisons there, not n squared. A bucket whose classes are all tied together is
@@ -29,14 +32,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from promptwatch.llm.decontaminate import SHARD_BYTES
 from promptwatch.llm.shared import chunks, connected, lower_ascii, materialize, mix, word_hashes
 
 #: A bucket of more classes than this is crowded; its shingle goes to the end of the order.
-CROWDED = 64
-#: Crowded shingles that are sent to the tasks at most (8 bytes each).
+CROWDED = 24
+#: Crowded shingles that are sent to the tasks at most (4 bytes each).
 MOST_CROWDED = 1 << 20
 BLOCK_ROWS = 4096
 FANOUT = 8
@@ -75,31 +79,72 @@ def prefix_length(n: int, over: int, of: int) -> int:
     return n - -(-n * over // of) + 1 if n else 0
 
 
-def _sketches(docs: DataFrame, words: int, over: int, of: int, crowded: np.ndarray) -> DataFrame:
-    """doc_id, size, two digests and the first shingles of each row's set."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(crowded))
+def _noted(n: int, over: int, of: int) -> int:
+    """How many first shingles are noted, so that some may be crowded."""
+    return min(n, 2 * prefix_length(n, over, of) + 16)
+
+
+def _sketches(docs: DataFrame, words: int, over: int, of: int) -> DataFrame:
+    """doc_id, size, two digests and the first shingles (half their hashes) of each row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = shared.value
         salt = np.uint64(0xD6E8FEB86659FD93)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in chunks([len(t or "") for t in texts], SHARD_BYTES):
-                size, one, two, first = [], [], [], []
+                size, one, two, noted = [], [], [], []
                 for own in shingle_sets(texts[a:b], words):
                     size.append(len(own))
                     one.append(int(mix(own).sum(dtype=np.uint64).astype(np.int64)))
                     two.append(int(mix(own ^ salt).sum(dtype=np.uint64).astype(np.int64)))
-                    if len(late) and len(own):
-                        at = np.minimum(np.searchsorted(late, own), len(late) - 1)
-                        own = own[np.argsort(late[at] == own, kind="stable")]
-                    first.append(own[: prefix_length(len(own), over, of)].view(np.int64))
+                    noted.append((own[: _noted(len(own), over, of)] >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a), pa.array(size, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
-                    pa.array(first, pa.list_(pa.int64())),
-                ], ["doc_id", "size", "one", "two", "first"])
+                    pa.array(noted, pa.list_(pa.int32())),
+                ], ["doc_id", "size", "one", "two", "noted"])
+
+    return docs.mapInArrow(run, "doc_id bigint, size int, one bigint, two bigint, noted array<int>")
+
+
+def _dealt(classes: DataFrame, over: int, of: int) -> DataFrame:
+    """A row for each class and bucket: route, token, node, size, copies, place in the order, and whether it lacks room."""
+    first = F.slice("noted", 1, F.col("size") - F.ceil(F.col("size") * F.lit(over) / F.lit(of)).cast("int") + 1)
+    plain = classes.select("node", "size", "copies", F.posexplode(first).alias("place", "token"))
+    counts = materialize(plain.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    bound = max(CROWDED, total // MOST_CROWDED)
+    crowded = np.sort(counts.where(F.col("n") > bound).select("token").toArrow().column(0).to_numpy())
+    columns = [F.lit(0).alias("route"), "token", "node", "size", "copies", "place", F.lit(False).alias("lacks")]
+    if not len(crowded):
+        return plain.select(*columns)
+    shared = classes.sparkSession.sparkContext.broadcast(crowded)
+
+    def reorder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late = shared.value
+        for batch in batches:
+            size, noted = batch.column(1).to_numpy(), batch.column(3)
+            flat, ends = noted.flatten().to_numpy(), noted.offsets.to_numpy() - noted.offsets[0].as_py()
+            at = np.minimum(np.searchsorted(late, flat), len(late) - 1)
+            busy = late[at] == flat
+            first, lacks = [], []
+            for n, a, b in zip(size.tolist(), ends[:-1].tolist(), ends[1:].tolist()):
+                need, order = prefix_length(n, over, of), np.argsort(busy[a:b], kind="stable")
+                lacks.append(bool(b - a < n and b - a - busy[a:b].sum() < need))
+                first.append(flat[a:b][order[:need]])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i) for i in range(3)), pa.array(first, pa.list_(pa.int32())), pa.array(lacks)], ["node", "size", "copies", "first", "lacks"]
+            )
 
-    return docs.mapInArrow(run, "doc_id bigint, size int, one bigint, two bigint, first array<bigint>")
+    moved = materialize(
+        classes.select("node", "size", "copies", "noted")
+        .mapInArrow(reorder, "node bigint, size int, copies bigint, first array<int>, lacks boolean")
+    )
+    roomy = moved.where("not lacks").select("node", "size", "copies", F.posexplode("first").alias("place", "token")).select(*columns)
+    short = moved.where("lacks").select("node", F.lit(True).alias("lack"))
+    flagged = plain.join(short, "node", "left").withColumn("lacks", F.col("lack").isNotNull())
+    met = flagged.where("lacks").select("token").distinct()
+    beside = flagged.join(met, "token", "left_semi").select(F.lit(1).alias("route"), "token", "node", "size", "copies", "place", "lacks")
+    return roomy if short.isEmpty() else roomy.unionByName(beside)
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -161,7 +206,7 @@ class SignatureTree:
 
 def dual_pairs(a: SignatureTree, b: SignatureTree, over: int, of: int) -> tuple[np.ndarray, np.ndarray]:
     """Leaf pairs (original row numbers) that may reach over / of; of a tree with itself each pair once."""
-    same = a is b
+    same = a is b  # else two trees over different rows
     if not len(a.order) or not len(b.order):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     out: list[tuple[np.ndarray, np.ndarray]] = []
@@ -221,20 +266,21 @@ def _bucket_pairs(over: int, of: int):
         node, comp, size = (group.column(c).to_numpy() for c in ("node", "comp", "size"))
         place, block = group.column("place").to_numpy(), group.column("block").to_numpy()
         mixed = group.column("bi")[0].as_py() != group.column("bj")[0].as_py()
+        route, lacks = group.column("route")[0].as_py(), group.column("lacks").to_numpy(zero_copy_only=False)
         bits = group.column("bits").to_pylist()
         width = np.fromiter(map(len, bits), np.int64, len(bits))
-        trees = {}
-        for w in np.unique(width):
-            at = np.flatnonzero(width == w)
+        trees: dict[tuple[int, bool], tuple[np.ndarray, SignatureTree]] = {}
+        for w, short in sorted(set(zip(width.tolist(), lacks.tolist()))):
+            at = np.flatnonzero((width == w) & (lacks == short))
             packed = np.frombuffer(b"".join(bits[i] for i in at), np.uint8).reshape(len(at), w)
-            trees[int(w)] = (at, SignatureTree(packed.view(np.uint64), size[at].astype(np.int64)))
+            trees[w, short] = at, SignatureTree(packed.view(np.uint64), size[at].astype(np.int64))
         left, right = [], []
-        for w, (at, tree) in trees.items():
-            found = [(at, at, dual_pairs(tree, tree, over, of))]
-            if 2 * w in trees:
-                wide = trees[2 * w]
-                found.append((at, wide[0], dual_pairs(tree, wide[1].fold(), over, of)))
-            for a, b, (i, j) in found:
+        for (w, short), (a, tree) in trees.items():
+            for (w2, short2), (b, other) in trees.items():
+                # in plain order only pairs with a class that lacks room; of equal widths each two trees once
+                if w2 not in (w, 2 * w) or (route and not (short or short2)) or (w == w2 and short2 < short):
+                    continue
+                i, j = dual_pairs(tree, other if w == w2 else other.fold(), over, of)
                 i, j = a[i], b[j]
                 ahead = np.minimum(size[i] - place[i], size[j] - place[j]).astype(np.int64)  # if this shingle is their first common one
                 ok = (comp[i] != comp[j]) & ((over + of) * ahead >= over * (size[i].astype(np.int64) + size[j]))
@@ -249,7 +295,7 @@ def _bucket_pairs(over: int, of: int):
         held: list[pa.Table] = []
 
         def groups(table: pa.Table, last: bool):
-            keys = [table.column(c).to_numpy() for c in ("token", "band", "bi", "bj")]
+            keys = [table.column(c).to_numpy() for c in ("route", "token", "band", "bi", "bj")]
             edge = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
             cut = [0, *edge.tolist(), table.num_rows]
             whole = cut if last else cut[:-1]
@@ -289,43 +335,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, over: int, of: int) -> DataFram
 
 def near_duplicates(docs: DataFrame, words: int = 5, over: int = 80, of: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (smallest linked doc_id) for every row."""
-    spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    none = np.zeros(0, np.uint64)
-    sketches = materialize(_sketches(docs, words, over, of, none))
-    classes = sketches.where("size > 0 and doc_id is not null").groupBy("one", "two").agg(
-        F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.max("size").alias("size"), F.min("first").alias("first"),
-    )
-    classes = materialize(classes)
-    dealt = classes.select("node", "size", "copies", F.posexplode("first").alias("place", "token"))
-    counts = materialize(dealt.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    bound = max(CROWDED, total // MOST_CROWDED)
-    crowded = counts.where(F.col("n") > bound).select("token").toArrow().column(0).to_numpy().view(np.uint64)
-    if len(crowded):
-        late = counts.where(F.col("n") > bound).select("token")
-        moved = materialize(dealt.join(F.broadcast(late), "token", "left_semi").select("node").distinct())
-        again = _sketches(docs.join(moved.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), words, over, of, crowded)
-        again = materialize(again.groupBy(F.col("doc_id").alias("node")).agg(F.min("first").alias("later")))
-        dealt = (
-            classes.join(again, "node", "left").select("node", "size", "copies", F.posexplode(F.coalesce("later", "first")).alias("place", "token"))
-        )
-        counts = dealt.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    rows = materialize(dealt.join(counts, "token"))
-    sets = materialize(_sets(docs.join(rows.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), words).dropDuplicates(["node"]))
-    weights = rows.groupBy("node").agg(F.avg("n").alias("weight"))
-    rows = materialize(rows.join(weights, "node"))
-
+    sketches = materialize(_sketches(docs, words, over, of))
+    classes = materialize(sketches.where("size > 0 and doc_id is not null").groupBy("one", "two").agg(
+        F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.max("size").alias("size"), F.min("noted").alias("noted"),
+    ))
     base = math.log(of / over) * (1 + 1e-9)  # sizes that can be similar are never two bands apart
+    rows = materialize(_meeting(_dealt(classes, over, of), base))
+    wanted = rows.select(F.col("node").alias("doc_id")).distinct()
+    sets = materialize(_sets(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), words))
+
     links, roots = None, None
     open_rows = rows.withColumn("comp", F.col("node"))
     for shift in (0.0, 0.5):
         band = F.floor(F.log(F.col("size").cast("double")) / base + shift)
         banded = open_rows.withColumn("band", band)
-        leaders = banded.groupBy("token", "band").agg(
+        leaders = banded.groupBy("route", "token", "band").agg(
             F.max_by(F.struct("node", "comp"), F.struct("weight", "copies", -F.col("node"))).alias("leader"), F.min("comp").alias("low"), F.max("comp").alias("high")
-        ).where("low <> high").select("token", "band", "leader.*").toDF("token", "band", "a", "lead_comp")
-        pairs = banded.join(leaders, ["token", "band"]).where("comp <> lead_comp").groupBy("a", F.col("node").alias("b")).agg(
+        ).where("low <> high").select("route", "token", "band", "leader.*").toDF("route", "token", "band", "a", "lead_comp")
+        pairs = banded.join(leaders, ["route", "token", "band"]).where("comp <> lead_comp").groupBy("a", F.col("node").alias("b")).agg(
             F.count("*").alias("shared"), F.max("size").alias("size")
         ).where(F.col("shared") * 3 * of >= F.col("size") * (of - over))
         found = materialize(_verified(pairs.select("a", "b"), sets, over, of))
@@ -335,7 +363,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, over: int = 80, of: int = 1
         if open_rows.isEmpty():
             break
     blocks = _blocks(open_rows, sets, base)
-    candidates = blocks.repartition("token", "band", "bi", "bj").sortWithinPartitions("token", "band", "bi", "bj").mapInArrow(_bucket_pairs(over, of), "a bigint, b bigint")
+    candidates = blocks.repartition("route", "token", "band", "bi", "bj").sortWithinPartitions("route", "token", "band", "bi", "bj").mapInArrow(_bucket_pairs(over, of), "a bigint, b bigint")
     found = materialize(_verified(candidates.distinct(), sets, over, of))
     roots = connected(links.unionByName(found))
     labels = classes.select("one", "two", "node").join(roots, "node", "left").select("one", "two", F.coalesce("root", "node").alias("component"))
@@ -346,30 +374,44 @@ def near_duplicates(docs: DataFrame, words: int = 5, over: int = 80, of: int = 1
     )
 
 
+def _meeting(dealt: DataFrame, base: float) -> DataFrame:
+    """Rows of buckets in which classes of similar size meet, with the average crowd of each class's buckets as weight."""
+    several = dealt.groupBy("route", "token").agg(F.count("*").alias("n")).where("n > 1")
+    met = dealt.join(several, ["route", "token"])
+    band = F.floor(F.log(F.col("size").cast("double")) / base).cast("int")
+    banded = met.withColumn("own", band).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") - 1)))
+    whole = banded.groupBy("route", "token", "band").agg(F.count("*").alias("rows"), F.min("own").alias("least"), F.max(F.col("lacks").cast("int")).alias("short"))
+    whole = whole.where("rows > 1 and least = band and (route = 0 or short = 1)").select("route", "token", "band")
+    near = banded.join(whole, ["route", "token", "band"]).groupBy("node", "route", "token").agg(
+        F.min("place").alias("place"), *[F.first(c).alias(c) for c in ("size", "copies", "lacks", "n")]
+    )
+    return near.withColumn("weight", F.avg("n").over(W.partitionBy("node")))
+
+
 def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows of buckets whose classes are not all of one component yet."""
     with_comp = rows.join(roots, rows["node"] == roots["node"], "left").select(rows["*"], F.coalesce(roots["root"], rows["node"]).alias("comp"))
     with_comp = materialize(with_comp)
-    several = with_comp.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
-    return materialize(with_comp.join(several, "token", "left_semi"))
+    several = with_comp.groupBy("route", "token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    return materialize(with_comp.join(several.select("route", "token"), ["route", "token"], "left_semi"))
 
 
 def _blocks(rows: DataFrame, sets: DataFrame, base: float) -> DataFrame:
     """Rows dealt to (token, band, two blocks): a band meets itself and the next one."""
     band = F.floor(F.log(F.col("size").cast("double")) / base).cast("int")
-    banded = rows.select("token", "node", "comp", "size", "place", band.alias("own")).withColumn(
+    banded = rows.select("route", "token", "node", "comp", "size", "place", "lacks", band.alias("own")).withColumn(
         "band", F.explode(F.array(F.col("own"), F.col("own") - 1))
     )
-    groups = banded.groupBy("token", "band").agg(
+    groups = banded.groupBy("route", "token", "band").agg(
         F.count("*").alias("rows"), F.sum(F.col("size").cast("bigint")).alias("bytes"), F.min("comp").alias("low"), F.max("comp").alias("high"),
-        F.min("own").alias("least"),
-    ).where("low <> high and least = band")
+        F.min("own").alias("least"), F.max(F.col("lacks").cast("int")).alias("short"),
+    ).where("low <> high and least = band and (route = 0 or short = 1)")
     cut = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("bytes") / (8 << 20))).cast("int")
-    placed = banded.join(groups.select("token", "band", cut.alias("blocks")), ["token", "band"])
+    placed = banded.join(groups.select("route", "token", "band", cut.alias("blocks")), ["route", "token", "band"])
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
-    return placed.join(sets.select("node", "bits"), "node").select("token", "band", "bi", "bj", "block", "node", "comp", "size", "place", "bits")
+    return placed.join(sets.select("node", "bits"), "node").select("route", "token", "band", "bi", "bj", "block", "node", "comp", "size", "place", "lacks", "bits")
 
 
 def linked_documents(docs: DataFrame) -> DataFrame:
