@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptwatch.llm.shared import chunks, lower_ascii, word_hashes
+from promptwatch.llm.shared import chunks, fresh, lower_ascii, word_hashes
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
@@ -303,5 +303,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Every row, with all hit spans cut out of its text."""
-    found = contamination(docs, benchmark, into="__found", clean=True)
-    return found.withColumn("text", F.col("__found.cleaned")).drop("__found")
+    own = fresh(docs, "__found")
+    return contamination(docs, benchmark, into=own, clean=True).withColumn("text", F.col(own)["cleaned"]).drop(own)

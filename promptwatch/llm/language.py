@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptwatch.llm.shared import chunks, kept, strings
+from promptwatch.llm.shared import chunks, fresh, kept, strings
 
 BITS = 16
 CHUNK_CHARS = 1 << 20
@@ -201,7 +201,6 @@ def languages(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, least_share: float = 0.5) -> DataFrame:
     """Rows in which one known language holds ``least_share`` of the words; texts without a letter go."""
     model = train(docs.where(~held_out()))
-    found = identify(docs, model, into="__language")
-    return found.where(
-        (F.col("__language.lang_pred") != "und") & (F.col("__language.score") >= least_share)
-    ).drop("__language")
+    own = fresh(docs, "__language")
+    found = F.col(own)
+    return identify(docs, model, into=own).where((found["lang_pred"] != "und") & (found["score"] >= least_share)).drop(own)

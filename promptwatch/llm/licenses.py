@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 SAMPLE_DOCS = 400
 SAMPLE_PARAGRAPHS = 3000
 LEAST_PROBABILITY = 0.6
-LEAST_SIMILARITY = 0.6
+LEAST_SIMILARITY = 0.7
 
 # Notices that are commonly used to declare a licence.
 TEMPLATES = {

@@ -44,11 +44,15 @@ def directory(sizes: DataFrame, limit: int, depth: int, above: int) -> DataFrame
 
 
 def shards(rows: DataFrame, key: list[str], size: Column, limit: int) -> DataFrame:
-    """``rows`` with ``shard`` (its bits, then ``+page`` if overflowing), ``depth`` and ``shard_bytes``."""
-    whole = materialize(
-        rows.withColumn("__bytes", F.coalesce(size, F.lit(0)).cast("bigint")).withColumn("__hash", hash_bits(*[F.col(c) for c in key]))
-        .withColumn("__row", F.monotonically_increasing_id())
-    )
+    """``rows`` with ``shard`` (its bits, then ``+page`` if overflowing), ``depth`` and ``shard_bytes``.
+
+    Columns of ``rows`` with one of these three names are replaced, all others are passed on.
+    """
+    whole = materialize(rows.select(
+        F.struct(*[c for c in rows.columns if c not in ("shard", "depth", "shard_bytes")]).alias("__in"),
+        F.coalesce(size, F.lit(0)).cast("bigint").alias("__bytes"), hash_bits(*[F.col(c) for c in key]).alias("__hash"),
+        F.monotonically_increasing_id().alias("__row"),
+    ))
     done = _pages(whole.where(F.col("__bytes") > limit), limit).withColumn("depth", F.lit(BITS))
     left, above = whole.where(F.col("__bytes") <= limit), 0
     total = left.agg(F.sum("__bytes")).first()[0]
@@ -71,7 +75,7 @@ def shards(rows: DataFrame, key: list[str], size: Column, limit: int) -> DataFra
     named = done.withColumn("shard", F.concat(F.when(F.col("depth") == 0, F.lit("")).otherwise(bits), F.coalesce(F.concat(F.lit("+"), F.col("page").cast("string")), F.lit(""))))
     named = materialize(named)
     sums = named.groupBy("shard").agg(F.sum("__bytes").alias("shard_bytes"))
-    return named.join(sums, "shard").select(*rows.columns, "shard", "depth", "shard_bytes")
+    return named.join(sums, "shard").select("__in.*", "shard", "depth", "shard_bytes")
 
 
 def _pages(rows: DataFrame, limit: int) -> DataFrame:

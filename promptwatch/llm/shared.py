@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from promptwatch.sources.workspace import materialize, workspace_path
 
 __all__ = [
-    "chunks", "connected", "folder", "kept", "lower_ascii", "materialize", "mix", "posix", "read", "strings", "word_hashes",
+    "chunks", "connected", "folder", "fresh", "kept", "lower_ascii", "materialize", "mix", "posix", "read", "strings", "word_hashes",
 ]
 
 
@@ -24,6 +24,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have yet."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def folder(spark: SparkSession, kind: str) -> str:
     """A new folder for an operator's own files, in the shared folder of the cluster."""
     return f"{workspace_path(spark)}-{kind}-{uuid.uuid4().hex[:8]}"

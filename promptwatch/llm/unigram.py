@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptwatch.llm.shared import chunks, kept
+from promptwatch.llm.shared import chunks, fresh, kept
 
 MARK = "▁"
 LONG = 64
@@ -307,5 +307,6 @@ def digests(docs: DataFrame, model_file: str) -> DataFrame:
 
 def encoded(docs: DataFrame, model_file: str) -> DataFrame:
     """The documents with their piece ids; ``text`` is what the ids decode to."""
-    found = encode_texts(docs, model_file, into="__pieces")
-    return found.withColumn("piece_ids", F.col("__pieces.ids")).withColumn("text", F.col("__pieces.decoded")).drop("__pieces")
+    own = fresh(docs, "__pieces")
+    found = encode_texts(docs, model_file, into=own)
+    return found.withColumn("piece_ids", F.col(own)["ids"]).withColumn("text", F.col(own)["decoded"]).drop(own)
