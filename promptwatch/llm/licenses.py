@@ -132,9 +132,11 @@ _COMMON = frozenset("the a of to this is under in and or by you it as with are f
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Classifier:
     """Fit to the templates and to ordinary paragraphs of a bounded number of documents."""
-    some = docs.select(F.xxhash64(F.col(doc_id)).alias("h"), F.col(doc_id).alias("d"), F.substring(F.col(text), 1, 1 << 16).alias("text"))
-    lines = some.where("text is not null").orderBy("h", "d").limit(SAMPLE_DOCS).select(F.explode(F.split("text", "\n")).alias("line"))
-    got = [r[0] for r in lines.select(grams(F.col("line"))).limit(SAMPLE_PARAGRAPHS).collect()]
+    named = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("text")).where("d is not null and text is not null")
+    some = named.select("d").orderBy(F.xxhash64("d"), "d").limit(SAMPLE_DOCS).distinct()  # ids alone are sorted
+    lines = named.join(F.broadcast(some), "d", "left_semi").select(F.explode(F.split(F.substring("text", 1, 1 << 16), "\n")).alias("line"))
+    chosen = lines.orderBy(F.xxhash64("line"), "line").limit(SAMPLE_PARAGRAPHS)
+    got = [r[0] for r in chosen.select(grams(F.col("line"))).collect()]
     known = [set(grams_of(t)) for texts in TEMPLATES.values() for t in texts]
     ordinary = [g for g in got if not any(len(t & set(g)) >= len(t) / 2 for t in known)]
     return Classifier(ordinary + [grams_of("an ordinary line of text"), grams_of("and another one with the same words as any other")])
