@@ -46,7 +46,7 @@ def stratified_split(
     is taken inside hash buckets, on top of the sizes of the buckets before it.
     """
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    df = df.withColumn("_h", digest).withColumn("_b", (F.conv(F.substring("_h", 1, 3), 16, 10).cast("int") * buckets / 4096).cast("int"))
+    df = df.withColumn("_h", digest).withColumn("_b", (F.conv(F.substring("_h", 1, 8), 16, 10).cast("bigint") * buckets / (1 << 32)).cast("int"))
     sizes = df.groupBy(label, "_b").agg(F.count("*").alias("_n"))
     by_label = Window.partitionBy(label)
     before = by_label.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

@@ -15,20 +15,34 @@ from promptwatch.sources.bindings import PROBE_PROMPTS
 
 # k: flags, encoding, expansion, obfuscation, entropy, cost, predicted, multiplier, amplification flags
 EXPECTED = {
-    0: ("", 0, 1, 0, 0, 0, 5, 1, ""), 1: ("", 0, 1, 0, 0, 0, 5, 1, ""), 2: ("", 0, 1, 0, 0, 0, 7, 1, ""),
-    3: ("", 0, 1, 0, 0, 0, 7, 1, ""), 4: ("", 0, 1, 0, 0, 0, 1, 1, ""), 5: ("", 0, 1, 24, 0, 6, 5, 1, ""),
-    6: ("", 0, 1, 0, 0, 0, 9, 1, ""), 7: ("", 0, 1, 0, 0, 0, 1, 1, ""),
-    8: ("JAILBREAK_ATTEMPT", 0, 1, 0, 0, 0, 9, 1, ""),
+    0: ("", 0, 1, 0, 0, 0, 13, 1, ""),
+    1: ("", 0, 1, 0, 0, 0, 13, 1, ""),
+    2: ("", 0, 1, 0, 0, 0, 13, 1, ""),
+    3: ("", 0, 1, 0, 0, 0, 9, 1, ""),
+    4: ("", 0, 1, 0, 0, 0, 1, 1, ""),
+    5: ("", 0, 1, 17.14, 0, 5, 7, 1, ""),
+    6: ("", 0, 1, 0, 0, 0, 9, 1, ""),
+    7: ("", 0, 1, 0, 0, 0, 3, 1, ""),
+    8: ("JAILBREAK_ATTEMPT", 0, 1, 0, 0, 0, 11, 1, ""),
     9: ("IGNORE_INSTRUCTIONS,PROMPT_LEAKING_ATTEMPT", 0, 1, 0, 0, 0, 11, 1, ""),
-    10: ("ROLE_INJECTION", 0, 1, 0, 0, 0, 10, 1, ""), 11: ("SYSTEM_OVERRIDE_ATTEMPT", 0, 1, 0, 0, 0, 7, 1, ""),
-    12: ("BASE64_INJECTION", 0, 1, 40, 0, 10, 3, 1, ""), 13: ("HIDDEN_UNICODE_PAYLOAD", 0, 1, 0, 0, 0, 6, 1, ""),
-    14: ("PROMPT_LEAKING_ATTEMPT", 0, 1, 0, 0, 0, 5, 1, ""), 15: ("CONTEXT_MANIPULATION", 0, 1, 0, 0, 0, 11, 1, ""),
-    16: ("HTML_COMMENT_INJECTION", 0, 1, 0, 0, 0, 7, 1, ""), 17: ("WHITESPACE_STUFFING", 0, 1, 0, 98.44, 25, 2, 1, ""),
-    18: ("", 0, 50, 0, 0, 25, 450, 142857.14, ""), 19: ("", 0, 25, 0, 0, 12, 150, 50, ""),
-    20: ("", 0, 1, 0, 0, 0, 11, 100, ""), 21: ("", 0, 20, 0, 0, 10, 120, 18.46, "RECURSIVE_PATTERN"),
-    22: ("", 0, 1, 0, 0, 0, 6, 10, ""), 23: ("", 0, 1, 0, 0, 0, 5, 1, "SELF_REPLICATION"),
-    24: ("", 0, 1, 100, 0, 26, 13, 1, ""), 25: ("", 70, 1, 0, 38.20, 28, 3, 1, ""),
-    26: ("BASE64_INJECTION", 90, 1, 30, 9.04, 33, 5, 1, ""), 27: ("", 0, 1, 0, 0, 0, 3, 1, ""),
+    10: ("ROLE_INJECTION", 0, 1, 0, 0, 0, 13, 1, ""),
+    11: ("SYSTEM_OVERRIDE_ATTEMPT", 0, 1, 0, 0, 0, 9, 1, ""),
+    12: ("BASE64_INJECTION", 0, 1, 30, 5.36, 9, 5, 1, ""),
+    13: ("HIDDEN_UNICODE_PAYLOAD", 0, 1, 0, 0, 0, 9, 1, ""),
+    14: ("PROMPT_LEAKING_ATTEMPT", 0, 1, 0, 0, 0, 10, 1, ""),
+    15: ("CONTEXT_MANIPULATION", 0, 1, 0, 0, 0, 9, 1, ""),
+    16: ("HTML_COMMENT_INJECTION", 0, 1, 0, 0, 0, 7, 1, ""),
+    17: ("WHITESPACE_STUFFING", 0, 1, 0, 94.4, 24, 2, 1, ""),
+    18: ("", 0, 1, 0, 0, 0, 9, 17142.86, ""),
+    19: ("", 0, 12.5, 0, 0, 6, 75, 25, ""),
+    20: ("", 0, 1, 0, 0, 0, 11, 185, ""),
+    21: ("", 0, 1.6, 0, 0, 1, 16, 1.54, "RECURSIVE_PATTERN"),
+    22: ("", 0, 1, 0, 0, 0, 6, 9, "SELF_REPLICATION"),
+    23: ("", 0, 1, 0, 0, 0, 6, 1, "SELF_REPLICATION"),
+    24: ("", 0, 1, 100, 0, 26, 15, 1, ""),
+    25: ("", 70, 1, 30, 30.4, 33, 5, 1, ""),
+    26: ("BASE64_INJECTION", 90, 1, 20, 14.75, 32, 7, 1, ""),
+    27: ("", 0, 1, 0, 0, 0, 5, 1, ""),
 }
 
 
