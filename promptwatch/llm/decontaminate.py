@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from promptwatch.llm.shared import chunks, fresh, lower_ascii, word_hashes
 
 WINDOW = 10
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 BLOCK_BYTES = 16 << 20
 #: Every so many positions of a shard's sequence a suffix position is kept.
 SAMPLE = 8
@@ -42,22 +42,8 @@ _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 
 
 def tokenise(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and hash of the words of lower-cased UTF-8 bytes, in segments cut between words."""
-    parts, at = [], 0
-    while at < len(data):
-        stop = min(at + SHARD_BYTES, len(data))
-        while stop < len(data):
-            gap = np.flatnonzero(~_WORD[data[stop : stop + SHARD_BYTES]])
-            stop += int(gap[0]) if len(gap) else SHARD_BYTES
-            if len(gap):
-                break
-        stop = min(stop, len(data))
-        s, e, h = word_hashes(data[at:stop], _WORD)
-        parts.append((s + at, e + at, h))
-        at = stop
-    if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return tuple(np.concatenate(x) for x in zip(*parts))
+    """Start, end and hash of the words of lower-cased UTF-8 bytes."""
+    return word_hashes(data, _WORD)
 
 
 class Phrases:

@@ -83,6 +83,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes whose words are hashed together.
+SEGMENT = 1 << 19
+
 #: Each byte's value in a word's polynomial hash.
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0x2545F4914F6CDD1D
@@ -90,15 +93,13 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** n modulo 2 ** 64, and some more."""
-    size = max(1 << 16, 1 << n.bit_length())
-
-    def make() -> np.ndarray:
-        factors = np.full(size + 1, base, np.uint64)
+    """base ** 0 .. base ** n modulo 2 ** 64; a worker keeps one table for each base."""
+    have = kept(("powers", base), dict)
+    if len(have.get("table", ())) <= n:
+        factors = np.full(max(SEGMENT, n) + 1, base, np.uint64)
         factors[0] = 1
-        return np.multiply.accumulate(factors)
-
-    return kept(("powers", base, size), make, most=32)
+        have["table"] = np.multiply.accumulate(factors)
+    return have["table"][: n + 1]
 
 
 def lower_ascii() -> np.ndarray:
@@ -111,9 +112,24 @@ def lower_ascii() -> np.ndarray:
 def word_hashes(data: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and 64-bit hash of each word in UTF-8 ``data``.
 
-    ``word`` says by byte value what belongs to a word. The hash depends on the word's bytes alone; all hashes
-    come from one running sum, however long the words are.
+    ``word`` says by byte value what belongs to a word. The hash depends on the word's bytes alone; all hashes of a
+    segment come from one running sum, and segments are cut between words.
     """
+    parts, at = [], 0
+    while at < len(data):
+        stop = at + SEGMENT
+        while stop < len(data) and word[data[stop]]:
+            gap = np.flatnonzero(~word[data[stop : stop + SEGMENT]])
+            stop += int(gap[0]) if len(gap) else SEGMENT
+        start, end, value = _segment_hashes(data[at:stop], word)
+        parts.append((start + at, end + at, value))
+        at = stop
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*parts)) if len(parts) > 1 else parts[0]
+
+
+def _segment_hashes(data: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = word[data]
     edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
     start, end = edge[0::2], edge[1::2]

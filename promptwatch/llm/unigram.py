@@ -32,7 +32,7 @@ from promptwatch.llm.shared import chunks, fresh, kept
 
 MARK = "▁"
 LONG = 64
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 1 << 19
 #: How much less a character outside the vocabulary scores than the least piece.
 UNKNOWN_COST = 10.0
 
