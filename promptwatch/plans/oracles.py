@@ -38,7 +38,7 @@ REQUESTS = BANK + """, requests AS (
 VERDICTS = "vbank(v, ext_json, defender_text) AS (VALUES " + ", ".join(
     f"({i}, {lit(a)}, {lit(b)})" for i, (a, b) in enumerate(B.PROBE_VERDICTS)
 ) + """), verdicts AS (
-  SELECT event_id AS request_id, ext_json, defender_text FROM events JOIN vbank ON vbank.v = event_id % 7)"""
+  SELECT event_id AS request_id, ext_json, defender_text FROM events JOIN vbank ON vbank.v = event_id % """ + f"{len(B.PROBE_VERDICTS)})"
 CONTROL = "control(kind, key, action, reason, triggered_by, acted, seq) AS (VALUES " + ", ".join(
     f"({lit(k)}, {lit(key)}, {lit(a)}, {lit(r)}, {lit(t)}, TIMESTAMP {lit(at)}, {i})"
     for i, (k, key, a, r, t, at) in enumerate(B.CONTROL_ACTIONS)
@@ -452,6 +452,10 @@ ORACLES.update({
     "trust_multiplier": f"WITH {SCORES} SELECT request_id, {MULTIPLIER} AS multiplier FROM scores",
     "token_budget": f"WITH {SCORES} SELECT request_id, {BUDGET.format(r='risk', t='trust')} AS tokens FROM scores",
     "challenge_required": f"WITH {SCORES} SELECT request_id, trust < 0.4 AND cost > 70 AS required FROM scores",
+    "proof_submissions": "WITH p AS (SELECT event_id AS i, event_id % 600 AS age, sha256(event_id || CAST(CAST(round(value, 0) AS INTEGER) AS VARCHAR)) AS digest FROM events), "
+                         "r AS (SELECT i, CASE WHEN i % 5 = 0 THEN NULL WHEN i % 5 IN (1, 2) THEN 'invalid submission format' WHEN i % 7 = 0 THEN 'invalid challenge JWT' "
+                         "WHEN age > 300 THEN 'challenge too old' WHEN digest NOT LIKE '0%' THEN 'invalid nonce — hash does not start with 0' END AS proof_reason FROM p) "
+                         "SELECT i AS request_id, CASE WHEN i % 5 = 0 THEN -1 WHEN proof_reason IS NULL THEN 1 ELSE 0 END AS proof, proof_reason FROM r",
     "proof_audit": "WITH p AS (SELECT event_id AS request_id, event_id % 600 AS age, sha256(event_id || CAST(CAST(round(value, 0) AS INTEGER) AS VARCHAR)) AS digest FROM events) "
                    "SELECT request_id, age <= 300 AND digest LIKE '0%' AS verified, CASE WHEN age > 300 THEN 'challenge too old' "
                    "WHEN digest NOT LIKE '0%' THEN 'invalid nonce — hash does not start with 0' END AS reason FROM p",

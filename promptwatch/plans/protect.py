@@ -8,6 +8,7 @@ the prompt text is scanned exactly once however many branches read them.
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,9 @@ from promptwatch.functions.policy import token_budget, trust_tier
 from promptwatch.functions.rules import with_rule_flags
 from promptwatch.operators.correlation import correlation_check
 from promptwatch.operators.gate import NO_PROOF, request_gate
+from promptwatch.operators.proof import with_proofs
 from promptwatch.params import Params
+from promptwatch.plans import training
 from promptwatch.sources.control import blacklist_gate
 from promptwatch.sources.workspace import materialize
 
@@ -37,8 +40,8 @@ _EMPTY_FLAGS = "array<string>"
 _MATCHES = "array<struct<category:string,similarity:double>>"
 
 
-def with_signals(requests: DataFrame, params: Params = Params()) -> DataFrame:
-    """Every stateless signal of a request.
+def with_signals(requests: DataFrame, params: Params = Params(), model: PipelineModel | None = None) -> DataFrame:
+    """Every stateless signal of a request; the cost score is the model's where one is given.
 
     Optional input columns: ``ext_json`` and ``defender_text`` (verdicts),
     ``semantic_flags, semantic_matches, max_similarity`` (from :func:`semantic_match`),
@@ -53,6 +56,10 @@ def with_signals(requests: DataFrame, params: Params = Params()) -> DataFrame:
         if name not in df.columns:
             df = df.withColumn(name, F.lit(None).cast(type_))
     df = with_amplification(with_rule_flags(with_cost_signals(with_text_forms(df))), params).drop(*TEXT_FORMS)
+    if model is None:
+        df = df.withColumn("scoring_method", F.lit("fallback_average"))
+    else:
+        df = training.score(model, training.with_model_features(df)).drop("expansion_normalized", "prediction")
     df = V.with_defender(V.with_ext_signals(df)).drop("ext_json", "defender_text")
     df = df.withColumns({
         "semantic_flags": F.coalesce("semantic_flags", F.array().cast(_EMPTY_FLAGS)),
@@ -76,15 +83,19 @@ def with_signals(requests: DataFrame, params: Params = Params()) -> DataFrame:
 
 
 def protect(
-    requests: DataFrame, control: DataFrame, params: Params = Params(), scope: str = "post_risk"
+    requests: DataFrame, control: DataFrame, params: Params = Params(), scope: str = "post_risk",
+    model: PipelineModel | None = None, challenges: DataFrame | None = None,
 ) -> DataFrame:
     """One report per request.
 
     ``scope='post_risk'`` looks for campaigns only among requests that passed the risk
     gate; ``'all'`` looks among every admitted request, so a repeated attack that is
-    always blocked is recognised as a campaign too.
+    always blocked is recognised as a campaign too. ``model`` is a fitted cost model; with
+    ``challenges`` (see :func:`with_proofs`) the requests' ``challenge_response`` is audited.
     """
-    signals = materialize(with_signals(requests, params).withColumn(ROW_KEY, F.monotonically_increasing_id()))
+    if challenges is not None:
+        requests = with_proofs(requests, challenges, params).drop("proof_reason")
+    signals = materialize(with_signals(requests, params, model).withColumn(ROW_KEY, F.monotonically_increasing_id()))
     gated = materialize(request_gate(blacklist_gate(signals, control), params, ROW_KEY))
     decided = signals.join(gated.drop("user_id", "request_id"), ROW_KEY)
     eligible = F.col("exit") != "auth"
@@ -126,6 +137,7 @@ def build_report(df: DataFrame, params: Params = Params()) -> DataFrame:
     return df.select(
         "request_id", "ts_us", "user_id", "client_ip", "prompt",
         reached(past_auth, F.col("cost_score"), 0).alias("cost_score"),
+        "scoring_method",
         reached(past_auth, F.col("risk_flags"), no_flags).alias("risk_flags"),
         reached(past_auth, F.col("risk_score"), 0).alias("risk_score"),
         reached(reached_trust, F.round("trust_read", 3), 1.0).alias("trust_score"),

@@ -22,6 +22,7 @@ from promptwatch.functions import text as T
 from promptwatch.functions import verdicts as V
 from promptwatch.operators import anchored, correlation, gate, reputation, similarity
 from promptwatch.operators.prefix import previous_in_key
+from promptwatch.operators.proof import with_proofs
 from promptwatch.params import DAY_US, HOUR_US, Params
 from promptwatch.plans import protect as P
 from promptwatch.plans import rollups as U
@@ -672,6 +673,25 @@ def proof_audit(spark, sf):
     return a.select("request_id", "a.verified", "a.reason")
 
 
+@query
+def proof_submissions(spark, sf):
+    """Submissions as they arrive: absent, broken, with an unknown token, too late, wrong or right."""
+    i = F.col("event_id")
+    token = F.concat(F.lit("t"), i.cast("string"))
+    nonce = F.round("value", 0).cast("int").cast("string")
+    sent = (
+        F.when(i % 5 == 0, None).when(i % 5 == 1, F.concat(F.lit("nonce "), nonce))
+        .when(i % 5 == 2, F.concat(F.lit('{"jwt":"'), token, F.lit('","nonce":"'), nonce, F.lit('"} more')))
+        .otherwise(F.concat(F.lit('{"jwt":"'), token, F.lit('","nonce":'), nonce, F.lit("}")))
+    )
+    e = B.table(spark, sf, "events")
+    requests = e.select(i.alias("request_id"), B.micros(F.col("ts")).alias("ts_us"), sent.alias("challenge_response"))
+    challenges = e.filter(i % 7 != 0).select(
+        token.alias("jwt"), i.cast("string").alias("challenge"), (B.micros(F.col("ts")) - (i % 600) * 1_000_000).alias("issued_us")
+    )
+    return with_proofs(requests, challenges, replace(Params(), proof_prefix="0")).select("request_id", "proof", "proof_reason")
+
+
 # -- gate, report and roll-ups ----------------------------------------------------------------
 
 GATE = replace(Params(), rounding="half_up", correlation_window_s=86400)

@@ -18,7 +18,11 @@ FEATURE_NAMES = ["encoding_score", "expansion_factor(normalized)", "obfuscation_
 
 def extract_features(df: DataFrame) -> DataFrame:
     """The four serving-time features of each prompt, under their training names."""
-    signals = with_cost_signals(with_text_forms(df)).drop(*TEXT_FORMS)
+    return with_model_features(with_cost_signals(with_text_forms(df)).drop(*TEXT_FORMS))
+
+
+def with_model_features(signals: DataFrame) -> DataFrame:
+    """Cost signals with the one feature that the model reads in another scale."""
     return signals.withColumn("expansion_normalized", F.least(F.col("expansion_factor") * 2, F.lit(100.0)))
 
 

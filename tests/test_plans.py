@@ -2,16 +2,19 @@
 
 import math
 import os
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
+from promptwatch import Params
 from promptwatch.functions import cost as C
 from promptwatch.functions import rules as R
 from promptwatch.operators import similarity
 from promptwatch.plans import protect as P
 from promptwatch.plans import queries as Q
+from promptwatch.plans import training as M
 from promptwatch.sources import bindings as B
 
 DATA = "/root/testdata/sf0.001"
@@ -60,6 +63,21 @@ def test_repeated_request_ids_give_one_report_each(spark):
     assert sorted((r.request_id, r.user_id, r.exit) for r in got) == [("r", "u0", "allowed")] * 3 + [("r", "u1", "risk")] * 3
 
 
+def test_the_pipeline_takes_a_model_and_audits_submissions(spark):
+    prompts = list(enumerate(B.PROBE_PROMPTS))
+    data = spark.createDataFrame([(p, int(8 <= k <= 26)) for k, p in prompts], "prompt string, label int")
+    model = M.train_cost_model(M.extract_features(data))
+    strict = replace(Params(), challenge_trust=2.0, challenge_cost=-1, proof_prefix="")
+    sent = [None, "", "junk", '{"jwt":"a","nonce":7}', '{"jwt":"b","nonce":7}', '{"jwt":"a"} x']
+    requests = spark.createDataFrame(
+        [(f"r{i}", 10**12 + i, f"u{i}", "10.0.0.1", "Which river is the longest?", s) for i, s in enumerate(sent)],
+        "request_id string, ts_us bigint, user_id string, client_ip string, prompt string, challenge_response string")
+    challenges = spark.createDataFrame([("a", "c", 10**12)], "jwt string, challenge string, issued_us bigint")
+    got = {r.request_id: r for r in P.protect(requests, B.control_log(spark).limit(0), strict, model=model, challenges=challenges).collect()}
+    assert {r.scoring_method for r in got.values()} == {"ml_classifier"}
+    assert [got[f"r{i}"].exit for i in range(6)] == ["challenge", "challenge", "proof", "allowed", "proof", "proof"]
+
+
 def test_an_empty_exemplar_bank_raises_no_flags(spark):
     df = spark.createDataFrame([([1.0, 0.0],)], "embedding array<double>")
     bank = spark.createDataFrame([], "category string, embedding array<double>")
