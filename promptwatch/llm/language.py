@@ -198,8 +198,11 @@ def languages(docs: DataFrame) -> DataFrame:
     return identify(docs.drop("lang"), model).select("doc_id", "held_out", "language.*")
 
 
-def keep_identified(docs: DataFrame, least_share: float = 0.5) -> DataFrame:
-    """Rows in which one known language holds ``least_share`` of the words; texts without a letter go."""
+def keep_identified(docs: DataFrame, least_share: float = 0.3) -> DataFrame:
+    """Rows in which one known language holds ``least_share`` of the words; texts without a letter go.
+
+    A short text in one language with a notice in another stays well above that share.
+    """
     model = train(docs.where(~held_out()))
     own = fresh(docs, "__language")
     found = F.col(own)
