@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptwatch.llm.shared import chunks, fresh, lower_ascii, word_hashes
+from promptwatch.llm.shared import fresh, lower_ascii, text_chunks, word_hashes
 
 WINDOW = 10
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 BLOCK_BYTES = 16 << 20
 #: Every so many positions of a shard's sequence a suffix position is kept.
 SAMPLE = 8
@@ -238,10 +238,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     @F.arrow_udf(RESULT)
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in column.to_pylist()]
             rows = []
-            for a, b in chunks([len(t) for t in texts], SHARD_BYTES):
-                shard = texts[a:b]
+            for _, _, texts in text_chunks(column, SHARD_BYTES):
+                shard = [t.encode("utf-8", "surrogatepass") for t in texts]
                 found = [scan(shard, part.value) for part in parts]
                 for i, t in enumerate(shard):
                     rows.append(_united(t, [f[i] for f in found], clean))

@@ -36,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from promptwatch.llm.decontaminate import SHARD_BYTES
-from promptwatch.llm.shared import chunks, connected, lower_ascii, materialize, mix, word_hashes
+from promptwatch.llm.shared import connected, lower_ascii, materialize, mix, text_chunks, word_hashes
 
 #: A bucket of more classes than this is crowded; its shingle goes to the end of the order.
 CROWDED = 24
@@ -90,10 +90,9 @@ def _sketches(docs: DataFrame, words: int, over: int, of: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = np.uint64(0xD6E8FEB86659FD93)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in chunks([len(t or "") for t in texts], SHARD_BYTES):
+            for a, b, texts in text_chunks(batch.column(1), SHARD_BYTES):
                 size, one, two, noted = [], [], [], []
-                for own in shingle_sets(texts[a:b], words):
+                for own in shingle_sets(texts, words):
                     size.append(len(own))
                     one.append(int(mix(own).sum(dtype=np.uint64).astype(np.int64)))
                     two.append(int(mix(own ^ salt).sum(dtype=np.uint64).astype(np.int64)))
@@ -152,9 +151,8 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in chunks([len(t or "") for t in texts], SHARD_BYTES):
-                sets = shingle_sets(texts[a:b], words)
+            for a, b, texts in text_chunks(batch.column(1), SHARD_BYTES):
+                sets = shingle_sets(texts, words)
                 bits = []
                 for own in sets:
                     flags = np.zeros(width_of(len(own)), bool)

@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptwatch.llm.shared import chunks, fresh, kept, strings
+from promptwatch.llm.shared import fresh, kept, text_chunks
 
 BITS = 16
-CHUNK_CHARS = 1 << 20
+CHUNK_BYTES = 1 << 19
 MAX_LANGUAGES = 500
 
 
@@ -72,12 +72,12 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageMo
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), strings(batch.column(1))
-            for name in set(names):
-                own = [t for n, t in zip(names, texts) if n == name]
-                total = totals.setdefault(name, np.zeros(1 << BITS, np.int64))
-                for a, b in chunks([len(t) for t in own], CHUNK_CHARS):
-                    total += np.bincount(_trigrams(own[a:b])[0], minlength=1 << BITS)
+            names = batch.column(0).to_pylist()
+            for a, b, texts in text_chunks(batch.column(1), CHUNK_BYTES):
+                for name in set(names[a:b]):
+                    own = [t for n, t in zip(names[a:b], texts) if n == name]
+                    total = totals.setdefault(name, np.zeros(1 << BITS, np.int64))
+                    total += np.bincount(_trigrams(own)[0], minlength=1 << BITS)
         for name, total in totals.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays(
@@ -176,9 +176,9 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", into: st
     def infer(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names, logp = shared.value
         for column in batches:
-            texts, rows = strings(column), []
-            for a, b in chunks([len(t) for t in texts], CHUNK_CHARS):
-                for at, share in mixtures(texts[a:b], logp, penalty):
+            rows = []
+            for _, _, texts in text_chunks(column, CHUNK_BYTES):
+                for at, share in mixtures(texts, logp, penalty):
                     langs = [names[i] for i in at]
                     rows.append({
                         "lang_pred": langs[0] if langs else "und", "score": min(1.0, float(share[0])) if langs else 0.0,

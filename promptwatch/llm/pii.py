@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptwatch.llm.shared import strings
+from promptwatch.llm.shared import text_chunks
 
 KINDS = ("email", "ip", "card", "phone")
 VOTERS = 6
+#: Bytes of text that are Python strings at once.
+CHUNK_BYTES = 1 << 20
 #: Characters of context on the left that the context labeler reads.
 WINDOW = 48
 
@@ -205,8 +207,9 @@ def fit(docs: DataFrame, text: str = "text") -> dict[str, list[float]]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
-            for t in strings(batch.column(0)):
-                seen.update((KINDS.index(k), _code(t, k, a, b, base)) for k, a, b, base in candidates(t))
+            for _, _, texts in text_chunks(batch.column(0), CHUNK_BYTES):
+                for t in texts:
+                    seen.update((KINDS.index(k), _code(t, k, a, b, base)) for k, a, b, base in candidates(t))
         if seen:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k for k, _ in seen], pa.int32()), pa.array([c for _, c in seen], pa.int32()), pa.array(seen.values(), pa.int64())],
@@ -251,7 +254,7 @@ def annotate(docs: DataFrame, weights: dict[str, list[float]], text: str = "text
     @F.arrow_udf(RESULT)
     def spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            both = [find(t, weights, threshold) for t in strings(column)]
+            both = [find(t, weights, threshold) for _, _, texts in text_chunks(column, CHUNK_BYTES) for t in texts]
             yield pa.StructArray.from_arrays([
                 pa.array([[dict(zip(("kind", "start", "end"), s)) for s in pair[i]] for pair in both], _SPANS) for i in (0, 1)
             ], ["base", "spans"])

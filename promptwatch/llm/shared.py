@@ -9,13 +9,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from promptwatch.sources.workspace import materialize, workspace_path
+from promptwatch.sources import workspace
 
 __all__ = [
-    "chunks", "connected", "folder", "fresh", "kept", "lower_ascii", "materialize", "mix", "posix", "read", "strings", "word_hashes",
+    "chunks", "connected", "folder", "fresh", "kept", "lower_ascii", "materialize", "mix", "posix", "read",
+    "strings", "text_chunks", "word_hashes",
 ]
 
 
@@ -24,6 +26,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Whether shuffle files go when the query that made them ends, and not when the driver next collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read that; nothing needs its shuffle files afterwards."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        return workspace.materialize(df)
+    finally:
+        conf.set(CLEANUP, before)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have yet."""
     while name in df.columns:
@@ -33,7 +50,7 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def folder(spark: SparkSession, kind: str) -> str:
     """A new folder for an operator's own files, in the shared folder of the cluster."""
-    return f"{workspace_path(spark)}-{kind}-{uuid.uuid4().hex[:8]}"
+    return f"{workspace.workspace_path(spark)}-{kind}-{uuid.uuid4().hex[:8]}"
 
 
 def posix(uri: str):
@@ -64,6 +81,16 @@ def strings(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def text_chunks(column: pa.Array, limit: int) -> Iterator[tuple[int, int, list[str]]]:
+    """(a, b, texts) of neighbouring rows [a, b) with ``limit`` bytes together at most; null counts as empty.
+
+    Only one chunk's texts are Python strings at a time.
+    """
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for a, b in chunks(sizes, limit):
+        yield a, b, strings(column.slice(a, b - a))
+
+
 def chunks(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
     """Runs [a, b) of neighbouring items whose sizes add up to ``limit`` at most; a larger item stands alone."""
     a = total = 0

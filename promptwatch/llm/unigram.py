@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptwatch.llm.shared import chunks, fresh, kept
+from promptwatch.llm.shared import fresh, kept, text_chunks
 
 MARK = "▁"
 LONG = 64
@@ -254,8 +254,8 @@ def pieces(model_file: str) -> Pieces:
 
 
 RESULT = "struct<ids:array<int>,decoded:string>"
-#: Characters that are encoded together.
-BLOCK_CHARS = 1 << 20
+#: Bytes of text that are encoded together.
+BLOCK_BYTES = 1 << 20
 
 
 def encode_texts(docs: DataFrame, model_file: str, text: str = "text", into: str = "pieces") -> DataFrame:
@@ -264,13 +264,13 @@ def encode_texts(docs: DataFrame, model_file: str, text: str = "text", into: str
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = pieces(model_file)
         for column in batches:
-            texts = column.to_pylist()
             ids, decoded = [], []
-            for a, b in chunks([len(t or "") for t in texts], BLOCK_CHARS):
-                for t, data in zip(texts[a:b], model.encode([t or "" for t in texts[a:b]])):
-                    own = np.frombuffer(data, "<i4")
-                    ids.append(own)
-                    decoded.append(None if t is None else model.decode(own))
+            for _, _, texts in text_chunks(column, BLOCK_BYTES):
+                for data in model.encode(texts):
+                    ids.append(np.frombuffer(data, "<i4"))
+                    decoded.append(model.decode(ids[-1]))
+            if column.null_count:
+                decoded = [None if empty else t for empty, t in zip(column.is_null().to_pylist(), decoded)]
             size = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
             yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(size), pa.array(flat)), pa.array(decoded, pa.string())], ["ids", "decoded"])
@@ -290,9 +290,9 @@ def digests(docs: DataFrame, model_file: str) -> DataFrame:
 
         model = pieces(model_file)
         for column in batches:
-            texts, rows = [t or "" for t in column.to_pylist()], []
-            for a, b in chunks([len(t) for t in texts], BLOCK_CHARS):
-                for t, data in zip(texts[a:b], model.encode(texts[a:b])):
+            rows = []
+            for _, _, texts in text_chunks(column, BLOCK_BYTES):
+                for t, data in zip(texts, model.encode(texts)):
                     ids = np.frombuffer(data, "<i4")
                     back = model.decode(ids)
                     rows.append({
