@@ -36,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from promptwatch.llm.decontaminate import SHARD_BYTES
-from promptwatch.llm.shared import connected, lower_ascii, materialize, mix, text_chunks, word_hashes
+from promptwatch.llm.shared import connected, discard, lower_ascii, materialize, mix, text_chunks, word_hashes
 
 #: A bucket of more classes than this is crowded; its shingle goes to the end of the order.
 CROWDED = 24
@@ -106,14 +106,14 @@ def _sketches(docs: DataFrame, words: int, over: int, of: int) -> DataFrame:
 
 
 def _dealt(classes: DataFrame, over: int, of: int) -> DataFrame:
-    """A row for each class and bucket: route, token, node, size, copies, place in the order, and whether it lacks room."""
+    """A row for each class and bucket: route, token, node, size, place in the order, and whether it lacks room."""
     first = F.slice("noted", 1, F.col("size") - F.ceil(F.col("size") * F.lit(over) / F.lit(of)).cast("int") + 1)
-    plain = classes.select("node", "size", "copies", F.posexplode(first).alias("place", "token"))
+    plain = classes.select("node", "size", F.posexplode(first).alias("place", "token"))
     counts = materialize(plain.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED))
     total = counts.agg(F.sum("n")).first()[0] or 0
     bound = max(CROWDED, total // MOST_CROWDED)
     crowded = np.sort(counts.where(F.col("n") > bound).select("token").toArrow().column(0).to_numpy())
-    columns = [F.lit(0).alias("route"), "token", "node", "size", "copies", "place", F.lit(False).alias("lacks")]
+    columns = [F.lit(0).alias("route"), "token", "node", "size", "place", F.lit(False).alias("lacks")]
     if not len(crowded):
         return plain.select(*columns)
     shared = classes.sparkSession.sparkContext.broadcast(crowded)
@@ -121,7 +121,7 @@ def _dealt(classes: DataFrame, over: int, of: int) -> DataFrame:
     def reorder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = shared.value
         for batch in batches:
-            size, noted = batch.column(1).to_numpy(), batch.column(3)
+            size, noted = batch.column(1).to_numpy(), batch.column(2)
             flat, ends = noted.flatten().to_numpy(), noted.offsets.to_numpy() - noted.offsets[0].as_py()
             at = np.minimum(np.searchsorted(late, flat), len(late) - 1)
             busy = late[at] == flat
@@ -131,18 +131,17 @@ def _dealt(classes: DataFrame, over: int, of: int) -> DataFrame:
                 lacks.append(bool(b - a < n and b - a - busy[a:b].sum() < need))
                 first.append(flat[a:b][order[:need]])
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(3)), pa.array(first, pa.list_(pa.int32())), pa.array(lacks)], ["node", "size", "copies", "first", "lacks"]
+                [batch.column(0), batch.column(1), pa.array(first, pa.list_(pa.int32())), pa.array(lacks)], ["node", "size", "first", "lacks"]
             )
 
     moved = materialize(
-        classes.select("node", "size", "copies", "noted")
-        .mapInArrow(reorder, "node bigint, size int, copies bigint, first array<int>, lacks boolean")
+        classes.select("node", "size", "noted").mapInArrow(reorder, "node bigint, size int, first array<int>, lacks boolean")
     )
-    roomy = moved.where("not lacks").select("node", "size", "copies", F.posexplode("first").alias("place", "token")).select(*columns)
+    roomy = moved.where("not lacks").select("node", "size", F.posexplode("first").alias("place", "token")).select(*columns)
     short = moved.where("lacks").select("node", F.lit(True).alias("lack"))
     flagged = plain.join(short, "node", "left").withColumn("lacks", F.col("lack").isNotNull())
     met = flagged.where("lacks").select("token").distinct()
-    beside = flagged.join(met, "token", "left_semi").select(F.lit(1).alias("route"), "token", "node", "size", "copies", "place", "lacks")
+    beside = flagged.join(met, "token", "left_semi").select(F.lit(1).alias("route"), "token", "node", "size", "place", "lacks")
     return roomy if short.isEmpty() else roomy.unionByName(beside)
 
 
@@ -334,12 +333,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, over: int, of: int) -> DataFram
 def near_duplicates(docs: DataFrame, words: int = 5, over: int = 80, of: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (smallest linked doc_id) for every row."""
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    sketches = materialize(_sketches(docs, words, over, of))
-    classes = materialize(sketches.where("size > 0 and doc_id is not null").groupBy("one", "two").agg(
-        F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.max("size").alias("size"), F.min("noted").alias("noted"),
+    wide = materialize(_sketches(docs, words, over, of))
+    classes = materialize(wide.where("size > 0 and doc_id is not null").groupBy("one", "two").agg(
+        F.min("doc_id").alias("node"), F.max("size").alias("size"), F.min("noted").alias("noted"),
     ))
+    sketches, names = materialize(wide.drop("noted")), materialize(classes.select("one", "two", "node"))
+    discard(wide)
     base = math.log(of / over) * (1 + 1e-9)  # sizes that can be similar are never two bands apart
-    rows = materialize(_meeting(_dealt(classes, over, of), base))
+    rows = _meeting(_dealt(classes, over, of), base)
+    discard(classes)
     wanted = rows.select(F.col("node").alias("doc_id")).distinct()
     sets = materialize(_sets(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), words))
 
@@ -349,7 +351,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, over: int = 80, of: int = 1
         band = F.floor(F.log(F.col("size").cast("double")) / base + shift)
         banded = open_rows.withColumn("band", band)
         leaders = banded.groupBy("route", "token", "band").agg(
-            F.max_by(F.struct("node", "comp"), F.struct("weight", "copies", -F.col("node"))).alias("leader"), F.min("comp").alias("low"), F.max("comp").alias("high")
+            F.max_by(F.struct("node", "comp"), F.struct("weight", -F.col("node"))).alias("leader"), F.min("comp").alias("low"), F.max("comp").alias("high")
         ).where("low <> high").select("route", "token", "band", "leader.*").toDF("route", "token", "band", "a", "lead_comp")
         pairs = banded.join(leaders, ["route", "token", "band"]).where("comp <> lead_comp").groupBy("a", F.col("node").alias("b")).agg(
             F.count("*").alias("shared"), F.max("size").alias("size")
@@ -364,7 +366,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, over: int = 80, of: int = 1
     candidates = blocks.repartition("route", "token", "band", "bi", "bj").sortWithinPartitions("route", "token", "band", "bi", "bj").mapInArrow(_bucket_pairs(over, of), "a bigint, b bigint")
     found = materialize(_verified(candidates.distinct(), sets, over, of))
     roots = connected(links.unionByName(found))
-    labels = classes.select("one", "two", "node").join(roots, "node", "left").select("one", "two", F.coalesce("root", "node").alias("component"))
+    labels = names.join(roots, "node", "left").select("one", "two", F.coalesce("root", "node").alias("component"))
     labelled = sketches.select("doc_id", "size", "one", "two").join(labels, ["one", "two"], "left")
     return labelled.select(
         "doc_id", F.col("size").cast("bigint").alias("n_shingles"),
@@ -374,16 +376,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, over: int = 80, of: int = 1
 
 def _meeting(dealt: DataFrame, base: float) -> DataFrame:
     """Rows of buckets in which classes of similar size meet, with the average crowd of each class's buckets as weight."""
-    several = dealt.groupBy("route", "token").agg(F.count("*").alias("n")).where("n > 1")
-    met = dealt.join(several, ["route", "token"])
-    band = F.floor(F.log(F.col("size").cast("double")) / base).cast("int")
-    banded = met.withColumn("own", band).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") - 1)))
-    whole = banded.groupBy("route", "token", "band").agg(F.count("*").alias("rows"), F.min("own").alias("least"), F.max(F.col("lacks").cast("int")).alias("short"))
-    whole = whole.where("rows > 1 and least = band and (route = 0 or short = 1)").select("route", "token", "band")
-    near = banded.join(whole, ["route", "token", "band"]).groupBy("node", "route", "token").agg(
-        F.min("place").alias("place"), *[F.first(c).alias(c) for c in ("size", "copies", "lacks", "n")]
-    )
-    return near.withColumn("weight", F.avg("n").over(W.partitionBy("node")))
+    key = ["route", "token"]
+    several = materialize(dealt.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"))
+    own = F.floor(F.log(F.col("size").cast("double")) / base).cast("int")
+    met = materialize(dealt.join(several, key).withColumn("own", own))
+    banded = met.select(*key, "own", "lacks", F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("band"))
+    whole = banded.groupBy(*key, "band").agg(F.count("*").alias("rows"), F.min("own").alias("least"), F.max(F.col("lacks").cast("int")).alias("short"))
+    whole = whole.where("rows > 1 and least = band and (route = 0 or short = 1)")
+    bands = materialize(whole.groupBy(*key).agg(F.collect_set("band").alias("bands")))  # as many as sizes have bands
+    near = met.join(bands, key).where(F.array_contains("bands", F.col("own")) | F.array_contains("bands", F.col("own") - 1))
+    weight = F.avg("n").over(W.partitionBy("node"))
+    rows = materialize(near.drop("own", "bands").withColumn("weight", weight))
+    discard(met)
+    return rows
 
 
 def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:

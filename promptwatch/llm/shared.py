@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from promptwatch.sources import workspace
 
 __all__ = [
-    "chunks", "connected", "folder", "fresh", "kept", "lower_ascii", "materialize", "mix", "posix", "read",
+    "chunks", "connected", "discard", "folder", "fresh", "kept", "lower_ascii", "materialize", "mix", "posix", "read",
     "strings", "text_chunks", "word_hashes",
 ]
 
@@ -41,6 +41,14 @@ def materialize(df: DataFrame) -> DataFrame:
         conf.set(CLEANUP, before)
 
 
+def discard(table: DataFrame) -> None:
+    """Remove a table that :func:`materialize` wrote and no plan reads any more."""
+    files = table.inputFiles()
+    if files:
+        fs, path = posix(files[0].rsplit("/", 1)[0])
+        fs.delete_dir(path)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have yet."""
     while name in df.columns:
