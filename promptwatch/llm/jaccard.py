@@ -10,7 +10,7 @@ pairs with such a class are looked at. Buckets are numbered by half a hash; what
 
 Two rounds then tie each bucket's classes of similar size to a leader, the class whose shingles most others share:
 a group of n near copies costs n comparisons there, not n squared. A bucket whose classes are all tied together is
-done. In each other bucket the classes' bitmaps (at least four bits for each shingle) are the leaves of a signature
+done. In each other bucket the classes' bitmaps (a bit or two for each shingle) are the leaves of a signature
 tree, whose nodes hold the OR of their bitmaps, their range of sizes and the most shingles that share a bit. Pairs of
 nodes are followed from the roots down, and a pair is dropped as soon as the sizes or the largest possible overlap
 (bits in common, and shingles whose bit the other side lacks) rule out t. Pairs of different components that remain
@@ -165,8 +165,12 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def width_of(size: int) -> int:
-    """Bits of a bitmap: a power of two, four for each shingle at least."""
-    return max(64, 1 << (4 * size - 1).bit_length())
+    """Bits of a bitmap: a power of two, one for each shingle at least.
+
+    Half of such a bitmap stays empty, which is plenty against overlaps of nine tenths; what it lets through is
+    compared exactly.
+    """
+    return max(64, 1 << (size - 1).bit_length())
 
 
 class SignatureTree:
@@ -396,7 +400,9 @@ def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
     with_comp = rows.join(roots, rows["node"] == roots["node"], "left").select(rows["*"], F.coalesce(roots["root"], rows["node"]).alias("comp"))
     with_comp = materialize(with_comp)
     several = with_comp.groupBy("route", "token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    return materialize(with_comp.join(several.select("route", "token"), ["route", "token"], "left_semi"))
+    still = materialize(with_comp.join(several.select("route", "token"), ["route", "token"], "left_semi"))
+    discard(with_comp)
+    return still
 
 
 def _blocks(rows: DataFrame, sets: DataFrame, base: float) -> DataFrame:
