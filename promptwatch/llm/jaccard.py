@@ -328,9 +328,12 @@ def similar(over: int, of: int) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, over: int, of: int) -> DataFrame:
-    """Pairs (a, b) whose exact sets are similar."""
-    x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    """Pairs (a, b) whose exact sets are similar; only sets that a pair names are moved."""
+    pairs = materialize(pairs.distinct())
+    named = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    own = materialize(sets.join(named, "node", "left_semi").select("node", "shingles"))
+    x = own.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    y = own.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     return pairs.join(y, "b").join(x, "a").where(similar(over, of)).select("a", "b")
 
 
@@ -368,7 +371,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, over: int = 80, of: int = 1
             break
     blocks = _blocks(open_rows, sets, base)
     candidates = blocks.repartition("route", "token", "band", "bi", "bj").sortWithinPartitions("route", "token", "band", "bi", "bj").mapInArrow(_bucket_pairs(over, of), "a bigint, b bigint")
-    found = materialize(_verified(candidates.distinct(), sets, over, of))
+    found = materialize(_verified(candidates, sets, over, of))
     roots = connected(links.unionByName(found))
     labels = names.join(roots, "node", "left").select("one", "two", F.coalesce("root", "node").alias("component"))
     labelled = sketches.select("doc_id", "size", "one", "two").join(labels, ["one", "two"], "left")
