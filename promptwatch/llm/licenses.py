@@ -1,17 +1,23 @@
 """Licence scans: a trained paragraph classifier on sparse word n-grams, confirmed by comparison with templates.
 
-A paragraph is a line of a text. Its features are the distinct words and word pairs (lower-cased letters and digits)
+A paragraph is a run of lines with a letter or digit, joined by a blank, without the marks that comments begin with: a
+notice wrapped at any width is one paragraph. Every single line is a candidate besides its paragraph. Features of a
+candidate are the distinct words and word pairs (lower-cased letters and digits)
 that occur in the templates, without those made of the commonest words only. A multinomial logistic regression over the licence families and ``none``, with a penalty
 that leaves most weights at zero, is fitted on the driver to the templates with parts left out (positive rows) and to
 paragraphs of at most ``SAMPLE_DOCS`` documents that resemble no template (``none``); a temperature fitted on held-out
 rows calibrates it. Scoring is native and local to a row: no shuffle, no Python on the executors.
 
-A paragraph is reported if ``none`` has less than half of the probability. Its family is the most probable one if that
-reaches ``LEAST_PROBABILITY`` and a template of the family shares ``LEAST_SIMILARITY`` of its n-grams with the paragraph
-(``confirmed``), and ``unknown`` otherwise. Before n-grams are made, texts and lines are asked for words without which
+A candidate counts if ``none`` has less than half of the probability. Its family is the most probable one if that
+reaches ``LEAST_PROBABILITY`` and a template of the family shares ``LEAST_SIMILARITY`` of its n-grams with the candidate
+(``confirmed``), and ``unknown`` otherwise. Lines that count are reported; a paragraph of several lines is reported if
+it confirms a family that none of its lines confirms, in place of its unconfirmed lines with that guess, or if it counts
+and none of its lines does. Before n-grams are made, texts, paragraphs and lines are asked for words without which
 ``none`` must keep half: the heaviest n-grams, such that all lighter ones together can't outweigh the intercept. That
 test drops nothing that would be reported.
 
+A notice in a longer run of lines is judged with the whole run, unless a line alone confirms it.
+
 Defined results: null and empty texts have no paragraphs to report; repeated rows report each; ties between families
 go to the name that sorts first; an empty table is scored with templates and two made-up ordinary lines alone.
 """
@@ -130,15 +136,58 @@ class Classifier:
 _COMMON = frozenset("the a of to this is under in and or by you it as with are for that be on at its".split())
 
 
+#: What a line begins with before its words: signs, and the words that begin a comment.
+_MARKS = r"(?i)^[^\p{L}\p{N}]*(?:(?:rem|dnl)(?:\s[^\p{L}\p{N}]*|$))?"
+_NUMBERS = r"(?:^|\n)\d+\t"
+
+
+def _paragraphs(text: Column) -> Column:
+    """Runs of lines with a letter or digit, each line after its number and a tab."""
+    def numbered(line: Column, i: Column) -> Column:
+        return _let(F.regexp_replace(line, _MARKS, ""), lambda bare: F.when(bare == "", "").otherwise(F.concat(i.cast("string"), F.lit("\t"), bare)))
+
+    runs = F.split(F.btrim(F.array_join(F.transform(F.split(text, "\n"), numbered), "\n"), F.lit("\n")), "\n{2,}")
+    return F.filter(runs, lambda run: run != "")
+
+
+def _candidates(paragraph: Column, has=lambda line: F.lit(True)) -> Column:
+    """Number of the first line, number of lines and words of a run's lines that ``has`` holds for, and of the whole run if it has several lines."""
+    def alone(line: Column) -> Column:
+        return F.struct(F.substring_index(line, "\t", 1).cast("int").alias("paragraph"), F.lit(1).alias("lines"), F.regexp_replace(line, r"^\d+\t", "").alias("line"))
+
+    def both(lines: Column) -> Column:
+        whole = F.struct(
+            F.substring_index(paragraph, "\t", 1).cast("int").alias("paragraph"), F.size(lines).alias("lines"),
+            F.regexp_replace(paragraph, _NUMBERS, " ").alias("line"),
+        )
+        return F.concat(F.transform(F.filter(lines, has), alone), F.filter(F.array(whole), lambda w: w["lines"] > 1))
+
+    return _let(F.split(paragraph, "\n"), both)
+
+
+def _known() -> Column:
+    return _map({c: ["array(" + ",".join(f"'{g}'" for g in grams_of(t)) + ")" for t in texts] for c, texts in TEMPLATES.items()})
+
+
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Classifier:
     """Fit to the templates and to ordinary paragraphs of a bounded number of documents."""
     named = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("text")).where("d is not null and text is not null")
     some = named.select("d").orderBy(F.xxhash64("d"), "d").limit(SAMPLE_DOCS).distinct()  # ids alone are sorted
-    lines = named.join(F.broadcast(some), "d", "left_semi").select(F.explode(F.split(F.substring("text", 1, 1 << 16), "\n")).alias("line"))
-    chosen = lines.orderBy(F.xxhash64("line"), "line").limit(SAMPLE_PARAGRAPHS)
-    got = [r[0] for r in chosen.select(grams(F.col("line"))).collect()]
     known = [set(grams_of(t)) for texts in TEMPLATES.values() for t in texts]
-    ordinary = [g for g in got if not any(len(t & set(g)) >= len(t) / 2 for t in known)]
+    every = set().union(*known)
+    templates = F.flatten(F.map_values(_known()))
+    runs = named.join(F.broadcast(some), "d", "left_semi").select(F.explode(_paragraphs(F.substring("text", 1, 1 << 16))).alias("run"))
+    own = F.array_intersect(grams(F.regexp_replace("run", _NUMBERS, " ")), F.lit(sorted(every)))
+    like = _let(own, lambda g: F.exists(templates, lambda t: F.size(F.array_intersect(g, t)) >= F.size(t) / 2))
+    rows = runs.select(like.alias("part"), F.explode(_candidates(F.col("run"))).alias("c")).select("part", "c.lines", "c.line")
+    ordinary = []
+    for kind in (F.col("lines") == 1, F.col("lines") > 1):
+        chosen = rows.where(kind).orderBy(F.xxhash64("line"), "line", "part").limit(SAMPLE_PARAGRAPHS)
+        for g, part in chosen.select(grams(F.col("line")), "part").collect():
+            g = set(g)
+            piece = part and len(every & g) >= len(g) / 2  # a line of a wrapped notice is no ordinary one
+            if not piece and not any(len(t & g) >= len(t) / 2 for t in known):
+                ordinary.append(sorted(g))
     return Classifier(ordinary + [grams_of("an ordinary line of text"), grams_of("and another one with the same words as any other")])
 
 
@@ -153,18 +202,18 @@ def _map(values: dict[str, list[str]]) -> Column:
 
 
 def scan(docs: DataFrame, model: Classifier, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, paragraph (line number from 0), family, probability, similarity and confirmed, for reported paragraphs."""
+    """doc_id, paragraph (number of its first line, from 0), family, probability, similarity, confirmed and lines (1 for a single line), for what is reported."""
     used = np.flatnonzero(np.any(model.w != 0, axis=1))
     weights = _map({model.grams[i]: [f"{v:.6g}D" for v in model.w[i]] for i in used})
     start = F.array(*[F.lit(float(b)) for b in model.b])
     vocabulary = F.lit([model.grams[i] for i in used])
-    known = _map({c: ["array(" + ",".join(f"'{g}'" for g in grams_of(t)) + ")" for t in texts] for c, texts in TEMPLATES.items()})
-    has = F.lit(True)
-    if model.needed is not None:
-        pattern = r"(?i)\b(?:" + "|".join(model.needed) + r")\b"
-        has = F.col("line").rlike(pattern)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("line")).where(has)
-    rows = rows.select("doc_id", F.posexplode(F.split("line", "\n")).alias("paragraph", "line")).where(has)
+    known = _known()
+
+    def has(words: Column) -> Column:
+        return F.lit(True) if model.needed is None else words.rlike(r"(?i)\b(?:" + "|".join(model.needed) + r")\b")
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(has(F.col("text")))
+    rows = rows.select("doc_id", F.explode(_paragraphs(F.col("text"))).alias("run")).where(has(F.col("run")))
 
     def add(total: Column, g: Column) -> Column:
         return F.zip_with(total, F.element_at(weights, g), lambda a, b: a + b)
@@ -178,17 +227,34 @@ def scan(docs: DataFrame, model: Classifier, doc_id: str = "doc_id", text: str =
             )
         ))
 
-    scored = _let(grams(F.col("line")), lambda own: F.struct(own.alias("own"), shares(own).alias("p")))
-    rows = rows.select("doc_id", "paragraph", scored.alias("s"))
     last = len(model.classes)
-    rows = rows.where(F.element_at("s.p", last) < 0.5).select("doc_id", "paragraph", "s.own", "s.p")
-    families = F.slice("p", 1, last - 1)
-    best = F.array_position(families, F.array_max(families)).cast("int")
-    rows = rows.withColumn("guess", F.element_at(F.array(*[F.lit(c) for c in model.classes]), best)).withColumn("probability", F.round(F.array_max(families), 6))
-    alike = F.array_max(F.transform(F.element_at(known, F.col("guess")), lambda t: F.size(F.array_intersect("own", t)) / F.size(t)))
-    rows = rows.withColumn("similarity", F.round(alike, 6))
-    sure = (F.col("probability") >= LEAST_PROBABILITY) & (F.col("similarity") >= LEAST_SIMILARITY)
-    return rows.select("doc_id", "paragraph", F.when(sure, F.col("guess")).otherwise("unknown").alias("family"), "probability", "similarity", sure.alias("confirmed"))
+
+    def scored(c: Column) -> Column:
+        return _let(grams(c["line"]), lambda own: F.struct(c["paragraph"].alias("paragraph"), c["lines"].alias("lines"), own.alias("own"), shares(own).alias("p")))
+
+    def judged(c: Column) -> Column:
+        families = F.slice(c["p"], 1, last - 1)
+        best = F.array_position(families, F.array_max(families)).cast("int")
+        return _let(F.element_at(F.array(*[F.lit(n) for n in model.classes]), best), lambda guess: _let(
+            F.array_max(F.transform(F.element_at(known, guess), lambda t: F.size(F.array_intersect(c["own"], t)) / F.size(t))), lambda alike: _let(
+                F.round(F.array_max(families), 6), lambda share: F.struct(
+                    c["paragraph"].alias("paragraph"), c["lines"].alias("lines"), guess.alias("guess"), share.alias("probability"), F.round(alike, 6).alias("similarity"),
+                    ((share >= LEAST_PROBABILITY) & (F.round(alike, 6) >= LEAST_SIMILARITY)).alias("confirmed"),
+                )
+            )
+        ))
+
+    def reported(of: Column) -> Column:
+        def shown(x: Column) -> Column:
+            by_line = F.exists(of, lambda y: (y["lines"] == 1) & y["confirmed"] & (y["guess"] == x["guess"]))
+            by_run = F.exists(of, lambda y: (y["lines"] > 1) & y["confirmed"] & (y["guess"] == x["guess"]))
+            return F.when(x["lines"] == 1, x["confirmed"] | by_line | ~by_run).when(x["confirmed"], ~by_line).otherwise(F.size(of) == 1)
+
+        return F.filter(of, shown)
+
+    counts = F.filter(F.transform(_candidates(F.col("run"), has), scored), lambda c: F.element_at(c["p"], last) < 0.5)
+    rows = rows.select("doc_id", F.explode(_let(F.transform(counts, judged), reported)).alias("r")).select("doc_id", "r.*")
+    return rows.select("doc_id", "paragraph", F.when(F.col("confirmed"), F.col("guess")).otherwise("unknown").alias("family"), "probability", "similarity", "confirmed", "lines")
 
 
 def license_notices(docs: DataFrame) -> DataFrame:

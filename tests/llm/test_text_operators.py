@@ -342,6 +342,50 @@ def test_licences_are_found_confirmed_or_unknown(spark):
     assert C.license_notices(docs.limit(0)).collect() == []
 
 
+WRAPPED = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:""",
+    "BSD": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at""",
+    "GPL-3.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "GPL-2.0": """This program is free software; you can redistribute it and/or
+modify it under the terms of the GNU General Public License version 2
+as published by the Free Software Foundation.""",
+}
+
+
+def test_wrapped_licences_are_found(spark):
+    names, marks = list(WRAPPED), ["", "# ", " * ", "// ", "REM ", "dnl "]
+    rows = []
+    for i, name in enumerate(names):
+        for j, mark in enumerate(marks):
+            notice = "\n".join(mark + x for x in WRAPPED[name].split("\n"))
+            rows.append((10 * i + j, f"the mountain was covered with snow\r\n{mark.rstrip()}\r\n{notice}\n{mark}\nuse what works for you\n"))
+    rows += [(100 + i, f"the weather of day {i}\nwas like that of the day before\n\nand so on") for i in range(60)]
+    got = C.license_notices(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    found = {(r["doc_id"], r["family"]) for r in got if r["confirmed"]}
+    assert found == {(10 * i + j, name) for i, name in enumerate(names) for j in range(len(marks))}
+    assert {r["paragraph"] for r in got if r["lines"] > 1} == {2}
+    assert not [r for r in got if r["doc_id"] >= 100]
+
+
+def test_licence_paragraphs_keep_line_numbers(spark):
+    text = "\n\n a b\n * c\n *\n  \nd\t1\n\u4e2d\n----\n7\n"
+    row = spark.createDataFrame([(text,)], "t string").select(F.transform(C._paragraphs(F.col("t")), lambda p: C._candidates(p))).first()[0]
+    got = [[tuple(c) for c in p] for p in row]
+    assert got == [[(2, 1, "a b"), (3, 1, "c"), (2, 2, " a b c")], [(6, 1, "d\t1"), (7, 1, "\u4e2d"), (6, 2, " d\t1 \u4e2d")], [(9, 1, "7")]]
+
+
 def test_licence_grams_match_and_the_word_test_drops_nothing(spark):
     texts = [t for v in C.TEMPLATES.values() for t in v] + ["", "one", "Two words", "ABC-def 1.0"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
