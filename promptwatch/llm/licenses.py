@@ -5,7 +5,8 @@ notice wrapped at any width is one paragraph. Every single line is a candidate b
 candidate are the distinct words and word pairs (lower-cased letters and digits)
 that occur in the templates, without those made of the commonest words only. A multinomial logistic regression over the licence families and ``none``, with a penalty
 that leaves most weights at zero, is fitted on the driver to the templates with parts left out (positive rows) and to
-paragraphs of at most ``SAMPLE_DOCS`` documents that resemble no template (``none``); a temperature fitted on held-out
+``SAMPLE_PARAGRAPHS`` lines and as many paragraphs, at most, of the whole texts of ``SAMPLE_DOCS`` documents, chosen by
+hash, that resemble no template (``none``); a temperature fitted on held-out
 rows calibrates it. Scoring is native and local to a row: no shuffle, no Python on the executors.
 
 A candidate counts if ``none`` has less than half of the probability. Its family is the most probable one if that
@@ -30,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Documents that ordinary paragraphs are taken from, those of the smallest hash; and paragraphs at most.
+#: Documents that ordinary paragraphs are taken from, those of the smallest hash; and lines, and paragraphs, at most.
 SAMPLE_DOCS = 400
 SAMPLE_PARAGRAPHS = 3000
 LEAST_PROBABILITY = 0.6
@@ -176,16 +177,17 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Classi
     known = [set(grams_of(t)) for texts in TEMPLATES.values() for t in texts]
     every = set().union(*known)
     templates = F.flatten(F.map_values(_known()))
-    runs = named.join(F.broadcast(some), "d", "left_semi").select(F.explode(_paragraphs(F.substring("text", 1, 1 << 16))).alias("run"))
+    runs = named.join(F.broadcast(some), "d", "left_semi").select(F.explode(_paragraphs(F.col("text"))).alias("run"))
     own = F.array_intersect(grams(F.regexp_replace("run", _NUMBERS, " ")), F.lit(sorted(every)))
     like = _let(own, lambda g: F.exists(templates, lambda t: F.size(F.array_intersect(g, t)) >= F.size(t) / 2))
     rows = runs.select(like.alias("part"), F.explode(_candidates(F.col("run"))).alias("c")).select("part", "c.lines", "c.line")
     ordinary = []
     for kind in (F.col("lines") == 1, F.col("lines") > 1):
         chosen = rows.where(kind).orderBy(F.xxhash64("line"), "line", "part").limit(SAMPLE_PARAGRAPHS)
-        for g, part in chosen.select(grams(F.col("line")), "part").collect():
+        words = chosen.select(grams(F.col("line")).alias("own"), "part")
+        for g, n, part in words.select(F.array_intersect("own", F.lit(sorted(every))), F.size("own"), "part").collect():  # no other n-gram counts
             g = set(g)
-            piece = part and len(every & g) >= len(g) / 2  # a line of a wrapped notice is no ordinary one
+            piece = part and len(g) >= n / 2  # a line of a wrapped notice is no ordinary one
             if not piece and not any(len(t & g) >= len(t) / 2 for t in known):
                 ordinary.append(sorted(g))
     return Classifier(ordinary + [grams_of("an ordinary line of text"), grams_of("and another one with the same words as any other")])

@@ -386,6 +386,14 @@ def test_licence_paragraphs_keep_line_numbers(spark):
     assert got == [[(2, 1, "a b"), (3, 1, "c"), (2, 2, " a b c")], [(6, 1, "d\t1"), (7, 1, "\u4e2d"), (6, 2, " d\t1 \u4e2d")], [(9, 1, "7")]]
 
 
+def test_ordinary_lines_come_from_whole_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(C, "Classifier", lambda ordinary: seen.extend(ordinary))
+    text = "snow " * 20_000 + "\n\nthe version of the documentation for this project\n"
+    C.train(spark.createDataFrame([(1, text)], "doc_id bigint, text string"))
+    assert any({"version", "documentation", "project"} <= set(g) for g in seen)
+
+
 def test_licence_grams_match_and_the_word_test_drops_nothing(spark):
     texts = [t for v in C.TEMPLATES.values() for t in v] + ["", "one", "Two words", "ABC-def 1.0"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
