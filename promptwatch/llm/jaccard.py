@@ -1,7 +1,7 @@
 """N-gram Jaccard join: shared rare shingles propose, signature trees prune, exact sets decide.
 
-A document's set holds the hashes of its distinct word shingles. Documents with equal sets form a class, which its
-smallest doc_id stands for. For a similarity of t or more two sets of n shingles share one of their first
+A document's set holds the hashes of its distinct word shingles. Documents with equal sets form a class, which has
+a number of its own. For a similarity of t or more two sets of n shingles share one of their first
 ``n - ceil(t n) + 1`` in any common order; the order is by hash, with shingles of crowded buckets last. So classes are
 dealt to buckets by those first shingles and no pair outside a bucket is lost. The first pass notes about twice as
 many shingles as that, which leaves room for crowded ones to go. A class in which too many are crowded (a member of a
@@ -21,7 +21,8 @@ are made only for classes that share a bucket.
 
 Defined results: a text without words, and a null one, has no shingles and links with nothing; fewer words than a
 shingle make one shingle; rows with a null doc_id get their shingle count and no component, unless an equal set has an
-id; rows that share a doc_id are one document, linked by it. Shingles are told apart by a 64-bit hash, equal sets by two.
+id; rows that share a doc_id are one document, linked by it, in ``near_duplicates``, whatever their texts; ``one_of_each``
+goes by the sets alone. Shingles are told apart by a 64-bit hash, equal sets by two.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from promptwatch.llm.decontaminate import SHARD_BYTES
-from promptwatch.llm.shared import connected, discard, lower_ascii, materialize, mix, text_chunks, word_hashes
+from promptwatch.llm.shared import connected, discard, fresh, lower_ascii, materialize, mix, text_chunks, word_hashes
 
 #: A bucket of more classes than this is crowded; its shingle goes to the end of the order.
 CROWDED = 24
@@ -85,7 +86,7 @@ def _noted(n: int, over: int, of: int) -> int:
 
 
 def _sketches(docs: DataFrame, words: int, over: int, of: int) -> DataFrame:
-    """doc_id, size, two digests and the first shingles (half their hashes) of each row's set."""
+    """doc_id, mark of the text, size, two digests and the first shingles (half their hashes) of each row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = np.uint64(0xD6E8FEB86659FD93)
@@ -98,11 +99,11 @@ def _sketches(docs: DataFrame, words: int, over: int, of: int) -> DataFrame:
                     two.append(int(mix(own ^ salt).sum(dtype=np.uint64).astype(np.int64)))
                     noted.append((own[: _noted(len(own), over, of)] >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(a, b - a), pa.array(size, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
-                    pa.array(noted, pa.list_(pa.int32())),
-                ], ["doc_id", "size", "one", "two", "noted"])
+                    batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(size, pa.int32()), pa.array(one, pa.int64()),
+                    pa.array(two, pa.int64()), pa.array(noted, pa.list_(pa.int32())),
+                ], ["doc_id", "mark", "size", "one", "two", "noted"])
 
-    return docs.mapInArrow(run, "doc_id bigint, size int, one bigint, two bigint, noted array<int>")
+    return docs.select("doc_id", "text", "mark").mapInArrow(run, "doc_id bigint, mark bigint, size int, one bigint, two bigint, noted array<int>")
 
 
 def _dealt(classes: DataFrame, over: int, of: int) -> DataFrame:
@@ -146,7 +147,7 @@ def _dealt(classes: DataFrame, over: int, of: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, whole set and bitmap of each row."""
+    """Node, whole set and bitmap of each row (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -337,22 +338,38 @@ def _verified(pairs: DataFrame, sets: DataFrame, over: int, of: int) -> DataFram
     return pairs.join(y, "b").join(x, "a").where(similar(over, of)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, over: int = 80, of: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest linked doc_id) for every row."""
-    docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+def _same_ids(sketches: DataFrame, names: DataFrame) -> DataFrame:
+    """Links (a, b) of classes that share a doc_id."""
+    digests = F.struct("one", "two")
+    rows = sketches.where("size > 0 and doc_id is not null")
+    several = rows.groupBy("doc_id").agg(F.min(digests).alias("low"), F.max(digests).alias("high")).where("low <> high").select("doc_id", "low.*")
+    several = materialize(several.toDF("doc_id", "one_a", "two_a"))
+    pairs = rows.join(several, "doc_id").where("one <> one_a or two <> two_a").select("one", "two", "one_a", "two_a").distinct()
+    pairs = pairs.join(names.select("one", "two", F.col("node").alias("b")), ["one", "two"])
+    of = names.select(F.col("one").alias("one_a"), F.col("two").alias("two_a"), F.col("node").alias("a"))
+    return materialize(pairs.join(of, ["one_a", "two_a"]).select("a", "b"))
+
+
+def _components(docs: DataFrame, words: int, over: int, of: int, by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, size, one, two), and classes (one, two, component) with the smallest (least doc_id, mark) of those linked.
+
+    Classes that share a doc_id are linked if ``by_id``.
+    """
     wide = materialize(_sketches(docs, words, over, of))
-    classes = materialize(wide.where("size > 0 and doc_id is not null").groupBy("one", "two").agg(
-        F.min("doc_id").alias("node"), F.max("size").alias("size"), F.min("noted").alias("noted"),
-    ))
-    sketches, names = materialize(wide.drop("noted")), materialize(classes.select("one", "two", "node"))
+    classes = wide.where("size > 0 and doc_id is not null").groupBy("one", "two").agg(
+        F.min(F.struct("doc_id", "mark")).alias("first"), F.max("size").alias("size"), F.min("noted").alias("noted"),
+    )
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()))
+    sketches = materialize(wide.drop("noted", "mark"))
+    names = materialize(classes.select("one", "two", "node", F.struct(F.col("first.doc_id").alias("least"), F.col("first.mark").alias("mark")).alias("first")))
     discard(wide)
     base = math.log(of / over) * (1 + 1e-9)  # sizes that can be similar are never two bands apart
     rows = _meeting(_dealt(classes, over, of), base)
     discard(classes)
-    wanted = rows.select(F.col("node").alias("doc_id")).distinct()
-    sets = materialize(_sets(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), words))
+    wanted = names.join(rows.select("node").distinct(), "node", "left_semi").select(F.col("first.least").alias("doc_id"), "first.mark", "node")
+    sets = materialize(_sets(docs.join(wanted, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).select("node", "text"), words))
 
-    links, roots = None, None
+    links = _same_ids(sketches, names) if by_id else None
     open_rows = rows.withColumn("comp", F.col("node"))
     for shift in (0.0, 0.5):
         band = F.floor(F.log(F.col("size").cast("double")) / base + shift)
@@ -373,7 +390,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, over: int = 80, of: int = 1
     candidates = blocks.repartition("route", "token", "band", "bi", "bj").sortWithinPartitions("route", "token", "band", "bi", "bj").mapInArrow(_bucket_pairs(over, of), "a bigint, b bigint")
     found = materialize(_verified(candidates, sets, over, of))
     roots = connected(links.unionByName(found))
-    labels = names.join(roots, "node", "left").select("one", "two", F.coalesce("root", "node").alias("component"))
+    tied = names.join(roots, "node").groupBy("root").agg(F.min("first").alias("smallest"))
+    labels = names.join(roots, "node", "left").join(tied, "root", "left").select("one", "two", F.coalesce("smallest", "first").alias("component"))
+    return sketches, labels
+
+
+def _marked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, text and a hash of it, which tells apart texts that share a doc_id."""
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, over: int = 80, of: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest linked doc_id) for every row."""
+    sketches, labels = _components(_marked(docs, doc_id, text), words, over, of, by_id=True)
+    labels = labels.select("one", "two", F.col("component.least").alias("component"))
     labelled = sketches.select("doc_id", "size", "one", "two").join(labels, ["one", "two"], "left")
     return labelled.select(
         "doc_id", F.col("size").cast("bigint").alias("n_shingles"),
@@ -431,9 +461,14 @@ def linked_documents(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs, words=3, over=90, of=100)
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of every group of near duplicates; rows without a doc_id all stay."""
+def one_of_each(docs: DataFrame, words: int = 5, over: int = 80, of: int = 100) -> DataFrame:
+    """The document with the smallest doc_id of every group of near duplicates; rows without a doc_id all stay.
+
+    Different texts that share a doc_id both stay, unless their sets are equal or linked.
+    """
     plain = F.col("doc_id").isNull() | F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
-    kept = near_duplicates(docs).where("component_id = doc_id and n_shingles > 0").select("doc_id").distinct()
-    worded = docs.where(~plain).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    _, labels = _components(_marked(docs, "doc_id", "text"), words, over, of, by_id=False)
+    mark = fresh(docs, "__mark")
+    kept = labels.select(F.col("component.least").alias("doc_id"), F.col("component.mark").alias(mark)).distinct()
+    worded = docs.where(~plain).withColumn(mark, F.xxhash64("text")).join(kept, ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark])
     return docs.where(plain).unionByName(worded.select(docs.columns))

@@ -227,6 +227,19 @@ def test_components_agree_with_all_pairs(spark, monkeypatch, crowded, over, word
     assert got == plain_components(rows, words, over, 100)
 
 
+def test_different_texts_that_share_an_id(spark):
+    def text(k, changed=""):
+        return " ".join(f"w{k}x{i}" for i in range(60)) + changed
+
+    rows = [(5, text(0)), (5, text(1)), (7, text(0, " more")), (8, text(1, " more")), (3, text(2)), (5, text(2)), (9, text(3)), (9, text(3, " more")), (10, text(4))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in J.near_duplicates(docs).collect()}
+    assert got == {(5, 3), (7, 3), (8, 3), (3, 3), (9, 9), (10, 10)}
+    kept = sorted(tuple(r) for r in J.one_of_each(docs).collect())
+    assert [k for k in kept if k[0] != 9] == sorted([rows[0], rows[1], rows[4], rows[8]])
+    assert sum(k[0] == 9 for k in kept) == 1
+
+
 def test_near_duplicates_of_odd_tables(spark):
     schema = "doc_id bigint, text string"
     assert J.linked_documents(spark.createDataFrame([], schema)).collect() == []
