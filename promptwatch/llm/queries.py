@@ -7,15 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from promptwatch.llm.decontaminate import contaminated
+from promptwatch.llm.divergence import audit
 from promptwatch.llm.jaccard import linked_documents
 from promptwatch.llm.language import languages
 from promptwatch.llm.licenses import license_notices
+from promptwatch.llm.mixing import mixed_words
 from promptwatch.llm.oracles import ORACLES
 from promptwatch.llm.pii import personal_data
 from promptwatch.llm.pivots import top_products
 from promptwatch.llm.shared import read
 from promptwatch.llm.sharding import document_shards
 from promptwatch.llm.token_files import token_ids
+from promptwatch.llm.trie import conversation_trie
 from promptwatch.llm.unigram import digests
 from promptwatch.llm.warc import captures
 
@@ -70,6 +73,18 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_documents(read(spark, sf_dir, "documents"))
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_words(read(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(read(spark, sf_dir, "documents"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_languages": op1_languages,
     "op2_sharding": op2_sharding,
@@ -81,5 +96,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_licenses": op9_licenses,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_source_mix": op11_source_mix,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 __all__ = ["ORACLES", "QUERIES"]
