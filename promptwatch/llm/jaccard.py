@@ -10,13 +10,16 @@ pairs with such a class are looked at. Buckets are numbered by half a hash; what
 
 Two rounds then tie each bucket's classes of similar size to a leader, the class whose shingles most others share:
 a group of n near copies costs n comparisons there, not n squared. A bucket whose classes are all tied together is
-done. In each other bucket the classes' bitmaps (a bit or two for each shingle) are the leaves of a signature
-tree, whose nodes hold the OR of their bitmaps, their range of sizes and the most shingles that share a bit. Pairs of
-nodes are followed from the roots down, and a pair is dropped as soon as the sizes or the largest possible overlap
-(bits in common, and shingles whose bit the other side lacks) rule out t. Pairs of different components that remain
-are compared by their exact sets. Links become components by distributed star rounds.
-
-Buckets beyond ``BLOCK_ROWS`` rows are split into blocks, every two of which meet in a task of their own. Bitmaps and sets
+done. The others become cells: buckets with the same leader are one, since the many buckets of a group of near copies
+hold much the same classes. In each cell the classes' bitmaps (a bit or two for each shingle) are the leaves of a
+signature tree, whose nodes hold the OR of their bitmaps, their range of sizes and components and the most shingles that
+share a bit. Pairs of nodes are followed from the roots down, and a pair is dropped as soon as the sizes or the largest
+possible overlap (bits in common, and shingles whose bit the other side lacks) rule out t, or all its leaves are of one
+component. A first pass finds the classes that have any partner left; their exact sets are brought to the cell, where a
+second pass compares them and unites components as it goes. A task passes on only the links that joined two
+components, so its output is never more than its rows. Links become components by distributed star rounds.
+
+Cells beyond ``BLOCK_ROWS`` rows are split into blocks, every two of which meet in a task of their own. Bitmaps and sets
 are made only for classes that share a bucket.
 
 Defined results: a text without words, and a null one, has no shingles and links with nothing; fewer words than a
@@ -43,7 +46,9 @@ from promptwatch.llm.shared import connected, discard, fresh, lower_ascii, mater
 CROWDED = 24
 #: Crowded shingles that are sent to the tasks at most (4 bytes each).
 MOST_CROWDED = 1 << 20
-BLOCK_ROWS = 4096
+#: Rows and shingles of a block at most; every two blocks of a cell meet in a task.
+BLOCK_ROWS = 1024
+BLOCK_SHINGLES = 1 << 20
 FANOUT = 8
 
 _LOWER = lower_ascii()
@@ -175,12 +180,17 @@ def width_of(size: int) -> int:
 
 
 class SignatureTree:
-    """Leaves are bitmaps of equal width in order of size; each node has FANOUT children and their OR."""
+    """Leaves are bitmaps of equal width in order of size; each node has FANOUT children and their OR.
+
+    ``comp`` are the components that the leaves are known to belong to; a node has the least and largest of its leaves.
+    """
 
-    def __init__(self, bits: np.ndarray, size: np.ndarray):
+    def __init__(self, bits: np.ndarray, size: np.ndarray, comp: np.ndarray | None = None):
         self.order = np.lexsort((*bits[:, :4].T[::-1], size)) if len(size) else np.zeros(0, int)
         level = bits[self.order], size[self.order], size[self.order], (size - np.bitwise_count(bits).sum(axis=1, dtype=np.int64))[self.order]
         self.levels = [level]
+        comp = (np.arange(len(size)) if comp is None else comp)[self.order]
+        self.comps = [(comp, comp)]
         while len(level[1]) > 1:
             at = np.arange(0, len(level[1]), FANOUT)
             level = (
@@ -188,11 +198,13 @@ class SignatureTree:
                 np.maximum.reduceat(level[2], at), np.maximum.reduceat(level[3], at),
             )
             self.levels.append(level)
+            least, most = self.comps[-1]
+            self.comps.append((np.minimum.reduceat(least, at), np.maximum.reduceat(most, at)))
 
     def fold(self) -> "SignatureTree":
         """The same tree with bitmaps of half the width."""
         new = object.__new__(SignatureTree)
-        new.order, new.levels = self.order, []
+        new.order, new.comps, new.levels = self.order, self.comps, []
         for bits, low, high, shared in self.levels:
             half = bits.shape[1] // 2
             lost = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
@@ -207,11 +219,16 @@ class SignatureTree:
 
 
 def dual_pairs(a: SignatureTree, b: SignatureTree, over: int, of: int) -> tuple[np.ndarray, np.ndarray]:
-    """Leaf pairs (original row numbers) that may reach over / of; of a tree with itself each pair once."""
+    """Leaf pairs (original row numbers) of different components that may reach over / of; of a tree with itself each pair once."""
+    out = list(_dual_batches(a, b, over, of))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _dual_batches(a: SignatureTree, b: SignatureTree, over: int, of: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of :func:`dual_pairs`, some at a time."""
     same = a is b  # else two trees over different rows
     if not len(a.order) or not len(b.order):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    out: list[tuple[np.ndarray, np.ndarray]] = []
+        return
     stack = [(len(a.levels) - 1, len(b.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         la, lb, i, j = stack.pop()
@@ -222,6 +239,10 @@ def dual_pairs(a: SignatureTree, b: SignatureTree, over: int, of: int) -> tuple[
         x, low, high, share = a.levels[la]
         y, low2, high2, share2 = b.levels[lb]
         ok = (high[i] * of >= over * low2[j]) & (high2[j] * of >= over * low[i])
+        (c, d), (c2, d2) = a.comps[la], b.comps[lb]
+        ok &= (c[i] != d[i]) | (c2[j] != d2[j]) | (c[i] != c2[j])  # something is left to unite
+        if same and la == lb == 0:
+            ok &= i < j
         i, j = i[ok], j[ok]
         common = np.bitwise_count(x[i] & y[j]).sum(axis=1, dtype=np.int64)
         most = np.minimum(np.minimum(high[i], high2[j]), common + np.minimum(share[i], share2[j]))
@@ -234,10 +255,7 @@ def dual_pairs(a: SignatureTree, b: SignatureTree, over: int, of: int) -> tuple[
         if not len(i):
             continue
         if la == 0 and lb == 0:
-            if same:
-                apart = i < j
-                i, j = i[apart], j[apart]
-            out.append((a.order[i], b.order[j]))
+            yield a.order[i], b.order[j]
             continue
         down_a, down_b = 0 < la >= lb, 0 < lb >= la
         if down_a:
@@ -250,9 +268,6 @@ def dual_pairs(a: SignatureTree, b: SignatureTree, over: int, of: int) -> tuple[
         if same:
             ok &= i <= j
         stack.append((la, lb, i[ok], j[ok]))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _children(nodes: np.ndarray, below: int) -> np.ndarray:
@@ -261,67 +276,113 @@ def _children(nodes: np.ndarray, below: int) -> np.ndarray:
     return np.where(kids < below, kids, -1)
 
 
-def _bucket_pairs(over: int, of: int):
-    """Task function: rows sorted by bucket and block pair to candidate pairs of different components."""
-
-    def pairs(group: pa.Table) -> tuple[list, list]:
-        node, comp, size = (group.column(c).to_numpy() for c in ("node", "comp", "size"))
-        place, block = group.column("place").to_numpy(), group.column("block").to_numpy()
-        mixed = group.column("bi")[0].as_py() != group.column("bj")[0].as_py()
-        route, lacks = group.column("route")[0].as_py(), group.column("lacks").to_numpy(zero_copy_only=False)
-        bits = group.column("bits").to_pylist()
-        width = np.fromiter(map(len, bits), np.int64, len(bits))
-        trees: dict[tuple[int, bool], tuple[np.ndarray, SignatureTree]] = {}
-        for w, short in sorted(set(zip(width.tolist(), lacks.tolist()))):
-            at = np.flatnonzero((width == w) & (lacks == short))
-            packed = np.frombuffer(b"".join(bits[i] for i in at), np.uint8).reshape(len(at), w)
-            trees[w, short] = at, SignatureTree(packed.view(np.uint64), size[at].astype(np.int64))
-        left, right = [], []
-        for (w, short), (a, tree) in trees.items():
-            for (w2, short2), (b, other) in trees.items():
-                # in plain order only pairs with a class that lacks room; of equal widths each two trees once
-                if w2 not in (w, 2 * w) or (route and not (short or short2)) or (w == w2 and short2 < short):
-                    continue
-                i, j = dual_pairs(tree, other if w == w2 else other.fold(), over, of)
+#: What tells the groups of a task apart, in the order in which its rows are sorted.
+_GROUP = ("route", "band", "leader", "bi", "bj")
+
+
+def _candidates(group: pa.Table, over: int, of: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a group (two blocks of a cell, or one) that bitmaps, sizes and places allow."""
+    size, place, block = (group.column(c).to_numpy().astype(np.int64) for c in ("size", "place", "block"))
+    mixed = group.column("bi")[0].as_py() != group.column("bj")[0].as_py()
+    route, lacks = group.column("route")[0].as_py(), group.column("lacks").to_numpy(zero_copy_only=False)
+    comp = np.unique(group.column("comp").to_numpy(), return_inverse=True)[1]
+    bits = group.column("bits").to_pylist()
+    width = np.fromiter(map(len, bits), np.int64, len(bits))
+    trees: dict[tuple[int, bool], tuple[np.ndarray, SignatureTree]] = {}
+    for w, short in sorted(set(zip(width.tolist(), lacks.tolist()))):
+        at = np.flatnonzero((width == w) & (lacks == short))
+        packed = np.frombuffer(b"".join(bits[i] for i in at), np.uint8).reshape(len(at), w)
+        trees[w, short] = at, SignatureTree(packed.view(np.uint64), size[at], comp[at])
+    for (w, short), (a, tree) in trees.items():
+        for (w2, short2), (b, other) in trees.items():
+            # in plain order only pairs with a class that lacks room; of equal widths each two trees once
+            if w2 not in (w, 2 * w) or (route and not (short or short2)) or (w == w2 and short2 < short):
+                continue
+            for i, j in _dual_batches(tree, other if w == w2 else other.fold(), over, of):
                 i, j = a[i], b[j]
-                ahead = np.minimum(size[i] - place[i], size[j] - place[j]).astype(np.int64)  # if this shingle is their first common one
-                ok = (comp[i] != comp[j]) & ((over + of) * ahead >= over * (size[i].astype(np.int64) + size[j]))
+                ahead = np.minimum(size[i] - place[i], size[j] - place[j])  # no common shingle comes before these places
+                ok = (over + of) * ahead >= over * (size[i] + size[j])
                 if mixed:
                     ok &= block[i] != block[j]
-                left += np.minimum(node[i[ok]], node[j[ok]]).tolist()
-                right += np.maximum(node[i[ok]], node[j[ok]]).tolist()
+                if ok.any():
+                    yield i[ok], j[ok]
+
+
+def _hopeful(over: int, of: int):
+    """Task function: of each group's rows those that may be similar to another of a different component."""
+
+    def own(group: pa.Table) -> pa.RecordBatch:
+        found = np.zeros(group.num_rows, bool)
+        for i, j in _candidates(group, over, of):
+            found[i] = found[j] = True
+        return group.filter(pa.array(found)).select(["route", "band", "leader", "node"])
+
+    return lambda batches: (x for t in _groups(batches) for x in own(t).to_batches())
+
+
+def _joining(over: int, of: int):
+    """Task function: links between a group's rows by their exact sets, as many as join two components."""
+
+    def links(group: pa.Table) -> tuple[list[int], list[int]]:
+        node, size = group.column("node").to_numpy(), group.column("size").to_numpy().astype(np.int64)
+        comp = np.unique(group.column("comp").to_numpy(), return_inverse=True)[1]
+        shingles = group.column("shingles").chunk(0)
+        ends = shingles.offsets.to_numpy() - shingles.offsets[0].as_py()
+        values, word = np.unique(shingles.flatten().to_numpy(), return_inverse=True)
+        sets = [word[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        marked, left, right = np.zeros(len(values), bool), [], []
+        for i, j in _candidates(group, over, of):
+            apart = comp[i] != comp[j]
+            i, j = i[apart], j[apart]
+            order = np.argsort(i, kind="stable")
+            i, j = i[order], j[order]
+            cut = [0, *(np.flatnonzero(i[1:] != i[:-1]) + 1).tolist(), len(i)]
+            for x, y in zip(cut[:-1], cut[1:]):
+                if x == y:
+                    continue
+                one, others = int(i[x]), j[x:y]
+                marked[sets[one]] = True
+                while len(others := others[comp[others] != comp[one]]):
+                    now = others[: max(1, (1 << 20) // int(size[others].max()))]
+                    others = others[len(now) :]
+                    both = np.add.reduceat(marked[np.concatenate([sets[k] for k in now.tolist()])], np.cumsum(size[now]) - size[now], dtype=np.int64)
+                    for k in now[of * both >= over * (size[one] + size[now] - both)].tolist():
+                        if comp[k] != comp[one]:
+                            comp[comp == comp[k]] = comp[one]
+                            left.append(int(node[one]))
+                            right.append(int(node[k]))
+                marked[sets[one]] = False
         return left, right
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        held: list[pa.Table] = []
-
-        def groups(table: pa.Table, last: bool):
-            keys = [table.column(c).to_numpy() for c in ("route", "token", "band", "bi", "bj")]
-            edge = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-            cut = [0, *edge.tolist(), table.num_rows]
-            whole = cut if last else cut[:-1]
-            left, right = [], []
-            for a, b in zip(whole[:-1], whole[1:]):
-                x, y = pairs(table.slice(a, b - a).combine_chunks())
-                left, right = left + x, right + y
-            return left, right, table.slice(whole[-1])
-
-        for batch in batches:
-            held.append(pa.Table.from_batches([batch]))
-            table = pa.concat_tables(held)
-            left, right, rest = groups(table, False)
-            held = [rest]
+        for group in _groups(batches):
+            left, right = links(group)
             if left:
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], schema=schema)
-        if held and held[0].num_rows:
-            left, right, _ = groups(held[0], True)
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     return run
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted rows cut into groups of equal ``_GROUP``; one group is held, and the batch it ends in."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(c).to_numpy() for c in _GROUP]
+        cut = [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1).tolist(), batch.num_rows]
+        if held and any(held[-1].column(c)[-1].as_py() != k[0] for c, k in zip(_GROUP, keys)):
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+        for a, b in zip(cut[:-1], cut[1:]):
+            held.append(batch.slice(a, b - a))
+            if b < batch.num_rows:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def similar(over: int, of: int) -> Column:
     """Whether joined rows' sets x and y reach the similarity over / of."""
     both = F.size(F.array_intersect("x", "y")).cast("bigint")
@@ -386,10 +447,12 @@ def _components(docs: DataFrame, words: int, over: int, of: int, by_id: bool) ->
         open_rows = _open(rows, roots)
         if open_rows.isEmpty():
             break
-    blocks = _blocks(open_rows, sets, base)
-    candidates = blocks.repartition("route", "token", "band", "bi", "bj").sortWithinPartitions("route", "token", "band", "bi", "bj").mapInArrow(_bucket_pairs(over, of), "a bigint, b bigint")
-    found = materialize(_verified(candidates, sets, over, of))
-    roots = connected(links.unionByName(found))
+    if not open_rows.isEmpty():
+        cells = _cells(open_rows, base)
+        first = _blocks(cells, sets.select("node", "bits")).mapInArrow(_hopeful(over, of), "route int, band bigint, leader bigint, node bigint")
+        hopeful = materialize(cells.join(first.distinct(), ["route", "band", "leader", "node"], "left_semi"))
+        found = _blocks(hopeful, sets.select("node", "bits", "shingles")).mapInArrow(_joining(over, of), "a bigint, b bigint")
+        roots = connected(links.unionByName(materialize(found)))
     tied = names.join(roots, "node").groupBy("root").agg(F.min("first").alias("smallest"))
     labels = names.join(roots, "node", "left").join(tied, "root", "left").select("one", "two", F.coalesce("smallest", "first").alias("component"))
     return sketches, labels
@@ -438,22 +501,35 @@ def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return still
 
 
-def _blocks(rows: DataFrame, sets: DataFrame, base: float) -> DataFrame:
-    """Rows dealt to (token, band, two blocks): a band meets itself and the next one."""
-    band = F.floor(F.log(F.col("size").cast("double")) / base).cast("int")
-    banded = rows.select("route", "token", "node", "comp", "size", "place", "lacks", band.alias("own")).withColumn(
+def _cells(rows: DataFrame, base: float) -> DataFrame:
+    """A row for each class and cell: the buckets (of a route and a band) that have the same leader are one cell.
+
+    Near copies share most of their rare shingles, so their many buckets become a few cells, and a pair is looked at
+    once for a cell. A band meets itself and the next one.
+    """
+    band = F.floor(F.log(F.col("size").cast("double")) / base)
+    banded = rows.select("route", "token", "node", "comp", "size", "place", "lacks", "weight", band.alias("own")).withColumn(
         "band", F.explode(F.array(F.col("own"), F.col("own") - 1))
     )
-    groups = banded.groupBy("route", "token", "band").agg(
-        F.count("*").alias("rows"), F.sum(F.col("size").cast("bigint")).alias("bytes"), F.min("comp").alias("low"), F.max("comp").alias("high"),
+    key = ["route", "token", "band"]
+    leaders = banded.groupBy(*key).agg(
+        F.max_by("node", F.struct("weight", -F.col("node"))).alias("leader"), F.min("comp").alias("low"), F.max("comp").alias("high"),
         F.min("own").alias("least"), F.max(F.col("lacks").cast("int")).alias("short"),
     ).where("low <> high and least = band and (route = 0 or short = 1)")
-    cut = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("bytes") / (8 << 20))).cast("int")
-    placed = banded.join(groups.select("route", "token", "band", cut.alias("blocks")), ["route", "token", "band"])
+    member = banded.join(leaders.select(*key, "leader"), key).groupBy("route", "band", "leader", "node")
+    return materialize(member.agg(F.min("comp").alias("comp"), F.max("size").alias("size"), F.min("place").alias("place"), F.max("lacks").alias("lacks")))
+
+
+def _blocks(cells: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows of cells with columns of ``sets``, dealt to (cell, two blocks) and sorted so."""
+    key = ["route", "band", "leader"]
+    groups = cells.groupBy(*key).agg(F.count("*").alias("rows"), F.sum(F.col("size").cast("bigint")).alias("bytes"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    cut = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_SHINGLES)).cast("int")
+    placed = cells.join(groups.where("low <> high").select(*key, cut.alias("blocks")), key)
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
-    return placed.join(sets.select("node", "bits"), "node").select("route", "token", "band", "bi", "bj", "block", "node", "comp", "size", "place", "lacks", "bits")
+    return placed.join(sets, "node").drop("blocks", "other").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
 
 
 def linked_documents(docs: DataFrame) -> DataFrame:

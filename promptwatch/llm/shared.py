@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptwatch.sources import workspace
@@ -177,12 +177,13 @@ def _segment_hashes(data: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.
     return start, end, mix(value ^ ((end - start).astype(np.uint64) << np.uint64(48)))
 
 
-def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable over ``edges`` (a, b), for every node that has an edge.
 
     Large-star and small-star rounds alternate: every node points its larger neighbours at its smallest one, then
     its smaller neighbours and itself. The edges of a round are one table in the shared folder and the driver sees
-    counts only. Each star's minimum comes from a partially combined aggregate, so a hub with very many
+    a count and a checksum only; the rounds end when those stay, after a number that grows with the logarithm of the
+    largest component. Each star's minimum comes from a partially combined aggregate, so a hub with very many
     neighbours is no group of its own.
     """
 
@@ -202,20 +203,14 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         return out.where("u <> v").distinct()
 
     def written(pairs: DataFrame) -> tuple[DataFrame, tuple]:
-        """The pairs as a table, and their count and checksum, which the writing job brings along."""
-        seen = Observation()
-        counted = pairs.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
-        table = materialize(counted)
-        return table, (seen.get["n"], seen.get["sum"])
-
-    pairs, before = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    for _ in range(rounds if before[0] else 0):
-        pairs, now = written(star(star(pairs, True), False))
-        if now == before:
-            break
+        """The pairs as a table, and its count and checksum."""
+        table = materialize(pairs)
+        return table, tuple(table.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    pairs, now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    before = None
+    while now[0] and now != before:
         before = now
-    else:
-        if before[0]:
-            raise RuntimeError("components did not settle; raise rounds")
+        pairs, now = written(star(star(pairs, True), False))
     roots = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
