@@ -637,6 +637,40 @@ ORACLES.update({
              round(accuracy, 6) AS accuracy, support FROM m""",
 })
 
+# The fit again, by accelerated gradient steps over the distinct rows of the training part.
+_X = ["encoding_score", "least(expansion_factor * 2, 100)", "obfuscation_score", "entropy_score"]
+_J = range(1, 5)
+_MARGIN = "y0 + " + " + ".join(f"y{j} * z{j}" for j in _J)
+FITTED = f"""{LABELLED}, {signals('labelled', 'row_id, label')},
+  parted AS MATERIALIZED (SELECT row_id, label, {', '.join(f'({x})::DOUBLE AS x{j}' for j, x in zip(_J, _X))},
+    row_number() OVER (PARTITION BY label ORDER BY md5('42:' || row_id), row_id) <= floor(0.8 * count(*) OVER (PARTITION BY label)) AS taught FROM flagged),
+  moments AS MATERIALIZED (SELECT {', '.join(f'avg(x{j}) AS m{j}, CASE WHEN stddev_pop(x{j}) > 0 THEN stddev_pop(x{j}) ELSE 1 END AS s{j}' for j in _J)} FROM parted WHERE taught),
+  z AS MATERIALIZED (SELECT row_id, label, taught, {', '.join(f'(x{j} - m{j}) / s{j} AS z{j}' for j in _J)} FROM parted, moments),
+  v AS MATERIALIZED (SELECT label, {', '.join(f'z{j}' for j in _J)}, count(*)::DOUBLE AS n FROM z WHERE taught GROUP BY ALL),
+  pace AS MATERIALIZED (SELECT 1.25 * sum(n) + 1 AS l, (1 - sqrt(1 / (1.25 * sum(n) + 1))) / (1 + sqrt(1 / (1.25 * sum(n) + 1))) AS m FROM v),
+  steps AS (
+    SELECT 0 AS k, {', '.join(f'0.0::DOUBLE AS b{j}, 0.0::DOUBLE AS y{j}' for j in range(5))}
+    UNION ALL
+    SELECT k + 1, {', '.join(f't{j}, t{j} + m * (t{j} - b{j})' for j in range(5))} FROM (
+      SELECT k, any_value(m) AS m, {', '.join(f'any_value(b{j}) AS b{j}' for j in range(5))},
+        any_value(y0) - sum(n * (1 / (1 + exp(-({_MARGIN}))) - label)) / any_value(l) AS t0,
+        {', '.join(f'any_value(y{j}) - (sum(n * (1 / (1 + exp(-({_MARGIN}))) - label) * z{j}) + any_value(y{j})) / any_value(l) AS t{j}' for j in _J)}
+      FROM steps, v, pace WHERE k < 6000 GROUP BY k)),
+  fit AS MATERIALIZED (SELECT * FROM steps WHERE k = 6000),
+  rated AS (SELECT row_id, label, taught, 1 / (1 + exp(-(b0 + {' + '.join(f'b{j} * z{j}' for j in _J)}))) AS risky FROM z, fit)"""
+ORACLES.update({
+    "feature_weights": f"WITH RECURSIVE {FITTED} " + " UNION ALL ".join(
+        f"SELECT {lit(n)} AS feature, round(b{j}, 4) AS weight FROM fit" for j, n in zip(_J, ["encoding_score", "expansion_factor(normalized)", "obfuscation_score", "entropy_score"])),
+    "cost_score_ml": f"WITH RECURSIVE {FITTED} SELECT row_id, label, CAST(round_even(risky * 100, 0) AS INTEGER) AS cost_score, 'ml_classifier' AS scoring_method FROM rated",
+    "train_cost_model": f"""WITH RECURSIVE {FITTED},
+      t AS (SELECT label, (risky > 0.5)::INTEGER AS pred FROM rated WHERE NOT taught),
+      c AS (SELECT l AS label, count(*) FILTER (label = l AND pred = l)::DOUBLE AS tp, count(*) FILTER (pred = l) AS np, count(*) FILTER (label = l) AS support,
+                   count(*) FILTER (label = pred) / count(*)::DOUBLE AS accuracy FROM t, (VALUES (0), (1)) AS x(l) GROUP BY l),
+      m AS (SELECT *, tp / np AS precision, tp / support AS recall FROM c)
+      SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(2 * precision * recall / (precision + recall), 6) AS f1,
+             round(accuracy, 6) AS accuracy, support FROM m""",
+})
+
 # -- streams give what the batch gives ----------------------------------------------------------------
 
 ORACLES.update({

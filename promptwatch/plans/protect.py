@@ -8,7 +8,6 @@ the prompt text is scanned exactly once however many branches read them.
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +39,7 @@ _EMPTY_FLAGS = "array<string>"
 _MATCHES = "array<struct<category:string,similarity:double>>"
 
 
-def with_signals(requests: DataFrame, params: Params = Params(), model: PipelineModel | None = None) -> DataFrame:
+def with_signals(requests: DataFrame, params: Params = Params(), model: training.CostModel | None = None) -> DataFrame:
     """Every stateless signal of a request; the cost score is the model's where one is given.
 
     Optional input columns: ``ext_json`` and ``defender_text`` (verdicts),
@@ -84,7 +83,7 @@ def with_signals(requests: DataFrame, params: Params = Params(), model: Pipeline
 
 def protect(
     requests: DataFrame, control: DataFrame, params: Params = Params(), scope: str = "post_risk",
-    model: PipelineModel | None = None, challenges: DataFrame | None = None,
+    model: training.CostModel | None = None, challenges: DataFrame | None = None,
 ) -> DataFrame:
     """One report per request.
 

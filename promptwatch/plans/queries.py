@@ -887,14 +887,14 @@ def _trained(spark: SparkSession, sf: str):
 @query
 def train_cost_model(spark, sf):
     model, features = _trained(spark, sf)
-    scored = M.score(model, features.filter("split = 'test'"))
-    return M.classification_metrics(scored)
+    m = M.classification_metrics(M.score(model, features.filter("split = 'test'")))
+    return m.select("label", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "accuracy")], "support")
 
 
 @query
 def feature_weights(spark, sf):
     model, _ = _trained(spark, sf)
-    return M.feature_weights(spark, model)
+    return M.feature_weights(spark, model).select("feature", F.round("weight", 4).alias("weight"))
 
 
 @query

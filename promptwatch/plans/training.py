@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+import math
+from dataclasses import asdict, dataclass
+
+import numpy as np
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from promptwatch.functions.cost import FEATURES, TEXT_FORMS, with_cost_signals, with_text_forms
+from promptwatch.sources.workspace import materialize
 
 # Column names of the exported training data, and display names of the features.
 CSV_COLUMNS = ["prompt", "label", "encoding_score", "expansion_factor_normalized", "obfuscation_score", "entropy_score"]
@@ -66,44 +68,116 @@ def stratified_split(
     )
 
 
-def train_cost_model(train: DataFrame, label: str = "label", max_iter: int = 1000) -> PipelineModel:
-    """Standardise and fit a logistic regression with unit inverse regularisation."""
-    n = train.count()
-    return Pipeline(stages=[
-        VectorAssembler(inputCols=FEATURES, outputCol="_raw"),
-        StandardScaler(inputCol="_raw", outputCol="_features", withMean=True, withStd=True),
-        LogisticRegression(
-            featuresCol="_features", labelCol=label, predictionCol="prediction", probabilityCol="_probability",
-            rawPredictionCol="_margin", maxIter=max_iter, regParam=1.0 / max(n, 1), elasticNetParam=0.0,
-            standardization=False,
-        ),
-    ]).fit(train)
-
-
-def score(model: PipelineModel, features: DataFrame) -> DataFrame:
-    """Add ``cost_score`` as the model's rounded percentage, replacing the fallback score."""
-    scored = model.transform(features)
-    risky = F.get(vector_to_array(F.col("_probability")), 1)
-    return scored.withColumns({
+@dataclass(frozen=True)
+class CostModel:
+    """A standardised logistic regression: probability = sigmoid(intercept + sum(weight * (x - mean) / scale))."""
+
+    features: list[str]
+    means: list[float]
+    scales: list[float]
+    weights: list[float]
+    intercept: float
+    rows: int
+    rounds: int
+
+    def standardised(self) -> list[Column]:
+        return [(F.col(f) - F.lit(m)) / F.lit(s) for f, m, s in zip(self.features, self.means, self.scales)]
+
+    def probability(self) -> Column:
+        margin = F.lit(self.intercept)
+        for w, z in zip(self.weights, self.standardised()):
+            margin = margin + F.lit(w) * z
+        return 1 / (1 + F.exp(-margin))
+
+
+def _sums(table: DataFrame, model: CostModel, label: str, curved: bool = True) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log loss, gradient and, if asked, curvature of the unpenalised loss, by one partially combined aggregate."""
+    z, p, n = [*model.standardised(), F.lit(1.0)], model.probability(), F.col("_n")
+    # log(1 + exp(-m)) of the margin towards the label, without overflow
+    margin = F.log(F.col("_p")) - F.log1p(-F.col("_p"))
+    signed = F.when(F.col(label) == 1, margin).otherwise(-margin)
+    k = len(z)
+    rows = table.select(label, "_n", F.greatest(F.lit(1e-300), F.least(F.lit(1 - 2.0**-53), p)).alias("_p"), *[x.alias(f"_z{i}") for i, x in enumerate(z)])
+    x = [F.col(f"_z{i}") for i in range(k)]
+    sums = [F.sum(n * F.log1p(F.exp(-signed)))] + [F.sum(n * (F.col("_p") - F.col(label)) * x[i]) for i in range(k)]
+    if curved:
+        sums += [F.sum(n * F.col("_p") * (1 - F.col("_p")) * x[i] * x[j]) for i in range(k) for j in range(i + 1)]
+    got = [float(v) for v in rows.agg(*sums).first()]
+    hessian = np.zeros((k, k))
+    if curved:
+        hessian[np.tril_indices(k)] = got[1 + k :]
+        hessian = np.tril(hessian) + np.tril(hessian, -1).T
+    return got[0], np.array(got[1 : 1 + k]), hessian
+
+
+def train_cost_model(train: DataFrame, label: str = "label", penalty: float = 1.0, max_rounds: int = 100, close: float = 1e-9) -> CostModel:
+    """Standardise and fit a logistic regression with unit inverse regularisation, by Newton's method.
+
+    Equal rows are counted once. Every round is one aggregate over those: a gradient and a curvature matrix of a row and a
+    column for each feature and the intercept, which alone come to the driver. A round that does not lower the loss is
+    taken again with half the step. Features without spread keep their scale; a table without rows, or with one label
+    only, has no finite optimum for the intercept and is refused.
+    """
+    k = len(FEATURES)
+    table = materialize(train.select(F.col(label).cast("int").alias(label), *FEATURES).groupBy(label, *FEATURES).agg(F.count("*").alias("_n")))
+    n = F.col("_n")
+    first = table.agg(F.sum("_n"), F.sum(n * F.col(label)), *[F.sum(n * F.col(f)) for f in FEATURES]).first()
+    rows, risky = int(first[0] or 0), int(first[1] or 0)
+    if not 0 < risky < rows:
+        raise ValueError(f"{rows} rows, {risky} of them risky: a classifier needs both labels")
+    means = [float(x) / rows for x in first[2:]]
+    spread = table.agg(*[F.sum(n * (F.col(f) - F.lit(m)) * (F.col(f) - F.lit(m))) for f, m in zip(FEATURES, means)]).first()
+    scales = [math.sqrt(float(x) / rows) or 1.0 for x in spread]
+
+    def at(beta: np.ndarray, rounds: int) -> CostModel:
+        return CostModel(list(FEATURES), means, scales, [float(b) for b in beta[:k]], float(beta[k]), rows, rounds)
+
+    shrink = np.array([penalty] * k + [0.0])
+    beta = np.array([0.0] * k + [math.log(risky / (rows - risky))])
+    loss, gradient, curvature = _sums(table, at(beta, 0), label)
+    loss += float(shrink @ beta**2) / 2
+    for done in range(1, max_rounds + 1):
+        slope = gradient + shrink * beta
+        if np.abs(slope).max() <= close * rows:
+            break
+        step, size = np.linalg.solve(curvature + np.diag(shrink + 1e-12), slope), 1.0
+        while True:
+            tried = beta - size * step
+            new, new_gradient, new_curvature = _sums(table, at(tried, done), label)
+            new += float(shrink @ tried**2) / 2
+            if new <= loss + 1e-12 * abs(loss) or size < 1e-6:
+                break
+            size /= 2
+        beta, loss, gradient, curvature = tried, new, new_gradient, new_curvature
+    return at(beta, done)
+
+
+def score(model: CostModel, features: DataFrame) -> DataFrame:
+    """Add ``prediction`` and ``cost_score``, the model's rounded percentage, replacing the fallback score."""
+    risky = model.probability()
+    return features.withColumns({
+        "prediction": (risky > 0.5).cast("double"),
         "cost_score": F.bround(risky * 100).cast("int"),
         "scoring_method": F.lit("ml_classifier"),
-    }).drop("_raw", "_features", "_probability", "_margin")
+    })
 
 
 def score_with_store(spark: SparkSession, path: str, features: DataFrame) -> DataFrame:
-    """Score with the stored model; when none can be loaded keep the fallback average."""
+    """Score with the stored model; where no store is there keep the fallback average."""
     try:
-        model = PipelineModel.load(path)
-    except Exception as error:
+        stored = spark.read.parquet(path)
+    except AnalysisException as error:
         # only a store that is not there means the fallback scorer; an outage must be seen
-        if not any(x in str(error) for x in ("Input path does not exist", "PATH_NOT_FOUND", "No such file")):
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return features.withColumn("scoring_method", F.lit("fallback_average"))
-    return score(model, features)
+    return score(CostModel(**stored.first().asDict()), features)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(spark: SparkSession, model: CostModel, path: str) -> None:
+    """A model is a table of one row."""
+    schema = "features array<string>, means array<double>, scales array<double>, weights array<double>, intercept double, rows bigint, rounds int"
+    spark.createDataFrame([asdict(model)], schema).coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def write_training_csv(features: DataFrame, path: str) -> None:
@@ -111,9 +185,14 @@ def write_training_csv(features: DataFrame, path: str) -> None:
     named.select(*CSV_COLUMNS).write.mode("overwrite").option("header", True).csv(path)
 
 
-def feature_weights(spark: SparkSession, model: PipelineModel) -> DataFrame:
-    weights = [float(w) for w in model.stages[-1].coefficients]
-    return spark.createDataFrame(list(zip(FEATURE_NAMES, weights)), "feature string, weight double")
+def feature_weights(spark: SparkSession, model: CostModel) -> DataFrame:
+    return spark.createDataFrame(list(zip(FEATURE_NAMES, model.weights)), "feature string, weight double")
+
+
+def optimality(model: CostModel, train: DataFrame, label: str = "label", penalty: float = 1.0) -> list[float]:
+    """The penalised loss's gradient by feature, then by intercept: all zero where the fit is exact."""
+    gradient = _sums(train.withColumn("_n", F.lit(1)), model, label, curved=False)[1]
+    return (gradient + penalty * np.array([*model.weights, 0.0])).tolist()
 
 
 def classification_metrics(scored: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:

@@ -78,13 +78,16 @@ CONTROL_ACTIONS = [
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out where the scan gives fewer slices than there are cores.
+    """Deal the rows of a small table out over the cores.
 
-    A file with a single row group is one task however many cores wait, and text rules are
-    CPU-bound. A scan with a slice for every core is left as it is.
+    A file with a single row group is one task however many cores wait, and text rules are CPU-bound. A table that
+    gives every core a full split is left as its layout deals it. The estimate is the optimizer's: no job is run for it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if size >= cores * split else df.repartition(2 * cores)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -84,7 +84,7 @@ def test_training_store_and_csv(spark, tmp_path):
     fallback = M.score_with_store(spark, f"{tmp_path}/none", features)
     assert {r.scoring_method for r in fallback.collect()} == {"fallback_average"}
     model = M.train_cost_model(features.filter("split = 'train'"))
-    M.save_model(model, f"{tmp_path}/m")
+    M.save_model(spark, model, f"{tmp_path}/m")
     scored = M.score_with_store(spark, f"{tmp_path}/m", features.filter("split = 'test'"))
     by_class = {r.label: r for r in M.classification_metrics(scored).collect()}
     assert by_class[1].accuracy > 0.9 and by_class[1].support == 12
