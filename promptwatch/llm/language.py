@@ -4,9 +4,9 @@ Training counts letter trigrams by language over all labelled training rows (has
 so the model's size is bounded by buckets x languages). For a document, each word is taken to come from one
 language; its likelihood under a language is the product of its trigrams' probabilities. EM estimates the shares of
 all languages. The set of languages is the one with the best penalised likelihood: a set of k costs
-``penalty * (k - 1) / 2 * log(words)``. The shares of the full set bound every set's likelihood, so the best single
-language is settled without a search wherever that bound cannot pay for a second language; otherwise sets grow in
-the order of the full estimate's shares.
+``penalty * (k - 1) / 2 * log(words)``. EM on the full set gives a bound of every set's likelihood, wherever it stops, so
+the best single language is settled without a search as soon as that bound cannot pay for a second language; otherwise
+sets grow in the order of the full estimate's shares, until the bound cannot pay for one more.
 
 Defined results: a null text or a text without a letter is ``und`` with score 0 and no languages; so is every text
 if nothing labelled was there to learn from. Ties go to the language that sorts first. A null doc_id counts as the
@@ -63,6 +63,8 @@ class LanguageModel:
     def __init__(self, names: list[str], counts: np.ndarray, smoothing: float = 0.5):
         self.names = names
         total = counts.sum(axis=1, keepdims=True)
+        #: Log-probability of a trigram in a text of no known language: as if twice those of all languages were equally frequent.
+        self.noise = np.full(counts.shape[1], -np.log(max(2, 2 * int(counts.any(axis=0).sum()))), np.float32)
         self.logp = np.log((counts + smoothing) / (total + smoothing * counts.shape[1])).astype(np.float32)
 
 
@@ -100,11 +102,16 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageMo
     return LanguageModel(names, counts)
 
 
-def estimate(like: np.ndarray, words: np.ndarray, rounds: int = 40, close: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Shares (document, language) and log-likelihoods from word log-likelihoods (word, language), by EM.
+def estimate(
+    like: np.ndarray, words: np.ndarray, enough: np.ndarray | None = None, near: float = 1e-2, rounds: int = 400
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shares (document, language), their log-likelihood and a bound of every mixture's, by EM.
 
-    ``words`` has the number of words of each document, at least 1. A document stops when its shares move by less
-    than ``close``, whatever the others do, so results do not depend on how rows are batched.
+    ``like`` has word log-likelihoods (word, language), ``words`` the number of words of each document, at least 1. By
+    concavity no shares reach more than the likelihood plus words times the log of the largest factor by which EM would
+    still raise a share; so the bound holds wherever EM stops. A document stops when the bound is within ``near`` of the
+    likelihood, or at most ``enough``, or after ``rounds``, whatever the others do, so results do not depend on how
+    rows are batched.
     """
     top = like.max(axis=1)
     p = np.exp(like - top[:, None])
@@ -112,23 +119,33 @@ def estimate(like: np.ndarray, words: np.ndarray, rounds: int = 40, close: float
     shares = np.full((docs, langs), 1 / langs)
     starts = np.concatenate([[0], np.cumsum(words)[:-1]])
     base = np.add.reduceat(top.astype(float), starts)
-    likelihood = np.zeros(docs)
+    likelihood, bound = np.zeros(docs), np.zeros(docs)
     live = np.arange(docs)
     for step in range(rounds):
         n = words[live]
         at = np.concatenate([[0], np.cumsum(n)[:-1]])
-        r = p * np.repeat(shares[live], n, axis=0)
-        s = r.sum(axis=1)
-        r /= s[:, None]
+        s = (p * np.repeat(shares[live], n, axis=0)).sum(axis=1)
         likelihood[live] = base[live] + np.add.reduceat(np.log(s), at)
-        new = np.stack([np.add.reduceat(r[:, k], at) for k in range(langs)], axis=1) / n[:, None]
-        moving = np.abs(new - shares[live]).max(axis=1) >= close
-        shares[live] = new
-        if step == rounds - 1 or not moving.any():
+        q = p / s[:, None]
+        factor = np.stack([np.add.reduceat(q[:, k], at) for k in range(langs)], axis=1) / n[:, None]
+        bound[live] = likelihood[live] + n * np.log(np.maximum(factor.max(axis=1), 1))
+        go_on = bound[live] - likelihood[live] > near
+        if enough is not None:
+            go_on &= bound[live] > enough[live]
+        if not go_on.any() or step == rounds - 1:
             break
-        if not moving.all():
-            p, live = p[np.repeat(moving, n)], live[moving]
-    return shares, likelihood
+        if not go_on.all():
+            p, live, factor = p[np.repeat(go_on, n)], live[go_on], factor[go_on]
+        shares[live] *= factor
+    return shares, likelihood, bound
+
+
+def _word_likelihoods(texts: list[str], logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihoods (word, language) and the number of words of each text."""
+    bucket, first, words = _trigrams(texts)
+    if not len(first):
+        return np.zeros((0, len(logp))), words
+    return np.stack([np.add.reduceat(row[bucket], first, dtype=np.float64) for row in logp], axis=1), words
 
 
 def mixtures(texts: list[str], logp: np.ndarray, penalty: float) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -137,27 +154,26 @@ def mixtures(texts: list[str], logp: np.ndarray, penalty: float) -> list[tuple[n
     out = [none] * len(texts)
     if not len(logp):
         return out
-    bucket, first, words = _trigrams(texts)
-    if not len(first):
-        return out
-    like = np.stack([np.add.reduceat(row[bucket], first, dtype=np.float64) for row in logp], axis=1)
+    like, words = _word_likelihoods(texts, logp)
     live = np.flatnonzero(words)
+    if not len(live):
+        return out
     words = words[live]
     starts = np.concatenate([[0], np.cumsum(words)[:-1]])
     single = np.add.reduceat(like, starts, axis=0)
     best = single.argmax(axis=1)
-    shares, most = estimate(like, words)
     cost = penalty * np.log(np.maximum(words, 2)) / 2
-    settled = most - single[np.arange(len(live)), best] <= cost
+    alone = single[np.arange(len(live)), best]
+    shares, _, most = estimate(like, words, alone + cost)  # no second language pays where no mixture reaches that
     for d, i in enumerate(live):
         chosen = (best[d : d + 1], np.ones(1))
-        if not settled[d]:
+        if most[d] > alone[d] + cost[d]:
             own, order = like[starts[d] : starts[d] + words[d]], np.argsort(-shares[d], kind="stable")
-            value = single[d, best[d]]
+            value = alone[d]
             for k in range(2, len(order) + 1):
                 if most[d] - cost[d] * (k - 1) <= value:
                     break
-                s, l = estimate(own[:, order[:k]], words[d : d + 1], rounds=200)
+                s, l, _ = estimate(own[:, order[:k]], words[d : d + 1])
                 if l[0] - cost[d] * (k - 1) > value:
                     by = np.lexsort((order[:k], -s[0]))
                     value, chosen = l[0] - cost[d] * (k - 1), (order[:k][by], s[0][by])
@@ -165,6 +181,16 @@ def mixtures(texts: list[str], logp: np.ndarray, penalty: float) -> list[tuple[n
     return out
 
 
+def foreign_words(texts: list[str], logp: np.ndarray, noise: np.ndarray) -> list[tuple[int, float]]:
+    """For each text its words and how many of them, in the mixture with all languages, fall to ``noise``."""
+    like, words = _word_likelihoods(texts, np.vstack([logp, noise[None]]))
+    live = np.flatnonzero(words)
+    foreign = np.zeros(len(texts))
+    if len(live):
+        foreign[live] = estimate(like, words[live], near=0.5)[0][:, -1] * words[live]
+    return list(zip(words.tolist(), foreign.tolist()))
+
+
 RESULT = "struct<lang_pred:string,score:double,languages:array<string>,shares:array<double>>"
 
 
@@ -198,12 +224,23 @@ def languages(docs: DataFrame) -> DataFrame:
     return identify(docs.drop("lang"), model).select("doc_id", "held_out", "language.*")
 
 
-def keep_identified(docs: DataFrame, least_share: float = 0.3) -> DataFrame:
-    """Rows in which one known language holds ``least_share`` of the words; texts without a letter go.
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """Rows whose words are mostly of known languages; texts without a letter go, and all if nothing is known.
 
-    A short text in one language with a notice in another stays well above that share.
+    A reject class, :attr:`LanguageModel.noise`, joins the mixture: words of no known language fall to it. A document goes
+    if it has more of those than of others, with half a word in doubt. Texts in several known languages stay.
     """
     model = train(docs.where(~held_out()))
-    own = fresh(docs, "__language")
-    found = F.col(own)
-    return identify(docs, model, into=own).where((found["lang_pred"] != "und") & (found["score"] >= least_share)).drop(own)
+    own = fresh(docs, "__words")
+    shared = docs.sparkSession.sparkContext.broadcast((model.logp, model.noise))
+
+    @F.arrow_udf("boolean")
+    def known(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        logp, noise = shared.value
+        for column in batches:
+            stays: list[bool] = []
+            for _, _, texts in text_chunks(column, CHUNK_BYTES):
+                stays += [len(logp) > 0 and n > 0 and 2 * foreign - 1 <= n for n, foreign in foreign_words(texts, logp, noise)]
+            yield pa.array(stays, pa.bool_())
+
+    return docs.withColumn(own, known(F.col("text"))).where(F.col(own)).drop(own)

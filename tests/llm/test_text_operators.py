@@ -50,7 +50,7 @@ def slow_shares(like, rounds=400):
 def test_shares_agree_with_a_plain_loop_whatever_the_batch():
     rng = np.random.default_rng(1)
     docs = [rng.normal(0, 3, (n, 3)) for n in (1, 5, 40, 200)]
-    shares, _ = L.estimate(np.concatenate(docs), np.array([len(d) for d in docs]), rounds=2000, close=1e-9)
+    shares = L.estimate(np.concatenate(docs), np.array([len(d) for d in docs]), rounds=2000, near=1e-9)[0]
     for got, like in zip(shares, docs):
         assert np.abs(got - slow_shares(like)).max() < 0.01
     alone = [L.estimate(d, np.array([len(d)]))[0][0] for d in docs]
@@ -58,6 +58,44 @@ def test_shares_agree_with_a_plain_loop_whatever_the_batch():
     assert np.allclose(alone, together, atol=1e-12)
 
 
+def test_the_bound_holds_wherever_em_stops():
+    rng = np.random.default_rng(7)
+    for n in (3, 50, 2000):
+        like = rng.normal(0, 2, (n, 4))
+        best = L.estimate(like, np.array([n]), rounds=5000, near=1e-6)[1][0]
+        for rounds in (1, 2, 5, 20):
+            _, value, bound = L.estimate(like, np.array([n]), rounds=rounds)
+            assert value[0] <= best + 1e-6 and best <= bound[0] + 1e-6
+    settled = L.estimate(like, np.array([n]), enough=np.array([1e9]))
+    assert settled[2][0] >= best  # it may stop at once, but never below the best
+
+
+def test_a_small_language_in_a_long_text_is_found():
+    counts = np.zeros((3, 1 << L.BITS))
+    words = [["albero", "casa", "fiume"], ["wolke", "strasse", "baum"], ["träd", "hus", "flod"]]
+    for k, own in enumerate(words):
+        counts[k] = np.bincount(L._trigrams([" ".join(own) * 50])[0], minlength=1 << L.BITS)
+    model = L.LanguageModel(["it", "de", "sv"], counts)
+    text = " ".join(words[0] * 4000 + words[2] * 4)
+    at, share = L.mixtures([text], model.logp, 2.0)[0]
+    assert at.tolist() == [0, 2] and abs(share[1] - 12 / 12012) < 2e-4
+
+
+@needs_data
+def test_rows_of_no_known_language_go(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
+    by = {r["lang"]: r["t"] for r in docs.where("length(text) > 800").groupBy("lang").agg(F.max_by("text", "doc_id").alias("t")).collect()}
+    noise = "qzxv wkjq xxvz pqwk zzkq jjxq vwqz kqxj"
+    odd = [
+        (10_001, noise), (10_002, noise * 300), (10_003, "To jest zdanie po polsku, które opowiada o historii domu i o tym, jak został zbudowany."),
+        (10_004, "это предложение на русском языке о доме"), (10_005, "12 34"), (10_006, None),
+        (10_007, by["en"][:300] + " " + noise), (10_008, by["en"][:400] + by["de"][:400] + by["fr"][:400] + by["es"][:400]),
+    ]
+    every = docs.unionByName(spark.createDataFrame([(i, t, None) for i, t in odd], "doc_id bigint, text string, lang string"))
+    left = {r["doc_id"] for r in every.join(L.keep_identified(every).select("doc_id").distinct(), "doc_id", "left_anti").collect()}
+    assert left == {10_001, 10_002, 10_003, 10_004, 10_005, 10_006}
+
+
 @needs_data
 def test_languages_held_out_and_mixed(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
@@ -78,7 +116,7 @@ def test_languages_of_odd_rows(spark):
     assert L.languages(docs.limit(0)).collect() == []
     assert {r["lang_pred"] for r in L.languages(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     kept = L.keep_identified(docs)
-    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {4, 5, 6, 7, None}
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {4, 5, 6, 7}  # one is in a language that no row teaches
 
 
 # -- personal data ------------------------------------------------------------------------------
