@@ -19,8 +19,9 @@ component. A first pass finds the classes that have any partner left; their exac
 second pass compares them and unites components as it goes. A task passes on only the links that joined two
 components, so its output is never more than its rows. Links become components by distributed star rounds.
 
-Cells beyond ``BLOCK_ROWS`` rows are split into blocks, every two of which meet in a task of their own. Bitmaps and sets
-are made only for classes that share a bucket.
+Cells beyond ``BLOCK_ROWS`` rows are split into blocks, every two of which meet in a task of their own. Bitmaps are made in
+the one pass over all texts. The texts of classes that share a bucket are kept in buckets by class number, and sets are made
+from them only for classes that a pair or a cell names, so wide rows move once.
 
 Defined results: a text without words, and a null one, has no shingles and links with nothing; fewer words than a
 shingle make one shingle; rows with a null doc_id get their shingle count and no component, unless an equal set has an
@@ -31,6 +32,7 @@ goes by the sets alone. Shingles are told apart by a 64-bit hash, equal sets by
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,15 +42,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from promptwatch.llm.decontaminate import SHARD_BYTES
-from promptwatch.llm.shared import connected, discard, fresh, lower_ascii, materialize, mix, text_chunks, word_hashes
+from promptwatch.llm.shared import connected, discard, folder, fresh, lower_ascii, materialize, mix, shuffles_removed, text_chunks, word_hashes
 
 #: A bucket of more classes than this is crowded; its shingle goes to the end of the order.
 CROWDED = 24
 #: Crowded shingles that are sent to the tasks at most (4 bytes each).
 MOST_CROWDED = 1 << 20
-#: Rows and shingles of a block at most; every two blocks of a cell meet in a task.
-BLOCK_ROWS = 1024
-BLOCK_SHINGLES = 1 << 20
+#: Rows of a block at most, and shingles of a block of bitmaps and of one of sets; every two blocks of a cell meet in a task.
+BLOCK_ROWS = 2048
+BLOCK_BITS, BLOCK_SHINGLES = 1 << 24, 1 << 21
 FANOUT = 8
 
 _LOWER = lower_ascii()
@@ -91,24 +93,28 @@ def _noted(n: int, over: int, of: int) -> int:
 
 
 def _sketches(docs: DataFrame, words: int, over: int, of: int) -> DataFrame:
-    """doc_id, mark of the text, size, two digests and the first shingles (half their hashes) of each row's set."""
+    """doc_id, mark of the text, size, two digests, the first shingles (half their hashes) and the bitmap of each row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = np.uint64(0xD6E8FEB86659FD93)
         for batch in batches:
             for a, b, texts in text_chunks(batch.column(1), SHARD_BYTES):
-                size, one, two, noted = [], [], [], []
+                size, one, two, noted, bits = [], [], [], [], []
                 for own in shingle_sets(texts, words):
                     size.append(len(own))
                     one.append(int(mix(own).sum(dtype=np.uint64).astype(np.int64)))
                     two.append(int(mix(own ^ salt).sum(dtype=np.uint64).astype(np.int64)))
                     noted.append((own[: _noted(len(own), over, of)] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                    flags = np.zeros(width_of(len(own)), bool)
+                    flags[(own & np.uint64(len(flags) - 1)).astype(np.int64)] = True
+                    bits.append(np.packbits(flags).tobytes())
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(size, pa.int32()), pa.array(one, pa.int64()),
-                    pa.array(two, pa.int64()), pa.array(noted, pa.list_(pa.int32())),
-                ], ["doc_id", "mark", "size", "one", "two", "noted"])
+                    pa.array(two, pa.int64()), pa.array(noted, pa.list_(pa.int32())), pa.array(bits, pa.binary()),
+                ], ["doc_id", "mark", "size", "one", "two", "noted", "bits"])
 
-    return docs.select("doc_id", "text", "mark").mapInArrow(run, "doc_id bigint, mark bigint, size int, one bigint, two bigint, noted array<int>")
+    schema = "doc_id bigint, mark bigint, size int, one bigint, two bigint, noted array<int>, bits binary"
+    return docs.select("doc_id", "text", "mark").mapInArrow(run, schema)
 
 
 def _dealt(classes: DataFrame, over: int, of: int) -> DataFrame:
@@ -151,23 +157,30 @@ def _dealt(classes: DataFrame, over: int, of: int) -> DataFrame:
     return roomy if short.isEmpty() else roomy.unionByName(beside)
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """Node, whole set and bitmap of each row (node, text)."""
+def _sets(texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """Node and whole set of the classes in ``nodes``, as a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, texts in text_chunks(batch.column(1), SHARD_BYTES):
-                sets = shingle_sets(texts, words)
-                bits = []
-                for own in sets:
-                    flags = np.zeros(width_of(len(own)), bool)
-                    flags[(own & np.uint64(len(flags) - 1)).astype(np.int64)] = True
-                    bits.append(np.packbits(flags).tobytes())
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(a, b - a), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(bits, pa.binary()),
-                ], ["node", "shingles", "bits"])
+            for a, b, own in text_chunks(batch.column(1), SHARD_BYTES):
+                sets = [x.view(np.int64) for x in shingle_sets(own, words)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return materialize(texts.join(nodes, "node", "left_semi").mapInArrow(run, "node bigint, shingles array<bigint>"))
 
-    return docs.mapInArrow(run, "node bigint, shingles array<bigint>, bits binary")
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, str]:
+    """A text of each wanted class (doc_id, mark, node), in buckets by node: joins by that move the other side alone.
+
+    It comes with the name of its table, since buckets are known to the catalog only.
+    """
+    spark = docs.sparkSession
+    name, path = f"texts_{uuid.uuid4().hex}", folder(spark, "texts")
+    one_each = docs.join(wanted, ["doc_id", "mark"]).select("node", "text").dropDuplicates(["node"])
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with shuffles_removed(spark):
+        one_each.write.format("parquet").bucketBy(buckets, "node").option("path", path).saveAsTable(name)
+    return spark.table(name), name
 
 
 def width_of(size: int) -> int:
@@ -389,14 +402,15 @@ def similar(over: int, of: int) -> Column:
     return F.lit(of) * both >= F.lit(over) * (F.size("x") + F.size("y") - both)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, over: int, of: int) -> DataFrame:
-    """Pairs (a, b) whose exact sets are similar; only sets that a pair names are moved."""
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, over: int, of: int) -> DataFrame:
+    """Pairs (a, b) whose exact sets are similar, as a table; only sets that a pair names are made."""
     pairs = materialize(pairs.distinct())
-    named = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    own = materialize(sets.join(named, "node", "left_semi").select("node", "shingles"))
+    own = _sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), words)
     x = own.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     y = own.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(y, "b").join(x, "a").where(similar(over, of)).select("a", "b")
+    found = materialize(pairs.join(y, "b").join(x, "a").where(similar(over, of)).select("a", "b"))
+    discard(own)
+    return found
 
 
 def _same_ids(sketches: DataFrame, names: DataFrame) -> DataFrame:
@@ -418,17 +432,18 @@ def _components(docs: DataFrame, words: int, over: int, of: int, by_id: bool) ->
     """
     wide = materialize(_sketches(docs, words, over, of))
     classes = wide.where("size > 0 and doc_id is not null").groupBy("one", "two").agg(
-        F.min(F.struct("doc_id", "mark")).alias("first"), F.max("size").alias("size"), F.min("noted").alias("noted"),
+        F.min(F.struct("doc_id", "mark")).alias("first"), F.max("size").alias("size"), F.min("noted").alias("noted"), F.min("bits").alias("bits"),
     )
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()))
-    sketches = materialize(wide.drop("noted", "mark"))
+    sketches = materialize(wide.drop("noted", "bits", "mark"))
     names = materialize(classes.select("one", "two", "node", F.struct(F.col("first.doc_id").alias("least"), F.col("first.mark").alias("mark")).alias("first")))
     discard(wide)
     base = math.log(of / over) * (1 + 1e-9)  # sizes that can be similar are never two bands apart
-    rows = _meeting(_dealt(classes, over, of), base)
+    rows = _meeting(_dealt(classes.drop("bits"), over, of), base)
+    bitmaps = materialize(classes.select("node", "bits").join(rows.select("node").distinct(), "node", "left_semi"))
     discard(classes)
     wanted = names.join(rows.select("node").distinct(), "node", "left_semi").select(F.col("first.least").alias("doc_id"), "first.mark", "node")
-    sets = materialize(_sets(docs.join(wanted, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).select("node", "text"), words))
+    texts, texts_name = _texts(docs, wanted)
 
     links = _same_ids(sketches, names) if by_id else None
     open_rows = rows.withColumn("comp", F.col("node"))
@@ -441,7 +456,7 @@ def _components(docs: DataFrame, words: int, over: int, of: int, by_id: bool) ->
         pairs = banded.join(leaders, ["route", "token", "band"]).where("comp <> lead_comp").groupBy("a", F.col("node").alias("b")).agg(
             F.count("*").alias("shared"), F.max("size").alias("size")
         ).where(F.col("shared") * 3 * of >= F.col("size") * (of - over))
-        found = materialize(_verified(pairs.select("a", "b"), sets, over, of))
+        found = _verified(pairs.select("a", "b"), texts, words, over, of)
         links = found if links is None else links.unionByName(found)
         roots = connected(links)
         open_rows = _open(rows, roots)
@@ -449,10 +464,13 @@ def _components(docs: DataFrame, words: int, over: int, of: int, by_id: bool) ->
             break
     if not open_rows.isEmpty():
         cells = _cells(open_rows, base)
-        first = _blocks(cells, sets.select("node", "bits")).mapInArrow(_hopeful(over, of), "route int, band bigint, leader bigint, node bigint")
+        first = _blocks(cells, bitmaps, BLOCK_ROWS, BLOCK_BITS).mapInArrow(_hopeful(over, of), "route int, band bigint, leader bigint, node bigint")
         hopeful = materialize(cells.join(first.distinct(), ["route", "band", "leader", "node"], "left_semi"))
-        found = _blocks(hopeful, sets.select("node", "bits", "shingles")).mapInArrow(_joining(over, of), "a bigint, b bigint")
+        own = _sets(texts, hopeful.select("node").distinct(), words).join(bitmaps, "node")
+        found = _blocks(hopeful, own, BLOCK_ROWS, BLOCK_SHINGLES).mapInArrow(_joining(over, of), "a bigint, b bigint")
         roots = connected(links.unionByName(materialize(found)))
+    discard(texts)
+    docs.sparkSession.sql(f"DROP TABLE {texts_name}")
     tied = names.join(roots, "node").groupBy("root").agg(F.min("first").alias("smallest"))
     labels = names.join(roots, "node", "left").join(tied, "root", "left").select("one", "two", F.coalesce("smallest", "first").alias("component"))
     return sketches, labels
@@ -520,11 +538,11 @@ def _cells(rows: DataFrame, base: float) -> DataFrame:
     return materialize(member.agg(F.min("comp").alias("comp"), F.max("size").alias("size"), F.min("place").alias("place"), F.max("lacks").alias("lacks")))
 
 
-def _blocks(cells: DataFrame, sets: DataFrame) -> DataFrame:
+def _blocks(cells: DataFrame, sets: DataFrame, most_rows: int, most_shingles: int) -> DataFrame:
     """Rows of cells with columns of ``sets``, dealt to (cell, two blocks) and sorted so."""
     key = ["route", "band", "leader"]
-    groups = cells.groupBy(*key).agg(F.count("*").alias("rows"), F.sum(F.col("size").cast("bigint")).alias("bytes"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    cut = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_SHINGLES)).cast("int")
+    groups = cells.groupBy(*key).agg(F.count("*").alias("rows"), F.sum(F.col("size").cast("bigint")).alias("shingles"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    cut = F.greatest(F.ceil(F.col("rows") / most_rows), F.ceil(F.col("shingles") / most_shingles)).cast("int")
     placed = cells.join(groups.where("low <> high").select(*key, cut.alias("blocks")), key)
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

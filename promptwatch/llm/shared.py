@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import sys
 import types
 import uuid
@@ -17,7 +18,7 @@ from promptwatch.sources import workspace
 
 __all__ = [
     "chunks", "connected", "discard", "folder", "fresh", "kept", "lower_ascii", "materialize", "mix", "posix", "read",
-    "strings", "text_chunks", "word_hashes",
+    "shuffles_removed", "strings", "text_chunks", "word_hashes",
 ]
 
 
@@ -30,15 +31,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Within this, queries remove their shuffle files as they end."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read that; nothing needs its shuffle files afterwards."""
-    conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, "false")
-    conf.set(CLEANUP, "true")
-    try:
+    with shuffles_removed(df.sparkSession):
         return workspace.materialize(df)
-    finally:
-        conf.set(CLEANUP, before)
 
 
 def discard(table: DataFrame) -> None:
