@@ -99,7 +99,11 @@ def correlation_check(df: DataFrame, ts: str = "ts_us", params: Params = Params(
     only where it is silent. Three addresses on one exact fingerprint are a distributed
     attack whatever the sender counts say.
     """
-    df = campaign_fuzzy(campaign_exact(df, ts=ts, params=params), ts=ts, params=params, events=df)
+    return campaign_verdict(campaign_fuzzy(campaign_exact(df, ts=ts, params=params), ts=ts, params=params, events=df), params)
+
+
+def campaign_verdict(df: DataFrame, params: Params = Params()) -> DataFrame:
+    """The verdict of counted requests (``exact_count, fuzzy_count, ip_count, prompt_hash``)."""
     exact = F.col("exact_count") >= params.campaign_threshold
     fuzzy = F.col("fuzzy_count") >= params.campaign_threshold + 1
     df = df.withColumn("distributed", F.col("ip_count") >= 3)

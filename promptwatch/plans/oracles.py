@@ -677,6 +677,18 @@ ORACLES.update({
     "stream_signals": f"WITH {REQUESTS}, {signals('bank', 'k')} SELECT request_id, cost_score, array_to_string(rule_flags, ',') AS rule_flags, "
                       "(a_rec OR a_rep OR multiplier > 5) AS recursive_detected FROM requests JOIN flagged ON k = request_id % 28",
     "stream_quota": ORACLES["quota_check"],
+    "stream_campaigns": ORACLES["correlation_check"],
+    "stream_gate": ORACLES["request_gate"],
+    "stream_reputation_resumed": f"WITH RECURSIVE {REP} SELECT request_id, round(trust_read, 3) AS trust_read, round(trust, 6) AS trust_score, "
+                                 "total AS total_requests, abuses AS abuse_count FROM rep "
+                                 "WHERE rn > 0 AND ts_us >= (SELECT (epoch_us(min(ts)) + epoch_us(max(ts))) // 2 FROM events)",
+    "late_data": """WITH timed AS (
+      SELECT event_id, epoch_us(ts) AS t, epoch_us(ts) + (event_id * 7919 % 3000) * 1000000 + CASE WHEN event_id % 97 = 0 THEN 432000000000 ELSE 0 END AS arrival FROM events),
+    whole AS (SELECT min(arrival) AS low, max(arrival) AS high, greatest(4, count(*) // 1000000) AS n FROM timed),
+    sliced AS (SELECT event_id, t, (arrival - low) * n // (high - low + 1) AS k FROM timed, whole),
+    latest AS (SELECT k, max(t) AS t FROM sliced GROUP BY k),
+    marks AS (SELECT a.k, (max(b.t) - 3600000000) // 1000 * 1000 AS mark FROM latest a JOIN latest b ON b.k < a.k GROUP BY a.k)
+    SELECT event_id AS request_id, mark AS watermark_us, k::INTEGER AS trigger FROM sliced JOIN marks USING (k) WHERE t // 1000 * 1000 <= mark""",
     "stream_reputation": ORACLES["reputation_fold"],
     "stream_correlation": f"WITH {SIGHTINGS}, {window_counts('sight', 'h', DAY, 'byhash')}, {window_counts('sight', 'p', DAY, 'bypattern')} "
                           "SELECT request_id, 'exact' AS track, CAST(senders AS INTEGER) AS senders, CAST(ips AS INTEGER) AS addresses FROM byhash "

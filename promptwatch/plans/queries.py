@@ -32,7 +32,7 @@ from promptwatch.sources import control as CT
 from promptwatch.sources import requests as RQ
 from promptwatch.sources.workspace import materialize, workspace_path
 from promptwatch.streaming import stateful as ST
-from promptwatch.streaming.run import run_available, run_totals
+from promptwatch.streaming.run import run_available, run_totals, split_late
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -716,12 +716,10 @@ def report_log(spark: SparkSession, sf: str) -> DataFrame:
     return _REPORTS[key]
 
 
-@query
-def request_gate(spark, sf):
-    """The cascade alone, with costs and proofs that reach every exit."""
-    e = B.table(spark, sf, "events")
+def _gate_requests(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """Requests with costs and proofs that reach every exit, past the blacklist."""
     i = F.col("event_id")
-    requests = CT.blacklist_gate(e.select(
+    return CT.blacklist_gate(events.select(
         i.alias("request_id"), B.micros(F.col("ts")).alias("ts_us"), F.col("user_id").cast("string").alias("user_id"),
         F.concat(F.lit("10.0.0."), (F.col("user_id") % 7).cast("string")).alias("client_ip"),
         (F.col("event_type") == "error").alias("risk_block"),
@@ -729,13 +727,21 @@ def request_gate(spark, sf):
         (i % 101).cast("int").alias("cost_score"), (i % 3 - 1).cast("int").alias("proof"),
         F.when(i % 11 == 0, 0.7).otherwise(0.1).alias("defender_risk"),
     ), B.control_log(spark))
-    g = gate.request_gate(requests, GATE)
+
+
+def _gate_columns(g: DataFrame) -> DataFrame:
     return g.select(
         "request_id", "exit", "auth_tier", "quota_used", F.round("trust_read", 3).alias("trust_read"),
         F.round("trust_after", 6).alias("trust_after"), "candidate",
     )
 
 
+@query
+def request_gate(spark, sf):
+    """The cascade alone, with costs and proofs that reach every exit."""
+    return _gate_columns(gate.request_gate(_gate_requests(spark, B.table(spark, sf, "events")), GATE))
+
+
 @query
 def protection_report(spark, sf):
     r = protection_reports(spark, sf)
@@ -903,10 +909,21 @@ def cost_score_ml(spark, sf):
     return M.score(model, features).select("row_id", "label", "cost_score", "scoring_method")
 
 
-# -- streams: the event table as a file stream, run until everything is processed --------------
+# -- streams: the event table as files in order of arrival, run until everything is processed -----------
+
+def _arriving(spark: SparkSession, sf: str, make) -> DataFrame:
+    """What ``make`` gives for the arriving events, with event time and watermark, up to the heartbeat."""
+    events, end = B.arrivals(spark, sf)
+    return ST.before(ST.with_event_time(make(events), "1 hour"), end)
+
 
-def _request_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return ST.with_event_time(B.as_requests(B.event_stream(spark, sf)), "1 hour")
+def _arriving_sightings(spark: SparkSession, sf: str) -> DataFrame:
+    def sightings(events):
+        return B.as_requests(events).withColumns({
+            "prompt_hash": FP.prompt_hash(F.col("prompt")), "prompt_pattern": FP.prompt_pattern(F.col("prompt")),
+        }).drop("prompt")
+
+    return _arriving(spark, sf, sightings)
 
 
 @query
@@ -917,34 +934,69 @@ def stream_signals(spark, sf):
 
 @query
 def stream_quota(spark, sf):
-    out = run_available(ST.stream_quota(_request_stream(spark, sf).drop("prompt", "client_ip"), QUOTA))
-    return out.select("request_id", "quota_used", "quota_allowed")
+    requests = _arriving(spark, sf, lambda e: B.as_requests(e).drop("prompt", "client_ip"))
+    return run_available(ST.stream_quota(requests, QUOTA)).select("request_id", "quota_used", "quota_allowed")
 
 
-@query
-def stream_reputation(spark, sf):
-    events = ST.with_event_time(as_outcomes(B.event_stream(spark, sf)), "1 hour")
-    out = run_available(ST.stream_reputation(events, SQL_ROUNDING))
+def _trust_columns(out: DataFrame) -> DataFrame:
     return out.select(
         "request_id", F.round("trust_read", 3).alias("trust_read"), F.round("trust_score", 6).alias("trust_score"),
         "total_requests", "abuse_count",
     )
 
 
+@query
+def stream_reputation(spark, sf):
+    return _trust_columns(run_available(ST.stream_reputation(_arriving(spark, sf, as_outcomes), SQL_ROUNDING)))
+
+
+@query
+def stream_reputation_resumed(spark, sf):
+    """The stream again from a snapshot: the states at the middle of the log, then only what comes after."""
+    outcomes = _outcomes(spark, sf)
+    low, high = outcomes.agg(F.min("ts_us"), F.max("ts_us")).first()
+    middle = (low + high) // 2
+    earlier = reputation.reputation_fold(outcomes.filter(F.col("ts_us") < middle), params=SQL_ROUNDING)
+    path = workspace_path(spark)
+    RQ.save_snapshot(reputation.latest_state(earlier), path)
+    known = ST.trust_state(RQ.load_snapshot(spark, path, middle, SQL_ROUNDING.reputation_ttl_s * 1_000_000))
+    later = _arriving(spark, sf, as_outcomes).filter(F.col("event_time") >= F.timestamp_micros(F.lit(middle)))
+    return _trust_columns(run_available(ST.stream_reputation(later, SQL_ROUNDING, known)))
+
+
 @query
 def stream_correlation(spark, sf):
-    sightings = _request_stream(spark, sf).withColumns({
-        "prompt_hash": FP.prompt_hash(F.col("prompt")), "prompt_pattern": FP.prompt_pattern(F.col("prompt")),
-    })
-    out = run_available(ST.stream_correlation(sightings.drop("prompt"), DAY_WINDOW))
+    out = run_available(ST.stream_correlation(_arriving_sightings(spark, sf), DAY_WINDOW))
     return out.select("request_id", "track", "senders", "addresses")
 
 
+@query
+def stream_campaigns(spark, sf):
+    out = run_available(ST.stream_campaigns(_arriving_sightings(spark, sf), DAY_WINDOW))
+    return out.select("request_id", "campaign_detected", "campaign_id", "confidence", "distributed")
+
+
 @query
 def stream_campaign_log(spark, sf):
     """Every sighting counts as a detection here: one campaign per prompt and day."""
-    sightings = _request_stream(spark, sf).withColumn("prompt_hash", FP.prompt_hash(F.col("prompt")))
-    return run_available(ST.stream_campaign_log(sightings.drop("prompt"), DAY_WINDOW))
+    return run_available(ST.stream_campaign_log(_arriving_sightings(spark, sf), DAY_WINDOW))
+
+
+@query
+def stream_gate(spark, sf):
+    """The cascade of ``request_gate`` as its requests arrive."""
+    requests = _arriving(spark, sf, lambda events: _gate_requests(spark, events))
+    return _gate_columns(run_available(ST.stream_gate(requests, GATE)))
+
+
+@query
+def late_data(spark, sf):
+    """Events behind the watermark, by the trigger that brought them."""
+    events, end = B.arrivals(spark, sf, stragglers=True)
+    folder = workspace_path(spark)
+    split_late(events.select(F.col("event_id").alias("request_id"), B.micros(F.col("ts")).alias("ts_us")), folder, B.DELAY_US)
+    late = spark.read.schema("request_id bigint, ts_us bigint, watermark_us bigint, trigger int").parquet(f"{folder}/late")
+    return late.select("request_id", "watermark_us", "trigger")
 
 
 @query

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from promptwatch.sources.workspace import materialize, workspace_path
 from promptwatch.streaming.run import file_stream
 
 # Probe prompts of our own, one per rule and per exit of the gate; 0 to 2 share their first words.
@@ -99,6 +100,38 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_stream(spark, sf_dir, "events", table(spark, sf_dir, "events").schema)
 
 
+#: How late rows arrive: up to this within the watermark's delay, and stragglers far beyond it.
+JITTER_US, STRAGGLE_US, DELAY_US = 3_000_000_000, 432_000_000_000, 3_600_000_000
+
+
+def arrivals(spark: SparkSession, sf_dir: str, stragglers: bool = False) -> tuple[DataFrame, int]:
+    """The event table as a stream of several files, in order of arrival, not of event time; and the end of time.
+
+    Events arrive up to 50 minutes late, by their id; every 97th comes five days later if ``stragglers``. The files are
+    slices of the arrival time, four or more, of a million events at most on average. The last is a heartbeat at the end
+    of time, so that the watermark passes every event.
+    """
+    events = table(spark, sf_dir, "events")
+    i, ts = F.col("event_id"), micros(F.col("ts"))
+    lag = (i * 7919 % (JITTER_US // 1_000_000)) * 1_000_000
+    if stragglers:
+        lag = lag + F.when(i % 97 == 0, F.lit(STRAGGLE_US)).otherwise(0)
+    timed = events.withColumn("arrival_us", ts + lag)
+    rows, low, high = timed.agg(F.count("*"), F.min("arrival_us"), F.max("arrival_us")).first()
+    slices, low, high = max(4, rows // 1_000_000), low or 0, high or 0
+    dealt = materialize(timed.withColumn("slice", F.floor((F.col("arrival_us") - low) * slices / (high - low + 1))))
+    folder = workspace_path(spark)
+    for k in range(slices):
+        dealt.where(F.col("slice") == k).drop("slice", "arrival_us").coalesce(1).write.parquet(f"{folder}/{k:06}")
+    end = high + 30 * 86_400_000_000
+    beat = spark.range(1).select(*[
+        (F.timestamp_micros(F.lit(end)) if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema
+    ])
+    beat.coalesce(1).write.parquet(f"{folder}/heartbeat")
+    stream = spark.readStream.schema(events.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(folder)
+    return stream, end
+
+
 def micros(ts: Column) -> Column:
     """Wall-clock microseconds since 1970, whatever the session time zone is."""
     return F.unix_micros(F.from_utc_timestamp(ts.cast("timestamp"), F.current_timezone()))

@@ -2,20 +2,44 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from promptwatch.sources.workspace import ensure_checkpoint_dir
+from promptwatch.streaming.ordered import STORE
 
 
-def start(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Append a stream to a table; restarting with the same checkpoint continues exactly there."""
-    return (
-        stream.writeStream.format("parquet").outputMode(mode)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
-    )
+@contextlib.contextmanager
+def _settings(spark: SparkSession, wanted: dict[str, str]):
+    """Settings that a query takes along when it starts."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def start(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", partitions: int | None = None) -> StreamingQuery:
+    """Append a stream to a table; restarting with the same checkpoint continues exactly there.
+
+    ``partitions`` of the state are fixed by the first start; the default is one for each core of the cluster, since
+    every one of them is a store and a worker in every trigger.
+    """
+    spark = stream.sparkSession
+    wanted = {"spark.sql.streaming.stateStore.providerClass": STORE, "spark.sql.shuffle.partitions": str(partitions or spark.sparkContext.defaultParallelism)}
+    with _settings(spark, wanted):
+        return (
+            stream.writeStream.format("parquet").outputMode(mode)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+        )
 
 
 def run_available(stream: DataFrame) -> DataFrame:
@@ -55,3 +79,29 @@ def late_rows(query: StreamingQuery) -> int:
         operator.get("numRowsDroppedByWatermark", 0)
         for progress in query.recentProgress for operator in progress.get("stateOperators", [])
     )
+
+
+def split_late(stream: DataFrame, folder: str, delay_us: int, ts: str = "ts_us") -> None:
+    """Process what is there into two tables: ``folder/on_time``, and ``folder/late`` with the rows behind the watermark.
+
+    The engine drops late rows and only counts them; here they are kept, by trigger. The watermark of a trigger is the
+    latest time of all triggers before it, less the delay, and a row at or before it is late, as the engine has it.
+    What a trigger saw is a row of ``folder/seen``; every trigger writes its own folders anew, so a repeated one changes nothing.
+    """
+    spark = stream.sparkSession
+
+    def split(rows: DataFrame, trigger: int) -> None:
+        try:
+            seen = spark.read.parquet(f"{folder}/seen").where(F.col("trigger") < trigger).agg(F.max("latest")).first()[0]
+        except AnalysisException as error:
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            seen = None
+        mark = -(1 << 62) if seen is None else (seen - delay_us) // 1000 * 1000
+        late = F.floor(F.col(ts) / 1000) * 1000 <= mark
+        rows.filter(late).withColumn("watermark_us", F.lit(mark)).write.mode("overwrite").parquet(f"{folder}/late/trigger={trigger}")
+        rows.filter(~late).write.mode("overwrite").parquet(f"{folder}/on_time/trigger={trigger}")
+        latest = rows.agg(F.max(ts).alias("latest")).where("latest is not null")
+        latest.write.mode("overwrite").parquet(f"{folder}/seen/trigger={trigger}")
+
+    stream.writeStream.foreachBatch(split).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()

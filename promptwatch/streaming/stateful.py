@@ -1,164 +1,164 @@
 """Streaming twins of the keyed operators.
 
-Each twin runs the same step function as the batch fold, with the state kept by the
-engine between triggers. Event time rules: rows behind the watermark are dropped (and
-counted by the engine), a key's state goes when the watermark passes its expiry. Within a
-trigger rows are taken in (time, id) order. A trigger bounds what one key can bring at
-once (``maxFilesPerTrigger``), so no state or group grows with the length of the stream.
+Each twin folds a key's rows in order of event time, with the step function of the batch fold; see
+:mod:`promptwatch.streaming.ordered`. Rows behind the watermark are dropped (and counted by the engine), and state goes
+when the watermark has passed its lifetime.
 """
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Callable, Iterable
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from promptwatch.functions.amplification import with_amplification
 from promptwatch.functions.cost import TEXT_FORMS, with_cost_signals, with_text_forms
 from promptwatch.functions.fingerprints import campaign_id
 from promptwatch.functions.rules import with_rule_flags
-from promptwatch.operators.gate import take_quota
+from promptwatch.operators.correlation import campaign_verdict
+from promptwatch.operators.gate import INPUTS as GATE_INPUTS
+from promptwatch.operators.gate import OUTPUTS as GATE_OUTPUTS
+from promptwatch.operators.gate import gate_step, take_quota
 from promptwatch.operators.reputation import OUTPUTS as REPUTATION_OUTPUTS
 from promptwatch.operators.reputation import Trust, reputation_step
 from promptwatch.params import SECOND_US, Params
+from promptwatch.streaming.ordered import Lifetime, members_in_window, ordered_fold
 
-
-def stateful_fold(
-    stream: DataFrame,
-    keys: list[str],
-    carried: list[str],
-    inputs: list[str],
-    step: Callable[[tuple | None, tuple], tuple[tuple | None, tuple]],
-    outputs: dict[str, str],
-    ttl_us: int,
-    ts: str = "ts_us",
-    order: str = "request_id",
-) -> DataFrame:
-    """Fold each key in (ts, order); ``step`` works on plain tuples, so states can be stored.
-
-    The stream must carry a watermark. ``carried`` columns pass through; the first of
-    ``inputs`` must be the event time in microseconds.
-    """
-    types = dict(stream.dtypes)
-    kept = [*keys, *[c for c in carried if c not in keys]]
-    schema = ", ".join([f"`{c}` {types[c]}" for c in kept] + [f"`{n}` {t}" for n, t in outputs.items()])
-    names = list(outputs)
-
-    def update(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterable[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values([ts, order], kind="stable")
-        value = pickle.loads(state.get[0]) if state.exists else None
-        produced = []
-        for row in zip(*[pdf[c].tolist() for c in inputs]):
-            value, out = step(value, row)
-            produced.append(out)
-        expiry_ms = (int(pdf[ts].max()) + ttl_us) // 1000 + 1
-        if value is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((pickle.dumps(value),))
-            state.setTimeoutTimestamp(max(expiry_ms, state.getCurrentWatermarkMs() + 1))
-        out = pdf[kept].reset_index(drop=True)
-        for name, values in zip(names, zip(*produced)):
-            out[name] = pd.Series(values, dtype="object").infer_objects()
-        yield out
-
-    return stream.groupBy(*keys).applyInPandasWithState(
-        update, schema, "value binary", "append", GroupStateTimeout.EventTimeTimeout
-    )
+TRUST = "score double, total bigint, abuses bigint, avg_cost double, last_seen bigint, last_abuse bigint, created bigint, saved bigint"
 
 
 def with_event_time(stream: DataFrame, delay: str, ts: str = "ts_us") -> DataFrame:
     return stream.withColumn("event_time", F.timestamp_micros(ts)).withWatermark("event_time", delay)
 
 
+def before(stream: DataFrame, until_us: int) -> DataFrame:
+    """Without the heartbeat rows at or after ``until_us``; they have moved the watermark by then."""
+    return stream.filter(F.col("event_time") < F.timestamp_micros(F.lit(until_us)))
+
+
 def stream_signals(stream: DataFrame, params: Params = Params()) -> DataFrame:
     """Stateless signals of a request stream: the very expressions the batch uses."""
     df = with_amplification(with_rule_flags(with_cost_signals(with_text_forms(stream))), params)
     return df.drop(*TEXT_FORMS)
 
 
-def stream_quota(stream: DataFrame, params: Params = Params()) -> DataFrame:
-    """``quota_used, quota_allowed`` per request; state per user: window start and count."""
+def _quota_life(params: Params) -> Lifetime:
+    return Lifetime("start bigint, used bigint", lambda v: v[0] + params.quota_window_s * SECOND_US)
 
-    def step(state: tuple | None, row: tuple) -> tuple[tuple, tuple]:
-        state, allowed = take_quota(state, row[0], params)
-        return state, (state[1], allowed)
 
-    return stateful_fold(
-        stream, ["user_id"], ["request_id", "ts_us"], ["ts_us"], step,
-        {"quota_used": "int", "quota_allowed": "boolean"}, params.quota_window_s * SECOND_US,
-    )
+def _trust_life(params: Params) -> Lifetime:
+    return Lifetime(TRUST, lambda v: v[7] + params.reputation_ttl_s * SECOND_US)
 
 
-def _remember(seen: dict, member: object, now: int, window_us: int) -> int:
-    """Note a member's latest time and forget those the window has left; how many remain.
+def stream_quota(stream: DataFrame, params: Params = Params()) -> DataFrame:
+    """``quota_used, quota_allowed`` per request; state per user: window start and count."""
 
-    The dictionary is kept in order of the latest time, so only members that leave are looked at.
-    """
-    seen[member] = max(now, seen.pop(member, now))
-    while (oldest := next(iter(seen))) != member and seen[oldest] < now - window_us:
-        del seen[oldest]
-    return len(seen)
+    def step(values: tuple, row: tuple) -> tuple[tuple, tuple]:
+        quota, allowed = take_quota(values[0], row[0], params)
+        return (quota,), (quota[1], allowed)
+
+    return ordered_fold(
+        stream, ["user_id"], ["request_id", "ts_us"], ["ts_us"], step, {"quota": _quota_life(params)},
+        {"quota_used": "int", "quota_allowed": "boolean"},
+    )
 
 
 def stream_correlation(stream: DataFrame, params: Params = Params()) -> DataFrame:
     """Senders and addresses per request and track (``exact`` / ``fuzzy`` fingerprint).
 
     Counts are whole: the state of a fingerprint holds one entry for each distinct sender and
-    address that was seen within the window.
+    address that was seen within the window. The event time is carried on.
     """
-    window_us = params.correlation_window_s * SECOND_US
     tracks = F.array(
         F.struct(F.lit("exact").alias("track"), F.col("prompt_hash").alias("fingerprint")),
         F.struct(F.lit("fuzzy").alias("track"), F.col("prompt_pattern").alias("fingerprint")),
     )
     rows = stream.select("request_id", "ts_us", "event_time", "user_id", "client_ip", F.inline(tracks))
+    return members_in_window(
+        rows, ["track", "fingerprint"], ["request_id", "ts_us", "user_id", "client_ip"],
+        {"senders": ["user_id", "client_ip"], "addresses": ["client_ip"]}, params.correlation_window_s * SECOND_US,
+    )
+
 
-    def step(state: tuple | None, row: tuple) -> tuple[tuple, tuple]:
-        now, user, ip = row
-        senders, addresses = state or ({}, {})
-        return (senders, addresses), (_remember(senders, (user, ip), now, window_us), _remember(addresses, ip, now, window_us))
+def stream_campaigns(stream: DataFrame, params: Params = Params()) -> DataFrame:
+    """The batch verdict per request, from two chained stateful operators.
+
+    The counts of a request's two tracks come from two keys; they meet again in an aggregate by request, which is
+    put out when the watermark has passed the request. Requests are told apart by id, time, sender and address; equal
+    ones have equal verdicts and are one row.
+    """
+    counts = stream_correlation(stream, params)
 
-    return stateful_fold(
-        rows, ["track", "fingerprint"], ["request_id", "ts_us"], ["ts_us", "user_id", "client_ip"], step,
-        {"senders": "int", "addresses": "int"}, window_us,
+    def of(track: str, column: str) -> Column:
+        return F.max(F.when(F.col("track") == track, F.col(column)))
+
+    met = counts.groupBy("event_time", "request_id", "ts_us", "user_id", "client_ip").agg(
+        of("exact", "senders").alias("exact_count"), of("exact", "addresses").alias("ip_count"), of("fuzzy", "senders").alias("fuzzy_count"),
+        F.max(F.when(F.col("track") == "exact", F.col("fingerprint"))).alias("prompt_hash"),
     )
+    return campaign_verdict(met, params).drop("event_time")
 
 
 def stream_campaign_log(detected: DataFrame, params: Params = Params()) -> DataFrame:
     """First detection per campaign and hour; state per fingerprint: when its id was made."""
     ttl_us = params.campaign_ttl_s * SECOND_US
 
-    def step(state: tuple | None, row: tuple) -> tuple[tuple, tuple]:
-        opens = state is None or row[0] >= state[0] + ttl_us
-        return ((row[0],) if opens else state), (opens,)
+    def step(values: tuple, row: tuple) -> tuple[tuple, tuple]:
+        opens = values[0] is None or row[0] >= values[0][0] + ttl_us
+        return ((row[0],) if opens else values[0],), (opens,)
 
-    folded = stateful_fold(
-        detected, ["prompt_hash"], ["request_id", "ts_us"], ["ts_us"], step, {"opens": "boolean"}, ttl_us
+    folded = ordered_fold(
+        detected, ["prompt_hash"], ["request_id", "ts_us"], ["ts_us"], step,
+        {"opened": Lifetime("start bigint", lambda v: v[0] + ttl_us)}, {"opens": "boolean"},
     )
     return folded.filter("opens").select(
         campaign_id(F.col("prompt_hash")).alias("campaign_id"), "prompt_hash", F.col("ts_us").alias("detected_at")
     )
 
 
-def stream_reputation(stream: DataFrame, params: Params = Params()) -> DataFrame:
-    """Reputation after every event (``kind, cost``), with the batch fold's own step."""
+def trust_state(states: DataFrame) -> DataFrame:
+    """Saved reputation states, one row per user, as the first state of a stream."""
+    names = {
+        "score": "trust_score", "total": "total_requests", "abuses": "abuse_count", "avg_cost": "avg_cost_score",
+        "last_seen": "last_seen_us", "last_abuse": "last_abuse_us", "created": "saved_us", "saved": "saved_us",
+    }
+    types = dict(c.split() for c in TRUST.split(", "))
+    return states.filter("trust_score is not null").select("user_id", *[F.col(column).cast(types[n]).alias(n) for n, column in names.items()])
+
+
+def stream_reputation(stream: DataFrame, params: Params = Params(), snapshot: DataFrame | None = None) -> DataFrame:
+    """Reputation after every event (``kind, cost``), with the batch fold's own step.
 
-    def step(state: tuple | None, row: tuple) -> tuple[tuple | None, tuple]:
-        trust, out = reputation_step(None if state is None else Trust(*state), row, params)
-        return (None if trust is None else tuple(trust)), out
+    ``snapshot`` (:func:`trust_state`) is where known users begin.
+    """
+
+    def step(values: tuple, row: tuple) -> tuple[tuple, tuple]:
+        trust, out = reputation_step(None if values[0] is None else Trust(*values[0]), row, params)
+        return (trust,), out
+
+    return ordered_fold(
+        stream, ["user_id"], ["request_id", "ts_us"], ["ts_us", "kind", "cost"], step, {"trust": _trust_life(params)},
+        REPUTATION_OUTPUTS, initial=snapshot,
+    )
 
-    return stateful_fold(
-        stream, ["user_id"], ["request_id", "ts_us"], ["ts_us", "kind", "cost"], step, REPUTATION_OUTPUTS,
-        params.reputation_ttl_s * SECOND_US,
+
+def stream_gate(stream: DataFrame, params: Params = Params()) -> DataFrame:
+    """The whole cascade as requests come: quota, trust, challenge, proof, defender.
+
+    ``stream`` carries the gate's inputs (without ``admitted``) and ``deny_reason``; denied rows leave at once and take
+    no part in the state. A user's quota and trust are state variables with lifetimes of their own.
+    """
+    narrow = stream.select("request_id", "user_id", "deny_reason", "event_time", *GATE_INPUTS[:-1]).withColumn("admitted", F.lit(0))
+
+    def step(values: tuple, row: tuple) -> tuple[tuple, tuple]:
+        *signals, admitted, denied = row
+        if denied is not None:
+            return values, ("auth", "blocked", None, None, None, None, None, None, False)
+        trust = None if values[1] is None else Trust(*values[1])
+        return gate_step((values[0], trust), (*signals, admitted), params)
+
+    return ordered_fold(
+        narrow, ["user_id"], ["request_id", "deny_reason"], [*GATE_INPUTS, "deny_reason"], step,
+        {"quota": _quota_life(params), "trust": _trust_life(params)}, GATE_OUTPUTS,
     )
 
 
