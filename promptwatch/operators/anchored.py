@@ -4,7 +4,9 @@ A window opens at a key's first event and lasts ``length``; the next one opens a
 first event after it has ended. Neither epoch-aligned nor gap-extended windows express
 this, because each start depends on the one before it.
 
-Ordinary keys are folded in one pass. A key with more rows than ``hot_rows`` is solved
+Ordinary keys are solved batch by batch: a row points to the row that would open the next window, found by one sort
+of times and window ends, and the chain from each key's first row is marked by doubling the pointers; no step is taken
+row by row. A key with more rows than ``hot_rows`` is solved
 without ever being gathered in one task: every event points to the event that would open
 the next window, and the chain that begins at the first event is marked by pointer
 doubling, which needs log2(number of windows) joins on evenly spread (key, time) pairs.
@@ -12,10 +14,12 @@ doubling, which needs log2(number of windows) joins on evenly spread (key, time)
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptwatch.operators.fold import ordered_fold
+from promptwatch.operators.fold import sorted_batches
 from promptwatch.operators.prefix import hot_keys, running_sum
 from promptwatch.params import SECOND_US, Params
 from promptwatch.sources.workspace import checkpoint, materialize
@@ -38,17 +42,49 @@ def anchored_window(
     )
 
 
+def window_openers(t: np.ndarray, new: np.ndarray, first: np.ndarray, length: int) -> np.ndarray:
+    """Whether each row opens a window; rows are sorted by key and time ``t``.
+
+    ``new`` marks a key's first row, ``first`` the rows where the chains begin.
+    """
+    n, key = len(t), np.cumsum(new)
+    # the first row of the same key at or after t + length, by sorting rows and window ends together
+    times, keys = np.concatenate([t, t + length]), np.concatenate([key, key])
+    probe = np.repeat([1, 0], n)  # an end stands before the rows of its time
+    order = np.lexsort((probe, times, keys))
+    row = np.where(order < n, order, n)
+    later = np.minimum.accumulate(row[::-1])[::-1]
+    jump = np.full(n + 1, n)
+    ends = order >= n
+    jump[order[ends] - n] = later[ends]
+    jump[:n][(jump[:n] < n) & (key[np.minimum(jump[:n], n - 1)] != key)] = n
+    opens = np.zeros(n + 1, bool)
+    opens[first] = True
+    while (jump[:n] < n).any():  # as often as the longest chain has binary digits
+        opens[jump[opens]] = True
+        jump = jump[jump]
+    return opens[:n]
+
+
 def _folded(df: DataFrame, keys: list[str], ts: str, length_us: int, order: str) -> DataFrame:
-    def step(state: tuple, row: tuple) -> tuple:
-        (t,) = row
-        start, n = state
-        state = (t, 1) if t >= start + length_us else (start, n + 1)
-        return state, state
-
-    return ordered_fold(
-        df, keys, [ts, order], lambda row: (row[0] - length_us, 0), step, [ts],
-        {"window_start": "bigint", "window_index": "bigint"},
-    )
+    def solve(batch: pa.RecordBatch, new: np.ndarray, goes_on: bool, state: tuple | None) -> tuple[list[pa.Array], tuple]:
+        t = batch.column(ts).to_numpy()
+        first = np.flatnonzero(new)
+        start, held, inside = 0, 0, 0  # rows that still belong to the window of the batch before
+        if goes_on:
+            start, held = state
+            end = int(first[0]) if len(first) else len(t)
+            inside = int(np.searchsorted(t[:end], start + length_us))
+            if inside < end:
+                first = np.concatenate([[inside], first])
+        opens = window_openers(t, new, first, length_us)
+        at = np.arange(len(t))
+        opener = np.maximum.accumulate(np.where(opens, at, -1))
+        began = np.where(opener >= 0, t[np.maximum(opener, 0)], start)
+        index = np.where(opener >= 0, at - opener + 1, at + held + 1)
+        return [pa.array(began, pa.int64()), pa.array(index, pa.int64())], (int(began[-1]), int(index[-1]))
+
+    return sorted_batches(df, keys, [ts, order], solve, {"window_start": "bigint", "window_index": "bigint"})
 
 
 def doubled_windows(df: DataFrame, keys: list[str], ts: str, length_us: int, order: str) -> DataFrame:

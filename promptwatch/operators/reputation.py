@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from promptwatch.functions.policy import round3, trust_tier
 from promptwatch.operators.fold import ordered_fold
 from promptwatch.params import HOUR_US, SECOND_US, Params
+from promptwatch.sources.workspace import materialize
 
 
 class Trust(NamedTuple):
@@ -107,14 +108,18 @@ def reputation_fold(
 ) -> DataFrame:
     """Add the reputation after every event (columns of :data:`OUTPUTS`).
 
-    ``events`` carries ``kind`` and ``cost`` (0..100). Users with more than
-    ``hot_rows`` events are folded in parallel pieces, see :mod:`reputation_chunks`.
+    ``events`` carries ``kind`` and ``cost``. Users with more than ``hot_rows`` events are folded in
+    parallel pieces, see :mod:`reputation_chunks`; its tables hold for costs of 0..100, so a hot user with
+    any other cost is folded in one piece like everyone else.
     """
     from promptwatch.operators.prefix import hot_keys
     from promptwatch.operators.reputation_chunks import chunked_fold
 
     hot = hot_keys(events, [user], params.hot_rows)
-    if hot is None:
+    if hot is not None:
+        odd = events.filter((F.col("kind") == "success") & ~F.coalesce(F.col("cost").between(0, 100), F.lit(False)))
+        hot = materialize(hot.join(odd.select(user).distinct(), user, "left_anti"))
+    if hot is None or hot.isEmpty():
         return _folded(events, user, ts, order, params)
     cold = _folded(events.join(hot, user, "left_anti"), user, ts, order, params)
     return cold.unionByName(chunked_fold(events.join(hot, user, "left_semi"), user, ts, order, params))

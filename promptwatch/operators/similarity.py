@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptwatch.params import Params
+from promptwatch.sources.workspace import materialize
 
-#: The bank is curated by hand (a few phrases per category). This bound is checked, and a
-#: larger bank is refused, because it is held by every task.
-MAX_EXEMPLARS = 10_000
+#: Exemplars that a task holds at most. A larger bank is dealt to blocks of this size, which take turns.
+MOST_HELD = 10_000
 #: Exemplars that are compared with an Arrow batch at once.
 BLOCK = 256
 
@@ -25,25 +25,12 @@ def unit_normalize(vec: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
 
 
-def load_bank(bank: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Categories in order, unit vectors (one row each) and the category of each row."""
-    rows = bank.select("category", "embedding").limit(MAX_EXEMPLARS + 1).collect()
-    if len(rows) > MAX_EXEMPLARS:
-        raise ValueError(f"the exemplar bank is limited to {MAX_EXEMPLARS} phrases")
-    categories = sorted({r.category for r in rows})
-    vectors = np.array([r.embedding for r in rows], dtype=np.float64).reshape(len(rows), -1 if rows else 0)
+def _best(categories: list[str], names: list[str], embeddings: list[list[float]], vec: Column, dim: int) -> Column:
+    """Best cosine per category as one array column; one matrix product per Arrow batch, no join and no shuffle."""
+    vectors = np.array(embeddings, dtype=np.float64).reshape(len(embeddings), dim)
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     vectors = np.divide(vectors, norms, out=vectors, where=norms > 0)
-    return categories, vectors, np.array([categories.index(r.category) for r in rows])
-
-
-def category_similarity(bank: DataFrame, vec: Column) -> tuple[list[str], Column]:
-    """Best cosine per category as one array column (categories in the returned order).
-
-    One matrix product per Arrow batch; no join and no shuffle.
-    """
-    categories, vectors, owner = load_bank(bank)
-    dim = vectors.shape[1]
+    owner = np.array([categories.index(c) for c in names])
     blocks = [[own[i : i + BLOCK] for i in range(0, len(own), BLOCK)] for own in (vectors[owner == c] for c in range(len(categories)))]
 
     @F.arrow_udf("array<double>")
@@ -60,7 +47,33 @@ def category_similarity(bank: DataFrame, vec: Column) -> tuple[list[str], Column
         rows = iter(top.tolist())
         return pa.array([next(rows) if ok else None for ok in valid], pa.list_(pa.float64()))
 
-    return categories, best(vec)
+    return best(vec)
+
+
+def with_category_similarity(df: DataFrame, bank: DataFrame, vec: str, into: str) -> tuple[list[str], DataFrame]:
+    """Categories in order, and ``df`` with their best cosines as one array column.
+
+    A bank beyond ``MOST_HELD`` exemplars is written in blocks by a hash, and each block meets all vectors in a pass of
+    its own, which keeps the larger of each category's maxima; a row's vector is written once and never shuffled.
+    """
+    plain = bank.select("category", "embedding")
+    facts = plain.agg(F.count("*"), F.sort_array(F.collect_set("category")), F.max(F.size("embedding"))).first()  # categories are a few
+    rows, categories, dim = facts
+    if rows <= MOST_HELD:
+        held = plain.toArrow()
+        return categories, df.withColumn(into, _best(categories, held.column(0).to_pylist(), held.column(1).to_pylist(), F.col(vec), dim))
+    blocks = -(-rows // MOST_HELD)
+    dealt = materialize(plain.withColumn("_at", F.monotonically_increasing_id()))
+    dealt = materialize(dealt.withColumn("_block", F.pmod(F.xxhash64("_at"), F.lit(2 * blocks))))
+    keyed = materialize(df.withColumn("_row", F.monotonically_increasing_id()))
+    found = keyed.select("_row", F.col(vec).alias("_vec"), F.lit(None).cast("array<double>").alias(into))
+    for k in range(2 * blocks):
+        held = dealt.filter(F.col("_block") == k).select("category", "embedding").toArrow()
+        if held.num_rows:
+            own = _best(categories, held.column(0).to_pylist(), held.column(1).to_pylist(), F.col("_vec"), dim)
+            larger = F.when(F.col(into).isNull(), F.col("_own")).otherwise(F.zip_with(into, "_own", lambda a, b: F.greatest(a, b)))
+            found = materialize(found.withColumn("_own", own).select("_row", "_vec", larger.alias(into)))
+    return categories, keyed.join(found.drop("_vec"), "_row").drop("_row")
 
 
 def embed_prompts(
@@ -85,8 +98,7 @@ def semantic_match(
             "semantic_matches": F.array().cast("array<struct<category:string,similarity:double>>"),
             "semantic_flags": F.array().cast("array<string>"), "max_similarity": F.lit(0.0),
         })
-    categories, best = category_similarity(bank, F.col(vec))
-    df = df.withColumn("_best", best)
+    categories, df = with_category_similarity(df, bank, vec, "_best")
     pairs = F.array(*[
         F.struct(F.lit(c).alias("category"), F.get(F.col("_best"), i).alias("similarity"))
         for i, c in enumerate(categories)

@@ -69,6 +69,16 @@ def test_fold_equals_step_function(spark, mode, hot_rows, chunk_rows):
 GATE = "request_id long, user_id string, ts_us long, risk_block boolean, recursive_detected boolean, cost_score int, proof int, defender_risk double, deny_reason string"
 
 
+def test_hot_users_with_costs_beyond_the_tables(spark):
+    events = [(i, u, t, k, c * 40 - 300 if u == "hot" else c) for i, u, t, k, c in random_events(9, 900)]
+    events = [(i, "hot" if i % 2 else u, t, k, c * 40 - 300 if i % 2 else c) for i, u, t, k, c in events]
+    df = spark.createDataFrame(events, "request_id long, user_id string, ts_us long, kind string, cost double")
+    cols = ("request_id", *R.OUTPUTS)
+    wanted = sorted((tuple(r[c] for c in cols) for r in R.reputation_fold(df).collect()), key=str)
+    hot = replace(Params(), hot_rows=300, chunk_rows=60)
+    assert sorted((tuple(r[c] for c in cols) for r in R.reputation_fold(df, params=hot).collect()), key=str) == wanted
+
+
 @pytest.mark.parametrize("hot_rows", [10**9, 100])
 def test_gate_equals_step_function(spark, hot_rows):
     rng, clock, rows = random.Random(9), {}, []

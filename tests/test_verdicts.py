@@ -102,11 +102,19 @@ def test_exemplar_bank(spark):
     assert exemplar_bank(spark).count() == 31 == sum(map(len, EXEMPLARS.values()))
 
 
-def test_bank_size_is_checked(spark, monkeypatch):
-    monkeypatch.setattr(similarity, "MAX_EXEMPLARS", 1)
-    bank = spark.createDataFrame([("A", [1.0]), ("B", [1.0])], "category string, embedding array<double>")
-    with pytest.raises(ValueError):
-        similarity.load_bank(bank)
+def test_a_bank_of_any_size(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    names = ["A", "B", "C"]
+    bank_rows = [(names[0 if i < 40 else 1 + i % 2], rng.normal(size=4).tolist()) for i in range(90)] + [("B", [0.0] * 4)]
+    vectors = [(i, rng.normal(size=4).tolist(), -1) for i in range(50)] + [(50, None, -1), (51, [1.0], -1), (52, [0.0] * 4, -1)] + [(0, [1.0, 0.0, 0.0, 0.0], -1)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, _row int").drop("_row").repartition(3)
+    bank = spark.createDataFrame(bank_rows, "category string, embedding array<double>").repartition(4)
+    columns = ("vec_id", "semantic_flags", "semantic_matches", "max_similarity")
+    whole = sorted(str([r[c] for c in columns]) for r in similarity.semantic_match(df, bank).collect())
+    monkeypatch.setattr(similarity, "MOST_HELD", 7)
+    dealt = similarity.semantic_match(df, bank)
+    assert sorted(str([r[c] for c in columns]) for r in dealt.collect()) == whole and "A" in str(whole)
+    assert dealt.columns == ["vec_id", "embedding", "semantic_matches", "semantic_flags", "max_similarity"]
 
 
 def test_challenge_and_budget(spark):

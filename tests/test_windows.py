@@ -2,7 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from promptwatch import Params
 from promptwatch.operators import anchored, correlation
@@ -52,6 +55,32 @@ def test_anchored_window(rows, length, hot_rows):
     assert {r.request_id: (r.window_start, r.window_index) for r in out.collect()} == walked(length)
 
 
+@pytest.mark.parametrize("batch", [1, 7, 100])
+def test_windows_go_on_over_batches(spark, rows, batch):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        out = anchored.anchored_window(rows, ["k"], "ts_us", 13, "request_id")
+        assert {r.request_id: (r.window_start, r.window_index) for r in out.collect()} == walked(13)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 30), min_size=1, max_size=12), min_size=1, max_size=6), st.integers(1, 12))
+def test_openers_of_a_batch(keys, length):
+    keys = [sorted(k) for k in keys]
+    t, new = np.array(sum(keys, [])), np.concatenate([[True] + [False] * (len(k) - 1) for k in keys])
+    got = anchored.window_openers(t, new, np.flatnonzero(new), length)
+    want = []
+    for times in keys:
+        start = None
+        for x in times:
+            want.append(start is None or x >= start + length)
+            start = x if want[-1] else start
+    assert got.tolist() == want
+
+
 @pytest.mark.parametrize("order", [None, ["request_id"]])
 def test_running_sum(rows, order):
     out = running_sum(rows.selectExpr("*", "request_id % 5 AS v"), ["k"], "ts_us", ["v"], 97, order)
