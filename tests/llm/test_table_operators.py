@@ -161,14 +161,49 @@ def test_top_k_with_ties_odd_vectors_and_small_blocks(spark, monkeypatch):
     assert V.top_products(df.limit(0)).collect() == [] and V.top_products(df.where("vec_id = 150")).collect() == []
 
 
+@pytest.mark.parametrize("scale", [1e3, 3e8, 1e12])
+def test_top_k_of_large_components(spark, scale):
+    """Products beyond the doubles' exact range, near the end of 64 bits, and beyond it."""
+    rng = np.random.default_rng(8)
+    rows = [(i, (scale * rng.normal(size=3)).tolist()) for i in range(120)] + [(500, [1e300, 0.0, 0.0])] * (scale == 1e12)
+    top = 2**63 - 1
+    floor = lambda x: max(-top - 1, min(top, int(np.floor(256.0 * x))) if abs(x) < 1e200 else top)
+    v = {i: [floor(x) for x in e] for i, e in rows}
+    want = []
+    for i in (i for i in v if i % 50 == 0):
+        best = sorted((-max(-top - 1, min(top, sum(a * b for a, b in zip(v[i], v[j])))), j) for j in v if j != i)[:5]
+        want += [(i, rank, j, -s) for rank, (s, j) in enumerate(best, 1)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in V.top_products(df).collect()) == sorted(want)
+
+
+def test_the_index_prunes_clustered_vectors(spark, monkeypatch):
+    monkeypatch.setattr(V, "RING_ROWS", 64)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 16))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    rows = [(i, (centres[i % 40] + rng.normal(scale=0.02, size=16)).tolist()) for i in range(4000)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(4)
+    got = V.nearest(df, F.col("id") % 50 == 0, counted=True).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == plain_top(rows, 5)
+    share = np.mean([r["compared"] for r in got]) / len(rows)
+    assert share < 0.3
+    # what is not asked of the clusters is asked of the distances: one far direction has its own answer
+    assert len({r["query_id"] for r in got}) == 80
+
+
 def test_bounds_are_never_below_the_score():
     rng = np.random.default_rng(5)
     x, q = rng.integers(-300, 300, (400, 8)), rng.integers(-300, 300, (20, 8))
-    pivots = V.choose_pivots(x[:50].astype(float), 4)
-    gap = np.linalg.norm(x[:, None] - pivots[None], axis=2)
-    pivot, far, longest = gap.argmin(axis=1), gap.min(axis=1), np.linalg.norm(x, axis=1)
-    best = V.bounds(q, pivots, pivot, far, far, longest)  # every row a ring of its own
-    assert (best >= q @ x.T).all()
+    longest = float(np.linalg.norm(x, axis=1).max())
+    lifted, asked = V.with_added(x, longest, False), V.with_added(q, longest, True)
+    far = ((asked[:, None] - lifted[None]) ** 2).sum(axis=2)
+    squared = (q * q).sum(axis=1).astype(float)
+    assert np.allclose(far, squared[:, None] + longest**2 - 2 * q @ x.T)  # products are distances
+    pivots = V.choose_pivots(lifted[:50], 4)
+    gaps, one = V.distances(lifted, pivots), np.ones(len(x), int)
+    index = V.Index(pivots, longest, np.arange(len(x)), gaps, gaps, one, 0 * one, one)  # every row a ring of its own
+    assert (V.bounds(V.distances(asked, pivots), squared, index) >= q @ x.T).all()
 
 
 # -- near duplicates --------------------------------------------------------------------------------------
