@@ -1,7 +1,7 @@
 """Languages of a document as a mixture whose shares expectation-maximisation estimates.
 
 Training counts letter trigrams by language over all labelled training rows (hashed into a fixed number of buckets,
-so the model's size is bounded by buckets x languages). For a document, each word is taken to come from one
+so the model's size is bounded by buckets x languages, of which only the trigrams that a language has are kept). For a document, each word is taken to come from one
 language; its likelihood under a language is the product of its trigrams' probabilities. EM estimates the shares of
 all languages. The set of languages is the one with the best penalised likelihood: a set of k costs
 ``penalty * (k - 1) / 2 * log(words)``. EM on the full set gives a bound of every set's likelihood, wherever it stops, so
@@ -26,7 +26,8 @@ from promptwatch.llm.shared import fresh, kept, text_chunks
 
 BITS = 16
 CHUNK_BYTES = 1 << 19
-MAX_LANGUAGES = 500
+#: Languages whose tables are held as they are; of more, only the trigrams that they have, and chunks of text get smaller.
+DENSE_LANGUAGES = 256
 
 
 def _letters() -> np.ndarray:
@@ -58,14 +59,37 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 class LanguageModel:
-    """Names in order, and log-probabilities by (language, trigram bucket)."""
+    """Names in order, and log-probabilities by language and trigram bucket: of the trigrams it has, and of any other.
 
-    def __init__(self, names: list[str], counts: np.ndarray, smoothing: float = 0.5):
+    Tables grow with the trigrams that were seen, whatever the number of labels.
+    """
+
+    def __init__(self, names: list[str], counts: list[tuple[np.ndarray, np.ndarray]], smoothing: float = 0.5):
         self.names = names
-        total = counts.sum(axis=1, keepdims=True)
+        size, seen = 1 << BITS, np.zeros(1 << BITS, bool)
+        self.tables = []
+        for bucket, n in counts:
+            total = np.log(n.sum() + smoothing * size)
+            self.tables.append((bucket.astype(np.uint16), (np.log(n + smoothing) - total).astype(np.float32), np.float32(np.log(smoothing) - total)))
+            seen[bucket] = True
         #: Log-probability of a trigram in a text of no known language: as if twice those of all languages were equally frequent.
-        self.noise = np.full(counts.shape[1], -np.log(max(2, 2 * int(counts.any(axis=0).sum()))), np.float32)
-        self.logp = np.log((counts + smoothing) / (total + smoothing * counts.shape[1])).astype(np.float32)
+        self.noise = float(-np.log(max(2, 2 * int(seen.sum()))))
+
+
+def _dense(table: tuple[np.ndarray, np.ndarray, np.float32]) -> np.ndarray:
+    bucket, logp, other = table
+    row = np.full(1 << BITS, other, np.float32)
+    row[bucket] = logp
+    return row
+
+
+def _held(tables: list[tuple]) -> list:
+    """Tables as whole rows where they are few."""
+    return [_dense(t) for t in tables] if len(tables) <= DENSE_LANGUAGES else tables
+
+
+def chunk_bytes(languages: int) -> int:
+    return max(1, CHUNK_BYTES * DENSE_LANGUAGES // max(DENSE_LANGUAGES, languages))
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
@@ -92,14 +116,12 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageMo
         .mapInArrow(count, "lang string, bucket int, n bigint")
         .groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     )
-    got = rows.toPandas()  # buckets x languages at most
+    got = rows.toPandas().sort_values("lang", kind="stable")  # buckets x languages at most
     names = sorted(set(got["lang"]))
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"{len(names)} languages; the model is meant for {MAX_LANGUAGES} at most")
-    counts = np.zeros((len(names), 1 << BITS))
-    place = {n: i for i, n in enumerate(names)}
-    counts[got["lang"].map(place).to_numpy(int), got["bucket"].to_numpy(int)] = got["n"].to_numpy(float)
-    return LanguageModel(names, counts)
+    cut = np.searchsorted(got["lang"].to_numpy(object), names) if names else []
+    parts = zip(cut, [*cut[1:], len(got)])
+    bucket, n = got["bucket"].to_numpy(np.int64), got["n"].to_numpy(float)
+    return LanguageModel(names, [(bucket[a:b], n[a:b]) for a, b in parts])
 
 
 def estimate(
@@ -140,15 +162,19 @@ def estimate(
     return shares, likelihood, bound
 
 
-def _word_likelihoods(texts: list[str], logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-likelihoods (word, language) and the number of words of each text."""
+def _word_likelihoods(texts: list[str], logp: list, noise: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihoods (word, language) and the number of words of each text; ``noise`` is one more language."""
     bucket, first, words = _trigrams(texts)
     if not len(first):
         return np.zeros((0, len(logp))), words
-    return np.stack([np.add.reduceat(row[bucket], first, dtype=np.float64) for row in logp], axis=1), words
+    rows = (row if isinstance(row, np.ndarray) else _dense(row) for row in logp)
+    columns = [np.add.reduceat(row[bucket], first, dtype=np.float64) for row in rows]
+    if noise is not None:
+        columns.append(np.diff(first, append=len(bucket)) * noise)
+    return np.stack(columns, axis=1), words
 
 
-def mixtures(texts: list[str], logp: np.ndarray, penalty: float) -> list[tuple[np.ndarray, np.ndarray]]:
+def mixtures(texts: list[str], logp: list, penalty: float) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each text the chosen languages (indices, largest share first) and their shares; none without a letter."""
     none = (np.zeros(0, int), np.zeros(0))
     out = [none] * len(texts)
@@ -181,9 +207,9 @@ def mixtures(texts: list[str], logp: np.ndarray, penalty: float) -> list[tuple[n
     return out
 
 
-def foreign_words(texts: list[str], logp: np.ndarray, noise: np.ndarray) -> list[tuple[int, float]]:
+def foreign_words(texts: list[str], logp: list, noise: float) -> list[tuple[int, float]]:
     """For each text its words and how many of them, in the mixture with all languages, fall to ``noise``."""
-    like, words = _word_likelihoods(texts, np.vstack([logp, noise[None]]))
+    like, words = _word_likelihoods(texts, logp, noise)
     live = np.flatnonzero(words)
     foreign = np.zeros(len(texts))
     if len(live):
@@ -196,14 +222,15 @@ RESULT = "struct<lang_pred:string,score:double,languages:array<string>,shares:ar
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", into: str = "language", penalty: float = 2.0) -> DataFrame:
     """Append ``into``: predicted language, its share, and the chosen set of languages with their shares."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.names, model.logp))
+    shared = docs.sparkSession.sparkContext.broadcast((model.names, model.tables))
 
     @F.arrow_udf(RESULT)
     def infer(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        names, logp = shared.value
+        names, tables = shared.value
+        logp = _held(tables)
         for column in batches:
             rows = []
-            for _, _, texts in text_chunks(column, CHUNK_BYTES):
+            for _, _, texts in text_chunks(column, chunk_bytes(len(logp))):
                 for at, share in mixtures(texts, logp, penalty):
                     langs = [names[i] for i in at]
                     rows.append({
@@ -232,14 +259,15 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     """
     model = train(docs.where(~held_out()))
     own = fresh(docs, "__words")
-    shared = docs.sparkSession.sparkContext.broadcast((model.logp, model.noise))
+    shared = docs.sparkSession.sparkContext.broadcast((model.tables, model.noise))
 
     @F.arrow_udf("boolean")
     def known(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        logp, noise = shared.value
+        tables, noise = shared.value
+        logp = _held(tables)
         for column in batches:
             stays: list[bool] = []
-            for _, _, texts in text_chunks(column, CHUNK_BYTES):
+            for _, _, texts in text_chunks(column, chunk_bytes(len(logp))):
                 stays += [len(logp) > 0 and n > 0 and 2 * foreign - 1 <= n for n, foreign in foreign_words(texts, logp, noise)]
             yield pa.array(stays, pa.bool_())
 
