@@ -5,9 +5,9 @@ Every (lang, source) group has a smoothed distribution over the terms that its l
 its language most by the terms with the largest such part; p and q are whole numbers in billionths, so all is exact.
 
 Late string materialization: one pass over the texts writes, for each piece of a task's documents, a row for each group
-and term digest with its count, its document count and the least and greatest string behind the digest. The counts that
-are shuffled are those of 64-bit digests alone; the string columns stay in the written table. They are read again for
-digests that reach ``least_docs`` at all (whatever else shares a digest cannot be kept either), and where the least and
+and term digest with its count and its document count, and a row for each digest with the least and greatest string
+behind it. The counts that are shuffled are those of 64-bit digests alone; the strings stay in the written table. They
+are read again for digests that reach ``least_docs`` at all (whatever else shares a digest cannot be kept either), and where the least and
 the greatest string differ, two terms share a digest: then a second pass counts the texts' terms of those digests by their
 strings, and they replace the digest's counts. Terms get their text back last, only those that are put out or tie for it.
 
@@ -41,7 +41,7 @@ UNIT = 1_000_000_000
 #: Terms of a block, and groups of a block, at most: a task's matrices hold their product.
 BLOCK_TERMS, BLOCK_GROUPS = 1024, 128
 #: Bytes of text that are counted together, and rows that a task holds before it writes them.
-PIECE_BYTES, HELD_ROWS = 4 << 20, 1 << 18
+PIECE_BYTES, HELD_ROWS = 4 << 20, 1 << 20
 
 _LOWER = lower_ascii()
 _WORD = np.zeros(256, bool)
@@ -65,10 +65,15 @@ class _Words:
     def sort(self, order: np.ndarray) -> None:
         self.start, self.size, self.digest, self.doc = (x[order] for x in (self.start, self.size, self.digest, self.doc))
 
-    def string(self, k: int) -> bytes:
-        return self.data[self.start[k] : self.start[k] + self.size[k]].tobytes()
+    def strings(self, at: np.ndarray) -> pa.Array:
+        """The words at these places."""
+        size = self.size[at]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        inside = np.arange(ends[-1]) - np.repeat(ends[:-1], size)
+        data = self.data[np.repeat(self.start[at], size) + inside]
+        return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
 
-    def ends(self, cut: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    def ends(self, cut: np.ndarray) -> tuple[pa.Array, pa.Array]:
         """Least and greatest string of each run of words from ``cut``; runs of one string are told without a loop."""
         run = np.diff(cut, append=len(self.start))
         first = np.repeat(cut, run)
@@ -82,12 +87,15 @@ class _Words:
                 inside = np.arange(size)
                 same = self.data[self.start[k][:, None] + inside] == self.data[self.start[first[k]][:, None] + inside]
                 odd[k[~same.all(axis=1)]] = True
-        low = [self.string(k) for k in cut.tolist()]
+        low = self.strings(cut)
+        if not odd.any():
+            return low, low
+        low = low.to_pylist()
         high = list(low)
         for r in np.unique(np.searchsorted(cut, np.flatnonzero(odd), side="right") - 1).tolist():
-            own = {self.string(k) for k in range(int(cut[r]), int(cut[r] + run[r]))}
+            own = self.strings(np.arange(cut[r], cut[r] + run[r])).to_pylist()
             low[r], high[r] = min(own), max(own)
-        return low, high
+        return pa.array(low, pa.binary()), pa.array(high, pa.binary())
 
 
 def _edges(*columns: np.ndarray) -> np.ndarray:
@@ -98,26 +106,34 @@ def _edges(*columns: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(new) + 1])
 
 
-def _merged(parts: list[pa.Table]) -> pa.Table:
-    """Rows of the same group and digest as one."""
-    all_rows = pa.concat_tables(parts)
-    out = all_rows.group_by(["lang", "source", "digest"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum"), ("low", "min"), ("high", "max")])
-    return out.select(["lang", "source", "digest", "n_sum", "docs_sum", "low_min", "high_max"]).rename_columns(_COUNTED.names).cast(_COUNTED)
+def _summed(parts: list[pa.Table]) -> pa.Table:
+    """Counts of the same group and digest as one."""
+    out = pa.concat_tables(parts).group_by(["lang", "source", "digest"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
+    return out.select(["lang", "source", "digest", "n_sum", "docs_sum"]).rename_columns(_COUNTED.names[:5])
+
+
+def _spanned(parts: list[pa.Table]) -> pa.Table:
+    """Least and greatest string of each digest."""
+    out = pa.concat_tables(parts).group_by("digest", use_threads=False).aggregate([("low", "min"), ("high", "max")])
+    return out.select(["digest", "low_min", "high_max"]).rename_columns(["digest", "low", "high"])
+
+
+def _rows(table: pa.Table) -> list[pa.RecordBatch]:
+    """Batches with all columns; counts have no strings, and strings no count."""
+    columns = [table.column(f.name).cast(f.type) if f.name in table.column_names else pa.nulls(table.num_rows, f.type) for f in _COUNTED]
+    return pa.table(columns, schema=_COUNTED).combine_chunks().to_batches()
 
 
 def _counted(bits: int, exact: bool):
-    """Task function: rows of documents to counts by group and digest; by string too if ``exact``."""
+    """Task function: rows of documents to counts by group and digest, and the digests' strings; if ``exact``, counts by string."""
 
-    def piece(words: _Words, lang: list[str], source: list[str]) -> pa.Table:
+    def piece(words: _Words, lang: list[str], source: list[str]) -> tuple[pa.Table, pa.Table]:
         names = sorted(set(zip(lang, source)))
         number = {g: i for i, g in enumerate(names)}
-        of_doc = np.array([number[g] for g in zip(lang, source)], np.int64)
-        if exact:
-            text = np.array([words.string(k) for k in range(len(words.start))], object)
-            string = np.unique(text, return_inverse=True)[1] if len(text) else np.zeros(0, np.int64)
-        else:
-            string = np.zeros(len(words.start), np.int64)
-        group = of_doc[words.doc]
+        group = np.array([number[g] for g in zip(lang, source)], np.int64)[words.doc]
+        string = np.zeros(len(words.start), np.int64)
+        if exact and len(string):
+            string = np.unique(np.array(words.strings(np.arange(len(string))).to_pylist(), object), return_inverse=True)[1]
         # by digest (and string) for the strings, then by group within
         order = np.lexsort((words.doc, group, string, words.digest))
         words.sort(order)
@@ -128,31 +144,33 @@ def _counted(bits: int, exact: bool):
         new_doc = np.zeros(len(group), np.int64)
         new_doc[_edges(words.digest, string, group, words.doc)] = 1
         n = np.diff(rows, append=len(group))
-        docs = np.add.reduceat(new_doc, rows) if len(rows) else n
-        term = pa.array(np.searchsorted(terms, rows, side="right") - 1)
         own = pa.array(group[rows])
-        return pa.table([
-            pa.array([g[0] for g in names], pa.string()).take(own), pa.array([g[1] for g in names], pa.string()).take(own),
-            pa.array(words.digest[rows]), pa.array(n, pa.int64()), pa.array(docs, pa.int64()),
-            pa.array(low, pa.binary()).take(term), pa.array(high, pa.binary()).take(term),
-        ], schema=_COUNTED)
+        counts = pa.table({
+            "lang": pa.array([g[0] for g in names], pa.string()).take(own), "source": pa.array([g[1] for g in names], pa.string()).take(own),
+            "digest": words.digest[rows], "n": n, "docs": np.add.reduceat(new_doc, rows) if len(rows) else n,
+        })
+        if exact:
+            counts = counts.append_column("low", low.take(pa.array(np.searchsorted(terms, rows, side="right") - 1)))
+        return counts, pa.table({"digest": words.digest[terms], "low": low, "high": high})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
+        held: dict[object, list[pa.Table]] = {_summed: [], _spanned: []}
         for batch in batches:
             for a, b, texts in text_chunks(batch.column(0), PIECE_BYTES):
                 lang, source = (batch.column(c).slice(a, b - a).to_pylist() for c in (1, 2))
-                table = piece(_Words(texts, bits), lang, source)
+                counts, strings = piece(_Words(texts, bits), lang, source)
                 if exact:
-                    yield from table.to_batches()
+                    yield from _rows(counts)
                     continue
-                held.append(table)
-                if sum(t.num_rows for t in held) > HELD_ROWS:
-                    held = [_merged(held)]
-                    if held[0].num_rows > HELD_ROWS // 2:
-                        yield from held.pop().combine_chunks().to_batches()
-        if held:
-            yield from _merged(held).combine_chunks().to_batches()
+                for (merge, parts), table in zip(held.items(), (counts, strings)):
+                    parts.append(table)
+                    if sum(t.num_rows for t in parts) > HELD_ROWS:
+                        parts[:] = [merge(parts)]
+                        if parts[0].num_rows > HELD_ROWS // 2:
+                            yield from _rows(parts.pop())
+        for merge, parts in held.items():
+            if parts:
+                yield from _rows(merge(parts))
 
     return run
 
@@ -180,18 +198,18 @@ def kept_counts(docs: DataFrame, least_docs: int = LEAST_DOCS, bits: int = 64) -
     groups = materialize(plain.select("lang", "source").distinct().withColumn("gid", F.monotonically_increasing_id()))
     counted = materialize(plain.mapInArrow(_counted(bits, False), _ROWS))
 
-    def by_group(rows: DataFrame, *key: str) -> DataFrame:
-        slim = rows.join(groups, ["lang", "source"]).select("gid", "lang", *key, "n", "docs")
-        return slim.groupBy("gid", "lang", *key).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-
     def often(rows: DataFrame, *key: str) -> DataFrame:
+        """Counts by group of terms that are in enough documents of their language, all from one exchange by term."""
+        slim = rows.join(groups, ["lang", "source"]).select("gid", "lang", *key, "n", "docs").repartition("lang", *key)
+        summed = slim.groupBy("gid", "lang", *key).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
         held = W.partitionBy("lang", *key)  # a row for each source of the language
-        return rows.withColumn("all_docs", F.sum("docs").over(held)).where(F.col("all_docs") >= least_docs).drop("all_docs", "docs")
+        return summed.withColumn("all_docs", F.sum("docs").over(held)).where(F.col("all_docs") >= least_docs).drop("all_docs", "docs")
 
-    counts = materialize(often(by_group(counted, "digest"), "digest"))
+    counts = materialize(often(counted.where("n is not null"), "digest"))
     wanted = counts.select("digest").distinct()
     strings = materialize(
-        counted.select("digest", "low", "high").join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        counted.where("n is null").select("digest", "low", "high").join(wanted, "digest", "left_semi")
+        .groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     )
     shared = materialize(strings.where("low <> high").select("digest"))
     none = F.lit(b"").alias("exact")
@@ -199,7 +217,7 @@ def kept_counts(docs: DataFrame, least_docs: int = LEAST_DOCS, bits: int = 64) -
         texts = strings.select("digest", none, F.col("low").cast("string").alias("text"))
         return groups, counts.select("gid", "lang", "digest", none, "n"), texts
     by_string = plain.mapInArrow(_counted(bits, True), _ROWS).join(shared, "digest", "left_semi").withColumn("exact", F.col("low"))
-    split = materialize(often(by_group(by_string, "digest", "exact"), "digest", "exact"))
+    split = materialize(often(by_string, "digest", "exact"))
     alone = counts.join(shared, "digest", "left_anti").select("gid", "lang", "digest", none, "n")
     texts = strings.where("low = high").select("digest", none, F.col("low").cast("string").alias("text"))
     apart = split.select("digest", "exact", F.col("exact").cast("string").alias("text")).distinct()
