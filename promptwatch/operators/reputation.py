@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from promptwatch.functions.policy import round3, trust_tier
 from promptwatch.operators.fold import ordered_fold
+from promptwatch.operators.ranking import global_rank
 from promptwatch.params import HOUR_US, SECOND_US, Params
 from promptwatch.sources.workspace import materialize
 
@@ -155,7 +156,8 @@ def reputation_board(
     now = now_us if not isinstance(now_us, int) else F.lit(now_us)
     alive = F.col("trust_score").isNotNull() & (now - F.col("saved_us") < params.reputation_ttl_s * SECOND_US)
     banned = blacklist.filter("kind = 'user'").select(
-        F.col("key").alias(user), F.lit(True).alias("_bl"), F.col("reason").alias("blacklist_reason")
+        F.col("key").alias(user), F.lit(True).alias("_bl"), F.col("reason").alias("blacklist_reason"),
+        "triggered_by", F.col("ts_us").alias("blacklisted_us"),
     )
     df = states.withColumn("_alive", alive).join(banned, user, "left")
     listed = F.coalesce(F.col("_bl"), F.lit(False))
@@ -172,9 +174,10 @@ def reputation_board(
         live("avg_cost_score", 0.0).alias("avg_cost_score"),
         live("last_seen_us", 0).alias("last_seen_us"),
         listed.alias("is_blacklisted"),
-        "blacklist_reason",
+        "blacklist_reason", "triggered_by", "blacklisted_us",
     )
 
 
 def board_sort(board: DataFrame, user: str = "user_id") -> DataFrame:
-    return board.orderBy(F.desc("is_blacklisted"), "trust_score", user)
+    """The board with each user's ``position``: blacklisted users first, then by trust, lowest first."""
+    return global_rank(board, [F.desc("is_blacklisted"), F.asc("trust_score"), F.asc(user)])

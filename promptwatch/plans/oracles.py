@@ -414,7 +414,7 @@ states AS (SELECT * FROM rep QUALIFY row_number() OVER (PARTITION BY user_id ORD
 board AS (SELECT s.user_id, floor(s.trust * 1000 + 0.5) / 1000 AS trust_score,
   CASE WHEN c.key IS NOT NULL THEN 'blacklisted' ELSE {TIER.format(t='s.trust')} END AS tier,
   s.abuses AS abuse_count, s.total AS total_requests, s.avg_cost AS avg_cost_score, s.last_seen AS last_seen_us,
-  c.key IS NOT NULL AS is_blacklisted, c.reason AS blacklist_reason
+  c.key IS NOT NULL AS is_blacklisted, c.reason AS blacklist_reason, c.triggered_by, c.ts_us AS blacklisted_us
   FROM states s LEFT JOIN current_list c ON c.kind = 'user' AND c.key = s.user_id)"""
 ORACLES.update({
     "reputation_fold": f"WITH RECURSIVE {REP} SELECT request_id, round(trust_read, 3) AS trust_read, round(trust, 6) AS trust_score, "
@@ -422,7 +422,10 @@ ORACLES.update({
     "reputation_as_of": f"WITH RECURSIVE {REP} SELECT request_id, user_id, round(trust_read, 3) AS trust_read, {TIER.format(t='trust_read')} AS tier FROM rep WHERE rn > 0",
     "avg_cost_running": f"WITH RECURSIVE {REP} SELECT request_id, round(avg_cost, 2) AS avg_cost_score FROM rep WHERE rn > 0",
     "blacklist_candidates": f"WITH RECURSIVE {REP} SELECT DISTINCT user_id FROM rep WHERE kind = 'abuse' AND trust <= 0.05",
-    "reputation_board": f"WITH RECURSIVE {BOARD} SELECT * FROM board",
+    "reputation_board": f"WITH RECURSIVE {BOARD} SELECT * EXCLUDE (triggered_by, blacklisted_us) FROM board",
+    "board_sort": f"WITH RECURSIVE {BOARD} SELECT row_number() OVER (ORDER BY is_blacklisted DESC, trust_score, user_id) AS position, "
+                  "user_id, is_blacklisted, trust_score FROM board",
+    "board_reasons": f"WITH RECURSIVE {BOARD} SELECT user_id, blacklist_reason AS reason, triggered_by, blacklisted_us FROM board WHERE is_blacklisted",
     "reputation_kpis": f"WITH RECURSIVE {BOARD} SELECT count(*) AS users, count(*) FILTER (tier = 'trusted') AS trusted, "
                        "count(*) FILTER (is_blacklisted) AS blacklisted, round(avg(trust_score), 3) AS avg_trust FROM board",
     "user_filter": f"WITH RECURSIVE {BOARD} SELECT user_id, tier FROM board WHERE contains(lower(user_id), '1')",
@@ -580,7 +583,26 @@ def from_report(body: str, *ctes: str) -> str:
     return f"WITH RECURSIVE {', '.join([REPORT, *ctes])} {body}"
 
 
+# The same on all evidence: vectors by place, a cost model of given weights, proofs by id.
+_STEEP = "(-1.5 + 0.06 * encoding_score + 0.05 * least(expansion_factor * 2, 100) + 0.05 * obfuscation_score + 0.03 * entropy_score)"
+_EVIDENT = f"""{REQUESTS}, {SIMS}, {VERDICTS}, {EXT}, {signals('bank', 'k')},
+placed AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS place, count(*) OVER () AS many FROM pr),
+semantic AS (SELECT place, many, list(category) FILTER (s >= 0.30) AS found, round(max(s), 4) AS top FROM placed JOIN best USING (vec_id) GROUP BY place, many),
+risk AS (
+  SELECT r.request_id, r.ts_us, r.user_id, r.client_ip, r.prompt, f.multiplier,
+         CAST(round_even(1 / (1 + exp(-{_STEEP}::DOUBLE)) * 100, 0) AS INTEGER) AS cost_score,
+         (f.a_rec OR f.a_rep OR f.multiplier > 5) AS recursive_detected, f.rule_flags, e.ext_flags, coalesce(m.found, []) AS sem_flags,
+         list_sort(list_distinct(list_concat(list_concat(f.rule_flags, e.ext_flags), coalesce(m.found, [])))) AS flags,
+         greatest({RULE_SCORE}, e.ext_score, CASE WHEN len(m.found) > 0 THEN CAST(round_even(top * 100, 0) AS INTEGER) ELSE 0 END) AS risk_score
+  FROM requests r JOIN flagged f ON f.k = r.request_id % 28 JOIN ext e USING (request_id)
+  JOIN semantic m ON m.place = r.request_id % m.many)"""
+EVIDENCE = REPORT.replace(RISK, _EVIDENT).replace("-1 AS proof", "CAST(r.request_id % 3 - 1 AS INTEGER) AS proof").replace(
+    "e.rule_flags, e.ext_flags,", "e.rule_flags, e.sem_flags, e.ext_flags,")
+
 ORACLES.update({
+    "protection_report_evidence": f"WITH RECURSIVE {EVIDENCE} SELECT {REPORT_COLUMNS} FROM report",
+    "detector_comparison_evidence": f"WITH RECURSIVE {EVIDENCE} SELECT rule_hit, semantic_hit, ext_hit, count(*) AS n FROM (SELECT len(rule_flags) > 0 AS rule_hit, "
+                                    "len(sem_flags) > 0 AS semantic_hit, len(ext_flags) > 0 AS ext_hit FROM report WHERE exit <> 'auth') GROUP BY CUBE (rule_hit, semantic_hit, ext_hit)",
     "protection_report": from_report(f"SELECT {REPORT_COLUMNS} FROM report"),
     "protection_report_repeated_ids": from_report(
         "SELECT request_id % 1000 AS request_id, user_id, cost_score, risk_score, exit, blocked, status FROM report"
@@ -666,8 +688,8 @@ ORACLES.update({
       t AS (SELECT label, (risky > 0.5)::INTEGER AS pred FROM rated WHERE NOT taught),
       c AS (SELECT l AS label, count(*) FILTER (label = l AND pred = l)::DOUBLE AS tp, count(*) FILTER (pred = l) AS np, count(*) FILTER (label = l) AS support,
                    count(*) FILTER (label = pred) / count(*)::DOUBLE AS accuracy FROM t, (VALUES (0), (1)) AS x(l) GROUP BY l),
-      m AS (SELECT *, tp / np AS precision, tp / support AS recall FROM c)
-      SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(2 * precision * recall / (precision + recall), 6) AS f1,
+      m AS (SELECT *, coalesce(tp / nullif(np, 0), 0) AS precision, coalesce(tp / nullif(support, 0), 0) AS recall FROM c)
+      SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 6) AS f1,
              round(accuracy, 6) AS accuracy, support FROM m""",
 })
 
@@ -682,6 +704,8 @@ ORACLES.update({
     "stream_reputation_resumed": f"WITH RECURSIVE {REP} SELECT request_id, round(trust_read, 3) AS trust_read, round(trust, 6) AS trust_score, "
                                  "total AS total_requests, abuses AS abuse_count FROM rep "
                                  "WHERE rn > 0 AND ts_us >= (SELECT (epoch_us(min(ts)) + epoch_us(max(ts))) // 2 FROM events)",
+    "stream_request_log": "SELECT event_id AS request_id, epoch_us(ts) AS ts_us, CAST(user_id AS VARCHAR) AS user_id FROM events "
+                          "ORDER BY ts DESC, event_id DESC LIMIT 200",
     "late_data": """WITH timed AS (
       SELECT event_id, epoch_us(ts) AS t, epoch_us(ts) + (event_id * 7919 % 3000) * 1000000 + CASE WHEN event_id % 97 = 0 THEN 432000000000 ELSE 0 END AS arrival FROM events),
     whole AS (SELECT min(arrival) AS low, max(arrival) AS high, greatest(4, count(*) // 1000000) AS n FROM timed),

@@ -23,6 +23,7 @@ from promptwatch.functions import verdicts as V
 from promptwatch.operators import anchored, correlation, gate, reputation, similarity
 from promptwatch.operators.prefix import previous_in_key
 from promptwatch.operators.proof import with_proofs
+from promptwatch.operators.ranking import global_rank
 from promptwatch.params import DAY_US, HOUR_US, Params
 from promptwatch.plans import protect as P
 from promptwatch.plans import rollups as U
@@ -32,7 +33,7 @@ from promptwatch.sources import control as CT
 from promptwatch.sources import requests as RQ
 from promptwatch.sources.workspace import materialize, workspace_path
 from promptwatch.streaming import stateful as ST
-from promptwatch.streaming.run import run_available, run_totals, split_late
+from promptwatch.streaming.run import keep_newest, newest, run_available, run_totals, split_late
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -554,13 +555,25 @@ def _board(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def reputation_board(spark, sf):
-    b = reputation.board_sort(_board(spark, sf))
-    return b.select(
+    return _board(spark, sf).select(
         "user_id", "trust_score", "tier", "abuse_count", "total_requests", "avg_cost_score", "last_seen_us",
         "is_blacklisted", "blacklist_reason",
     )
 
 
+@query
+def board_sort(spark, sf):
+    """The order of the board as a column."""
+    return reputation.board_sort(_board(spark, sf)).select("position", "user_id", "is_blacklisted", "trust_score")
+
+
+@query
+def board_reasons(spark, sf):
+    """Why, by whom and since when users are blacklisted."""
+    listed = _board(spark, sf).filter("is_blacklisted")
+    return listed.select("user_id", F.col("blacklist_reason").alias("reason"), "triggered_by", "blacklisted_us")
+
+
 @query
 def reputation_kpis(spark, sf):
     return U.reputation_kpis(_board(spark, sf))
@@ -705,6 +718,24 @@ def protection_reports(spark: SparkSession, sf: str) -> DataFrame:
     return P.protect(protection_requests(spark, sf), B.control_log(spark), GATE)
 
 
+#: A cost model with weights of our own, under which the probe prompts reach every cost band.
+STEEP_MODEL = M.CostModel(list(C.FEATURES), [0.0] * 4, [1.0] * 4, [0.06, 0.05, 0.05, 0.03], -1.5, 0, 0)
+
+
+def evidence_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports on all the evidence there is: vectors, verdicts, submissions' outcomes and a cost model.
+
+    A request takes the vector whose place among the prompts' vectors is its id modulo their number.
+    """
+    bank, vectors = _bank_and_prompts(spark, sf)
+    matched = similarity.semantic_match(vectors, bank, params=replace(Params(), similarity_threshold=0.30))
+    placed = materialize(global_rank(matched, [F.asc("vec_id")]).select("position", "semantic_flags", "semantic_matches", "max_similarity"))
+    many = placed.count()
+    i = F.col("request_id")
+    requests = B.judged_requests(spark, sf).withColumns({"proof": (i % 3 - 1).cast("int"), "position": i % many + 1})
+    return P.protect(requests.join(placed, "position").drop("position"), B.control_log(spark), GATE, model=STEEP_MODEL)
+
+
 _REPORTS: dict[tuple[str, str], DataFrame] = {}
 
 
@@ -742,9 +773,7 @@ def request_gate(spark, sf):
     return _gate_columns(gate.request_gate(_gate_requests(spark, B.table(spark, sf, "events")), GATE))
 
 
-@query
-def protection_report(spark, sf):
-    r = protection_reports(spark, sf)
+def _report_columns(r: DataFrame) -> DataFrame:
     b = F.col("detection_breakdown")
     return r.select(
         "request_id", "user_id", "cost_score", csv_list(F.col("risk_flags")).alias("risk_flags"), "risk_score",
@@ -755,6 +784,23 @@ def protection_report(spark, sf):
     )
 
 
+@query
+def protection_report(spark, sf):
+    return _report_columns(protection_reports(spark, sf))
+
+
+@query
+def protection_report_evidence(spark, sf):
+    """Every exit and every band, with the semantic detector, a cost model and proofs."""
+    return _report_columns(evidence_reports(spark, sf))
+
+
+@query
+def detector_comparison_evidence(spark, sf):
+    """The three detectors, none of them silent."""
+    return U.detector_comparison(evidence_reports(spark, sf))
+
+
 @query
 def protection_report_repeated_ids(spark, sf):
     """The pipeline on a log whose request ids repeat: one report for every row, with its own exit."""
@@ -989,6 +1035,16 @@ def stream_gate(spark, sf):
     return _gate_columns(run_available(ST.stream_gate(requests, GATE)))
 
 
+@query
+def stream_request_log(spark, sf):
+    """The newest requests of the log that a stream of them keeps."""
+    events, end = B.arrivals(spark, sf)
+    folder = workspace_path(spark)
+    requests = B.as_requests(events).drop("prompt").filter(F.col("ts_us") < end)
+    keep_newest(requests, folder, Params.log_kept, ["ts_us", "request_id"])
+    return newest(spark, folder).select("request_id", "ts_us", "user_id")
+
+
 @query
 def late_data(spark, sf):
     """Events behind the watermark, by the trigger that brought them."""

@@ -105,3 +105,40 @@ def split_late(stream: DataFrame, folder: str, delay_us: int, ts: str = "ts_us")
         latest.write.mode("overwrite").parquet(f"{folder}/seen/trigger={trigger}")
 
     stream.writeStream.foreachBatch(split).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
+def _views(spark: SparkSession, folder: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(f"{folder}/newest")
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def keep_newest(stream: DataFrame, folder: str, most: int, order: list[str]) -> None:
+    """Process what is there into ``folder/log``, and a view of the ``most`` newest rows by ``order`` beside it.
+
+    Each trigger writes its rows and the view after it under its own number: the newest of the view before and its rows.
+    A repeated trigger writes the same folders again, so it changes nothing; readers take the view with the highest number.
+    """
+    spark = stream.sparkSession
+
+    def commit(rows: DataFrame, trigger: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/log/trigger={trigger}")
+        views = _views(spark, folder)
+        if views is not None:
+            earlier = views.filter(F.col("trigger") < trigger)
+            last = earlier.agg(F.max("trigger")).first()[0]
+            if last is not None:
+                rows = rows.unionByName(earlier.filter(F.col("trigger") == last).drop("trigger"))
+        top = rows.orderBy(*[F.desc(c) for c in order]).limit(most)
+        top.write.mode("overwrite").parquet(f"{folder}/newest/trigger={trigger}")
+
+    stream.writeStream.foreachBatch(commit).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
+def newest(spark: SparkSession, folder: str) -> DataFrame:
+    """The view after the last trigger."""
+    views = spark.read.parquet(f"{folder}/newest")
+    return views.filter(F.col("trigger") == views.agg(F.max("trigger")).first()[0]).drop("trigger")

@@ -121,3 +121,11 @@ def test_query_matches_sql(spark, sql, name):
 @needs_data
 def test_entry(spark):
     assert entry_module.entry(spark).count() == 1000
+
+
+@needs_data
+def test_all_evidence_reaches_every_exit(spark):
+    reports = Q.evidence_reports(spark, DATA).select("exit", "detection_breakdown.*", "scoring_method", "layer3_sources.semantic_flags").collect()
+    assert {r.exit for r in reports} == {"auth", "risk", "amplification", "challenge", "proof", "defender", "allowed"}
+    assert {r.entropy for r in reports} == {"pending", "low", "medium", "high"} and {r.risk for r in reports} >= {"clean", "suspicious", "critical"}
+    assert {bool(r.semantic_flags) for r in reports} == {True, False} and {r.scoring_method for r in reports} == {"ml_classifier"}

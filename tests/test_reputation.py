@@ -104,8 +104,8 @@ def test_board(spark):
     states = spark.createDataFrame(
         [("a", 0, 0.8, 3, 0, 10.0, 5, None), ("b", 0, 0.2, 1, 2, 10.0, 5, 4), ("old", -31 * DAY_US, 0.9, 1, 0, 1.0, 1, None), ("gone", 0, None, 0, 0, 0.0, None, None)],
         "user_id string, saved_us long, trust_score double, total_requests long, abuse_count long, avg_cost_score double, last_seen_us long, last_abuse_us long")
-    banned = spark.createDataFrame([("user", "a", "spam"), ("ip", "b", None)], "kind string, key string, reason string")
-    board = R.board_sort(R.reputation_board(states, banned, 10)).collect()
+    banned = spark.createDataFrame([("user", "a", "spam", "manual", 7), ("ip", "b", None, "auto", 8)], "kind string, key string, reason string, triggered_by string, ts_us long")
+    board = R.board_sort(R.reputation_board(states, banned, 10)).orderBy("position").collect()
     assert [(r.user_id, r.tier, r.trust_score) for r in board] == [
         ("a", "blacklisted", 0.8), ("gone", "expired", 0.0), ("old", "expired", 0.0), ("b", "anonymous", 0.2)]
-    assert board[0].blacklist_reason == "spam"
+    assert (board[0].blacklist_reason, board[0].triggered_by, board[0].blacklisted_us, board[1].triggered_by) == ("spam", "manual", 7, None)

@@ -10,7 +10,7 @@ from promptwatch import Params
 from promptwatch.operators import anchored, correlation, gate, reputation
 from promptwatch.sources.requests import load_snapshot, save_snapshot
 from promptwatch.streaming import stateful as ST
-from promptwatch.streaming.run import late_rows, run_available, split_late, start
+from promptwatch.streaming.run import keep_newest, late_rows, newest, run_available, split_late, start
 from tests.test_reputation import random_events
 
 HOUR = 3_600_000_000
@@ -151,3 +151,18 @@ def test_late_rows_are_dropped_and_counted_and_kept_aside(spark, tmp_path):
     late = spark.read.parquet(f"{base}-split/late")
     assert sorted((r.request_id, r.trigger, r.watermark_us) for r in late.collect()) == [(20, 2, 9 * HOUR), (22, 2, 9 * HOUR)]
     assert sorted(r.request_id for r in spark.read.parquet(f"{base}-split/on_time").collect()) == [-1, 0, 10, 21]
+
+
+def test_the_newest_rows_of_a_log_and_a_repeated_trigger(spark, folder, tmp_path):
+    def run(path):
+        df = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(folder)
+        keep_newest(df.filter("request_id >= 0"), path, 30, ["ts_us", "request_id"])
+        return rows(newest(spark, path), "request_id", "ts_us"), spark.read.parquet(f"{path}/log").count()
+
+    want = sorted([(r.ts_us, r.request_id) for r in batch(spark, folder).collect()])[-30:]
+    got, logged = run(f"{tmp_path}/a")
+    assert sorted((t, i) for i, t in got) == want and logged == 400
+    commits = sorted((tmp_path / "a/checkpoint/commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    commits[-1].rename(tmp_path / "undone")  # as if the last trigger had died before it was noted
+    (tmp_path / "a/checkpoint/commits" / f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    assert run(f"{tmp_path}/a") == (got, logged)

@@ -121,3 +121,14 @@ def test_quota_and_campaign_log(spark, hot_rows):
     seen = df.selectExpr("*", "'h' AS prompt_hash", "'CAMP-H' AS campaign_id", "request_id > 0 AS campaign_detected")
     log = [r.detected_at for r in anchored.campaign_log(seen, params=params).orderBy("detected_at").collect()]
     assert log == [1, hour + 1]
+
+
+def test_global_rank(spark, rows):
+    from pyspark.sql import functions as F
+
+    from promptwatch.operators.ranking import global_rank
+
+    got = global_rank(rows, [F.desc_nulls_last("k"), F.asc("ts_us"), F.asc("request_id")])
+    want = sorted(ROWS, key=lambda r: (r[1] is None, [-ord(c) for c in r[1] or ""], r[2], r[0]))
+    assert [r.request_id for r in got.orderBy("position").collect()] == [r[0] for r in want]
+    assert global_rank(rows.limit(0), [F.asc("k")]).collect() == []
