@@ -207,14 +207,18 @@ def mixtures(texts: list[str], logp: list, penalty: float) -> list[tuple[np.ndar
     return out
 
 
-def foreign_words(texts: list[str], logp: list, noise: float) -> list[tuple[int, float]]:
-    """For each text its words and how many of them, in the mixture with all languages, fall to ``noise``."""
+def foreign_letters(texts: list[str], logp: list, noise: float) -> list[tuple[int, float]]:
+    """For each text its letters and how many of them, in the mixture with all languages, are in words of ``noise``."""
     like, words = _word_likelihoods(texts, logp, noise)
     live = np.flatnonzero(words)
-    foreign = np.zeros(len(texts))
+    letters, foreign = np.zeros(len(texts), np.int64), np.zeros(len(texts))
     if len(live):
-        foreign[live] = estimate(like, words[live], near=0.5)[0][:, -1] * words[live]
-    return list(zip(words.tolist(), foreign.tolist()))
+        n = words[live]
+        p = np.exp(like - like.max(axis=1, keepdims=True)) * np.repeat(estimate(like, n, near=0.5)[0], n, axis=0)
+        size, at = np.rint(like[:, -1] / noise), np.concatenate([[0], np.cumsum(n)[:-1]])
+        letters[live] = np.add.reduceat(size, at)
+        foreign[live] = np.add.reduceat(size * p[:, -1] / p.sum(axis=1), at)
+    return list(zip(letters.tolist(), foreign.tolist()))
 
 
 RESULT = "struct<lang_pred:string,score:double,languages:array<string>,shares:array<double>>"
@@ -252,10 +256,11 @@ def languages(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """Rows whose words are mostly of known languages; texts without a letter go, and all if nothing is known.
+    """Rows whose letters are mostly in words of known languages; texts without a letter go, and all if nothing is known.
 
     A reject class, :attr:`LanguageModel.noise`, joins the mixture: words of no known language fall to it. A document goes
-    if it has more of those than of others, with half a word in doubt. Texts in several known languages stay.
+    if more of its letters are in those than in others, with two in doubt; a key or a number with single letters in
+    it weighs little. Texts in several known languages stay.
     """
     model = train(docs.where(~held_out()))
     own = fresh(docs, "__words")
@@ -268,7 +273,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
         for column in batches:
             stays: list[bool] = []
             for _, _, texts in text_chunks(column, chunk_bytes(len(logp))):
-                stays += [len(logp) > 0 and n > 0 and 2 * foreign - 1 <= n for n, foreign in foreign_words(texts, logp, noise)]
+                stays += [len(logp) > 0 and n > 0 and 2 * foreign - 4 <= n for n, foreign in foreign_letters(texts, logp, noise)]
             yield pa.array(stays, pa.bool_())
 
     return docs.withColumn(own, known(F.col("text"))).where(F.col(own)).drop(own)

@@ -102,7 +102,7 @@ def test_rows_of_no_known_language_go(spark):
     odd = [
         (10_001, noise), (10_002, noise * 300), (10_003, "To jest zdanie po polsku, które opowiada o historii domu i o tym, jak został zbudowany."),
         (10_004, "это предложение на русском языке о доме"), (10_005, "12 34"), (10_006, None),
-        (10_007, by["en"][:300] + " " + noise), (10_008, by["en"][:400] + by["de"][:400] + by["fr"][:400] + by["es"][:400]),
+        (10_009, by["fr"][:60] + ' token = "6cfd1f1f244d4c4c327ecfd8fd9898497c475388"'), (10_007, by["en"][:300] + " " + noise), (10_008, by["en"][:400] + by["de"][:400] + by["fr"][:400] + by["es"][:400]),
     ]
     every = docs.unionByName(spark.createDataFrame([(i, t, None) for i, t in odd], "doc_id bigint, text string, lang string"))
     left = {r["doc_id"] for r in every.join(L.keep_identified(every).select("doc_id").distinct(), "doc_id", "left_anti").collect()}
@@ -129,7 +129,7 @@ def test_languages_of_odd_rows(spark):
     assert L.languages(docs.limit(0)).collect() == []
     assert {r["lang_pred"] for r in L.languages(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     kept = L.keep_identified(docs)
-    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {4, 5, 6, 7}  # one is in a language that no row teaches
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {4, 5, 6}  # one is in a language that no row teaches, one is a single letter 100,000 times
 
 
 # -- personal data ------------------------------------------------------------------------------
