@@ -3,7 +3,7 @@
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next one's ``docs``.
 
-1. ``language``: texts without a letter go, and those with more words of no known language than others.
+1. ``language``: texts without a letter go, and those with more letters in words of no known language than in others.
 2. ``near_duplicates``: of each group that five-word shingles link at a similarity of 0.8 or more, the document with the
    smallest doc_id stays.
 3. ``decontamination``: passages that hold a benchmark item's words are cut out of the texts.
