@@ -129,3 +129,12 @@ def test_all_evidence_reaches_every_exit(spark):
     assert {r.exit for r in reports} == {"auth", "risk", "amplification", "challenge", "proof", "defender", "allowed"}
     assert {r.entropy for r in reports} == {"pending", "low", "medium", "high"} and {r.risk for r in reports} >= {"clean", "suspicious", "critical"}
     assert {bool(r.semantic_flags) for r in reports} == {True, False} and {r.scoring_method for r in reports} == {"ml_classifier"}
+
+
+def test_flags_are_counted_from_signals_made_once(spark, tmp_path):
+    rows = [(i, 1_704_067_200 + i, i % 3, "view", 1.0, "{}") for i in range(28)]
+    events = spark.createDataFrame(rows, "event_id long, ts long, user_id long, event_type string, value double, props string")
+    events.withColumn("ts", F.timestamp_seconds("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    counted = Q.QUERIES["flag_union"](spark, str(tmp_path))
+    assert plan(counted).count("from_json") == 1
+    assert {r.flag: r.n for r in counted.collect()}["IGNORE_INSTRUCTIONS"] > 0
