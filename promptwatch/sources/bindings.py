@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptwatch.sources.workspace import materialize, workspace_path
+from promptwatch.sources.workspace import workspace_path
 from promptwatch.streaming.run import file_stream
 
 # Probe prompts of our own, one per rule and per exit of the gate; 0 to 2 share their first words.
@@ -119,10 +119,13 @@ def arrivals(spark: SparkSession, sf_dir: str, stragglers: bool = False) -> tupl
     timed = events.withColumn("arrival_us", ts + lag)
     rows, low, high = timed.agg(F.count("*"), F.min("arrival_us"), F.max("arrival_us")).first()
     slices, low, high = max(4, rows // 1_000_000), low or 0, high or 0
-    dealt = materialize(timed.withColumn("slice", F.floor((F.col("arrival_us") - low) * slices / (high - low + 1))))
-    folder = workspace_path(spark)
+    # each slice is a folder, so the pass that puts the slices into order of arrival reads every row once
+    dealt = timed.withColumn("slice", F.floor((F.col("arrival_us") - low) * slices / (high - low + 1))).drop("arrival_us")
+    by_slice, folder = workspace_path(spark), workspace_path(spark)
+    dealt.write.partitionBy("slice").parquet(by_slice)
+    known = spark.read.schema(dealt.schema).parquet(by_slice)
     for k in range(slices):
-        dealt.where(F.col("slice") == k).drop("slice", "arrival_us").coalesce(1).write.parquet(f"{folder}/{k:06}")
+        known.where(F.col("slice") == k).drop("slice").coalesce(1).write.parquet(f"{folder}/{k:06}")
     end = high + 30 * 86_400_000_000
     beat = spark.range(1).select(*[
         (F.timestamp_micros(F.lit(end)) if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema

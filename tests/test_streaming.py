@@ -3,6 +3,7 @@
 import random
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from promptwatch import Params
 from promptwatch.operators import anchored, correlation, gate, reputation
 from promptwatch.sources.requests import load_snapshot, save_snapshot
 from promptwatch.streaming import stateful as ST
+from promptwatch.streaming.ordered import MemberProcessor
 from promptwatch.streaming.run import keep_newest, late_rows, newest, run_available, split_late, start
 from tests.test_reputation import random_events
 
@@ -166,3 +168,21 @@ def test_the_newest_rows_of_a_log_and_a_repeated_trigger(spark, folder, tmp_path
     commits[-1].rename(tmp_path / "undone")  # as if the last trigger had died before it was noted
     (tmp_path / "a/checkpoint/commits" / f".{commits[-1].name}.crc").unlink(missing_ok=True)
     assert run(f"{tmp_path}/a") == (got, logged)
+
+
+def test_state_is_a_few_tables_for_many_users(spark, tmp_path):
+    first = [(i, f"u{i}", HOUR + i, "read", 0.0) for i in range(20_000)]
+    write_arrivals(spark, f"{tmp_path}/in", [first, [(20_000, "u0", 3 * HOUR, "read", 0.0)]])
+    query = start(ST.stream_quota(stream(spark, f"{tmp_path}/in", "1 hour")), f"{tmp_path}/out", f"{tmp_path}/cp")
+    query.awaitTermination()
+    assert max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]) < 20_000
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 20_001
+
+
+def test_presence_as_intervals_equals_a_count_by_row(spark):
+    rng = random.Random(8)
+    rows = sorted((rng.randrange(3), rng.randrange(60), rng.randrange(4)) for _ in range(200))
+    key, t, member = (np.array(c) for c in zip(*rows))
+    processor = MemberProcessor(None, [], "t", "i", [], {}, {}, 7)
+    got = processor.counted(t, key, key * 10 + member, 0).tolist()
+    assert got == [len({m for k, u, m in rows if k == a and b - 7 <= u <= b}) for a, b, _ in rows]
