@@ -41,7 +41,9 @@ UNIT = 1_000_000_000
 #: Terms of a block, and groups of a block, at most: a task's matrices hold their product.
 BLOCK_TERMS, BLOCK_GROUPS = 1024, 128
 #: Bytes of text that are counted together, and rows that a task holds before it writes them.
-PIECE_BYTES, HELD_ROWS = 4 << 20, 1 << 20
+PIECE_BYTES, HELD_ROWS = 4 << 20, 3 << 18
+#: Rows that leave a task at once.
+BATCH_ROWS = 1 << 16
 
 _LOWER = lower_ascii()
 _WORD = np.zeros(256, bool)
@@ -108,8 +110,8 @@ def _edges(*columns: np.ndarray) -> np.ndarray:
 
 def _summed(parts: list[pa.Table]) -> pa.Table:
     """Counts of the same group and digest as one."""
-    out = pa.concat_tables(parts).group_by(["lang", "source", "digest"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
-    return out.select(["lang", "source", "digest", "n_sum", "docs_sum"]).rename_columns(_COUNTED.names[:5])
+    out = pa.concat_tables(parts).group_by(["group", "digest"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
+    return out.select(["group", "digest", "n_sum", "docs_sum"]).rename_columns(["group", "digest", "n", "docs"])
 
 
 def _spanned(parts: list[pa.Table]) -> pa.Table:
@@ -118,19 +120,22 @@ def _spanned(parts: list[pa.Table]) -> pa.Table:
     return out.select(["digest", "low_min", "high_max"]).rename_columns(["digest", "low", "high"])
 
 
-def _rows(table: pa.Table) -> list[pa.RecordBatch]:
-    """Batches with all columns; counts have no strings, and strings no count."""
-    columns = [table.column(f.name).cast(f.type) if f.name in table.column_names else pa.nulls(table.num_rows, f.type) for f in _COUNTED]
-    return pa.table(columns, schema=_COUNTED).combine_chunks().to_batches()
+def _rows(table: pa.Table, groups: list[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
+    """Batches with all columns, groups by their names; counts have no strings, and strings no count."""
+    names = {c: pa.array([g[i] for g in groups], pa.string()) for i, c in enumerate(("lang", "source"))}
+    for at in range(0, table.num_rows, BATCH_ROWS):
+        part = table.slice(at, BATCH_ROWS).combine_chunks()
+        own = {c: names[c].take(part.column("group").combine_chunks()) for c in names} if "group" in part.column_names else {}
+        own |= {c: part.column(c).cast(_COUNTED.field(c).type) for c in part.column_names if c != "group"}
+        columns = [own[f.name] if f.name in own else pa.nulls(part.num_rows, f.type) for f in _COUNTED]
+        yield from pa.table(columns, schema=_COUNTED).combine_chunks().to_batches()
 
 
 def _counted(bits: int, exact: bool):
     """Task function: rows of documents to counts by group and digest, and the digests' strings; if ``exact``, counts by string."""
 
-    def piece(words: _Words, lang: list[str], source: list[str]) -> tuple[pa.Table, pa.Table]:
-        names = sorted(set(zip(lang, source)))
-        number = {g: i for i, g in enumerate(names)}
-        group = np.array([number[g] for g in zip(lang, source)], np.int64)[words.doc]
+    def piece(words: _Words, lang: list[str], source: list[str], number: dict[tuple[str, str], int]) -> tuple[pa.Table, pa.Table]:
+        group = np.array([number.setdefault(g, len(number)) for g in zip(lang, source)], np.int32)[words.doc]
         string = np.zeros(len(words.start), np.int64)
         if exact and len(string):
             string = np.unique(np.array(words.strings(np.arange(len(string))).to_pylist(), object), return_inverse=True)[1]
@@ -144,33 +149,30 @@ def _counted(bits: int, exact: bool):
         new_doc = np.zeros(len(group), np.int64)
         new_doc[_edges(words.digest, string, group, words.doc)] = 1
         n = np.diff(rows, append=len(group))
-        own = pa.array(group[rows])
-        counts = pa.table({
-            "lang": pa.array([g[0] for g in names], pa.string()).take(own), "source": pa.array([g[1] for g in names], pa.string()).take(own),
-            "digest": words.digest[rows], "n": n, "docs": np.add.reduceat(new_doc, rows) if len(rows) else n,
-        })
+        counts = pa.table({"group": group[rows], "digest": words.digest[rows], "n": n, "docs": np.add.reduceat(new_doc, rows) if len(rows) else n})
         if exact:
             counts = counts.append_column("low", low.take(pa.array(np.searchsorted(terms, rows, side="right") - 1)))
         return counts, pa.table({"digest": words.digest[terms], "low": low, "high": high})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[object, list[pa.Table]] = {_summed: [], _spanned: []}
+        groups: dict[tuple[str, str], int] = {}  # in the order of their numbers
         for batch in batches:
             for a, b, texts in text_chunks(batch.column(0), PIECE_BYTES):
                 lang, source = (batch.column(c).slice(a, b - a).to_pylist() for c in (1, 2))
-                counts, strings = piece(_Words(texts, bits), lang, source)
+                counts, strings = piece(_Words(texts, bits), lang, source, groups)
                 if exact:
-                    yield from _rows(counts)
+                    yield from _rows(counts, list(groups))
                     continue
                 for (merge, parts), table in zip(held.items(), (counts, strings)):
                     parts.append(table)
                     if sum(t.num_rows for t in parts) > HELD_ROWS:
                         parts[:] = [merge(parts)]
                         if parts[0].num_rows > HELD_ROWS // 2:
-                            yield from _rows(parts.pop())
+                            yield from _rows(parts.pop(), list(groups))
         for merge, parts in held.items():
             if parts:
-                yield from _rows(merge(parts))
+                yield from _rows(merge(parts), list(groups))
 
     return run
 

@@ -8,6 +8,7 @@ from fractions import Fraction
 
 import numpy as np
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -276,3 +277,14 @@ def test_long_lists_of_members_are_hashed_in_order(spark):
     got = {r["ended"]: r["ends_sha256"] for r in ends.collect()}
     assert got == {-1850: hashlib.sha256(",".join(str(i * 37) for i in range(-50, 400)).encode()).hexdigest()}
 
+
+
+def test_counts_leave_a_task_in_small_batches():
+    many = D.BATCH_ROWS + 5
+    words = " ".join("w" + chr(97 + i % 26) + "".join(chr(97 + int(c)) for c in str(i)) for i in range(many))
+    batch = pa.record_batch([pa.array([words, "one"]), pa.array(["x", "x"]), pa.array(["s", "t"])], names=["text", "lang", "source"])
+    out = list(D._counted(64, False)(iter([batch])))
+    assert max(b.num_rows for b in out) <= D.BATCH_ROWS
+    rows = pa.Table.from_batches(out).to_pylist()
+    assert sorted((r["lang"], r["source"], r["n"]) for r in rows if r["n"] is not None) == [("x", "s", 1)] * many + [("x", "t", 1)]
+    assert sum(r["low"] is not None for r in rows) == many + 1
