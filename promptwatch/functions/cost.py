@@ -43,13 +43,13 @@ def encoding_score(prompt: Column, long_run: Column) -> Column:
 
     ``long_run`` (is there a run of 20 base64 characters at all?) settles most texts.
     """
-    runs = F.when(long_run, F.regexp_extract_all(prompt, F.lit(BASE64_RUN), F.lit(0)))
     payload = "|".join(PAYLOAD_WORDS)
-    score = F.when(F.size(runs) > 0, 50.0).otherwise(0.0)
-    for i in range(3):
-        score = score + F.when(T.decode_base64(F.get(runs, i)).rlike(payload), 40.0).otherwise(0.0)
-    score = score + F.when(prompt.rlike(HEX_RUN), 20.0).otherwise(0.0)
-    return F.when(long_run, F.least(score, F.lit(100.0))).otherwise(F.lit(0.0))
+    decoded = T.decoded_runs(prompt, BASE64_RUN, 3)
+    points = F.aggregate(
+        decoded, F.when(prompt.rlike(HEX_RUN), 20.0).otherwise(0.0) + F.when(prompt.rlike(BASE64_RUN), 50.0).otherwise(0.0),
+        lambda score, text: score + F.when(text.rlike(payload), 40.0).otherwise(0.0),
+    )
+    return F.when(long_run, F.least(points, F.lit(100.0))).otherwise(F.lit(0.0))
 
 
 def expansion_factor(norm: str, biggest: Column) -> Column:
@@ -70,9 +70,8 @@ def obfuscation_score(prompt: Column) -> Column:
     mixed = F.regexp_count(
         prompt, F.lit(f"(?<!{TOKEN})(?={TOKEN}*{LEET})(?={TOKEN}*[A-Za-z]){TOKEN}++")
     )
-    return F.when(
-        prompt.rlike(LEET) & (words > 0), F.least(mixed / words * 120, F.lit(100.0))
-    ).otherwise(F.lit(0.0))
+    share = F.coalesce(F.try_divide(mixed, words) * 120, F.lit(0.0))  # the words are counted once
+    return F.when(prompt.rlike(LEET), F.least(share, F.lit(100.0))).otherwise(F.lit(0.0))
 
 
 def input_tokens(words: Column) -> Column:

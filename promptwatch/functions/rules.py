@@ -8,7 +8,6 @@ match at all.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -140,10 +139,9 @@ def base64_injection(prompt: str, long_run: Column | None = None) -> Column:
     """One of the first five base64 runs decodes to text with an injection word."""
     text = F.col(prompt)
     long_run = T.has_run(text, 20) if long_run is None else long_run
-    runs = F.when(long_run, F.regexp_extract_all(text, F.lit(INJECTION_RUN), F.lit(0)))
     words = "|".join(INJECTION_WORDS)
-    hits = [F.coalesce(T.decode_base64(F.get(runs, i)).rlike(words), F.lit(False)) for i in range(5)]
-    return reduce(lambda a, b: a | b, hits)
+    hit = F.exists(T.decoded_runs(text, INJECTION_RUN, 5), lambda t: F.coalesce(t.rlike(words), F.lit(False)))
+    return F.when(long_run, hit).otherwise(F.lit(False))
 
 
 def _base64_detector(folded: str, prompt: str) -> Column:

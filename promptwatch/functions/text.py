@@ -103,6 +103,11 @@ def decode_base64(match: Column) -> Column:
     return F.lower(F.translate(F.make_valid_utf8(raw.cast("string")), "\ufffd", ""))
 
 
+def decoded_runs(text: Column, pattern: str, n: int) -> Column:
+    """The first ``n`` matches of ``pattern``, decoded; the text is searched once for all of them."""
+    return F.transform(F.slice(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), 1, n), decode_base64)
+
+
 def sql_text(value: str) -> str:
     """A SQL string literal."""
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

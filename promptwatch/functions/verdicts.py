@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptwatch.functions.text import strip
+from promptwatch.functions.text import STRIP_CHARS, strip
 
 # External category -> flag of this taxonomy.
 CATEGORY_FLAGS = {
@@ -33,15 +33,19 @@ _NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?|nan)\s*$"
 _SENTINEL = "end of reply"
 
 
-def strict_object(json: Column) -> Column:
-    """True where the whole text is one JSON object by the strict grammar.
+def framed(json: Column) -> Column:
+    """The text between two array elements, parsed; keep it in a column of its own where it is read again.
 
-    The lenient readers take single quotes and ignore what follows a value, so the text is
-    put between two array elements: only a complete value leaves both in place.
+    The lenient readers take single quotes and ignore what follows a value: only a complete
+    value leaves both elements in place.
     """
-    framed = F.try_parse_json(F.concat(F.lit("[0,"), json, F.lit(f',"{_SENTINEL}"]')))
-    ends = F.try_variant_get(framed, "$[2]", "string") == _SENTINEL
-    return F.coalesce(ends & strip(json).startswith("{"), F.lit(False))
+    return F.try_parse_json(F.concat(F.lit("[0,"), json, F.lit(f',"{_SENTINEL}"]')))
+
+
+def strict_object(json: Column, parsed: Column | None = None) -> Column:
+    """True where the whole text is one JSON object by the strict grammar; ``parsed`` is its :func:`framed` form."""
+    ends = F.try_variant_get(framed(json) if parsed is None else parsed, "$[2]", "string") == _SENTINEL
+    return F.coalesce(F.ltrim(json, F.lit(STRIP_CHARS)).startswith("{") & ends, F.lit(False))
 
 
 def ext_parse(json: Column) -> Column:
@@ -78,7 +82,7 @@ def ext_flags(categories: Column) -> Column:
     flags = F.transform(
         names, lambda c: F.coalesce(F.try_element_at(known, c), F.concat(F.lit(UNMAPPED_PREFIX), F.upper(c)))
     )
-    return F.coalesce(F.array_sort(F.array_distinct(flags)), F.array().cast("array<string>"))
+    return F.coalesce(F.sort_array(F.array_distinct(flags)), F.array().cast("array<string>"))
 
 
 def ext_score(flagged: Column, scores: Column) -> Column:
@@ -107,19 +111,20 @@ def _number(value: Column, kind: Column) -> Column:
     return F.coalesce(truth, F.when(value.rlike(_NUMBER), strip(value).try_cast("double")))
 
 
-def defender_fields(text: Column) -> Column:
+def defender_body(reply: Column) -> Column:
+    """A stripped reply without its code fence."""
+    return F.when(reply.startswith("```"), F.regexp_replace(reply, r"(?m)^```.*$", "")).otherwise(reply)
+
+
+def defender_fields(body: Column, parsed: Column) -> Column:
     """The reply's fields and the JSON types of three of them, NULL when it is no JSON object.
 
-    Keep it in a column of its own, it is read many times.
+    ``parsed`` is the body's :func:`framed` form. Keep the result in a column of its own, it is read many times.
     """
-    reply = strip(text)
-    fenced = F.regexp_replace(reply, r"(?m)^```.*$", "")
-    body = F.when(reply.startswith("```"), fenced).otherwise(reply)
-
     def kind(key: str) -> Column:
-        return F.schema_of_variant(F.try_variant_get(F.try_parse_json(body), f"$.{key}", "variant")).alias(key)
+        return F.schema_of_variant(F.try_variant_get(parsed, f"$[1].{key}", "variant")).alias(key)
 
-    return F.when(strict_object(body), F.struct(
+    return F.when(strict_object(body, parsed), F.struct(
         F.from_json(body, "map<string,string>").alias("values"),
         F.struct(*[kind(k) for k in ("defender_risk", "confidence", "threats")]).alias("kinds"),
     ))
@@ -181,13 +186,15 @@ def with_ext_signals(df: DataFrame, json: str = "ext_json", enabled: bool = True
 
 def with_defender(df: DataFrame, text: str = "defender_text") -> DataFrame:
     """Add ``defender_risk, defender_confidence, defender_reason, defender_threats``."""
-    df = df.withColumn("_fields", defender_fields(F.col(text))).withColumn("_d", defender_parse(F.col("_fields")))
+    df = df.withColumn("_reply", strip(F.col(text))).withColumn("_body", defender_body(F.col("_reply")))
+    df = df.withColumn("_framed", framed(F.col("_body")))
+    df = df.withColumn("_fields", defender_fields(F.col("_body"), F.col("_framed"))).withColumn("_d", defender_parse(F.col("_fields")))
     return df.withColumns({
         "defender_risk": F.col("_d.defender_risk"),
         "defender_confidence": F.col("_d.confidence"),
         "defender_reason": F.col("_d.reason"),
         "defender_threats": F.col("_d.threats"),
-    }).drop("_d", "_fields")
+    }).drop("_d", "_fields", "_framed", "_body", "_reply")
 
 
 def join_verdicts(df: DataFrame, verdicts: DataFrame, key: str) -> DataFrame:

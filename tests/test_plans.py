@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 from dataclasses import replace
 
 import pytest
@@ -11,6 +12,7 @@ import __spark_entry__ as entry_module
 from promptwatch import Params
 from promptwatch.functions import cost as C
 from promptwatch.functions import rules as R
+from promptwatch.functions import verdicts as V
 from promptwatch.operators import similarity
 from promptwatch.plans import protect as P
 from promptwatch.plans import queries as Q
@@ -138,3 +140,18 @@ def test_flags_are_counted_from_signals_made_once(spark, tmp_path):
     counted = Q.QUERIES["flag_union"](spark, str(tmp_path))
     assert plan(counted).count("from_json") == 1
     assert {r.flag: r.n for r in counted.collect()}["IGNORE_INSTRUCTIONS"] > 0
+
+
+def test_signals_compile_to_small_methods_and_parse_a_reply_once(spark):
+    requests = spark.createDataFrame(
+        [(1, 0, "u", "10.0.0.1", "a prompt", "{}", "{}")],
+        "request_id long, ts_us long, user_id string, client_ip string, prompt string, ext_json string, defender_text string",
+    )
+    signals = P.with_signals(requests)
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    sizes = re.findall(r"maxMethodCodeSize:(\d+)", signals._jdf.queryExecution().explainString(mode))
+    assert sizes and max(map(int, sizes)) <= 8000  # beyond that the JVM interprets a method row by row
+    p = plan(V.with_defender(requests).select("defender_risk", "defender_threats"))
+    assert p.count("parseJson") == 1
+    p = plan(C.with_cost_signals(C.with_text_forms(requests)).select("encoding_score"))
+    assert p.count("regexp_extract_all") == 1
